@@ -1,0 +1 @@
+"""Intentionally empty: the workload this package covers is batch only."""
