@@ -182,9 +182,9 @@ def column_info(spark, d):
     return profile.column_summary(DIRTY.frame(spark, d), digits=2)
 
 
-@query("preview_rows")
+@query("preview_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def preview_rows(spark, d):
-    return profile.preview(table(spark, d, "orders"))
+    return profile.preview(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
 
 @query("target_distribution", "SELECT rank, v AS value, n AS cnt FROM (SELECT event_type AS v, count(*) AS n, "
@@ -301,10 +301,22 @@ def quality_issues(spark, d):
     return rounded(quality.quality_issues(DIRTY.frame(spark, d), "sparse"), 6, "value")
 
 
-@query("profile_advice")
+@query("profile_advice", f"""
+WITH v AS ({DIRTY.sql}), n AS (SELECT count(*) AS n FROM v),
+nulls AS (SELECT n * 8 - ({' - '.join(f'0 + count({c})' for c in DIRTY_COLUMNS).replace(' - 0 + ', ' + ')}) AS k FROM v, n GROUP BY n),
+dup AS (SELECT CAST(coalesce(sum(k - 1), 0) AS DOUBLE) AS d FROM (SELECT count(*) AS k FROM v GROUP BY {', '.join(DIRTY_COLUMNS)}) g),
+ids AS (SELECT {' + '.join(f'(CASE WHEN count(DISTINCT {c}) > 0.95 * count(*) THEN 1 ELSE 0 END)' for c in DIRTY_COLUMNS)} AS i FROM v)
+SELECT 'suggestion' AS kind, 'drop_high_null' AS code, 1.0 AS value FROM n WHERE n > 0
+UNION ALL SELECT 'suggestion', 'drop_constant', 1.0 FROM n WHERE n > 0
+UNION ALL SELECT 'suggestion', 'drop_identifiers', CAST(i AS DOUBLE) FROM ids WHERE i > 0
+UNION ALL SELECT 'warning', 'many_duplicates', d * 100 / n FROM dup, n WHERE d > n * 0.1
+UNION ALL SELECT 'suggestion', 'drop_duplicates', d FROM dup WHERE d > 0
+UNION ALL SELECT 'warning', 'overall_nulls', k * 100.0 / (n * 8) FROM nulls, n WHERE k * 100.0 / (n * 8) > 30
+UNION ALL SELECT 'review', 'needs_review', 1.0 FROM nulls, dup, n WHERE k * 100.0 / (n * 8) > 30 OR d > n * 0.1
+""")
 def profile_advice(spark, d):
     df = DIRTY.frame(spark, d)
-    return quality.profile_advice(df, profile.table_facts(df))
+    return quality.profile_advice(df, profile.table_facts(df)).drop("ordinal")
 
 
 @query("data_overview", """SELECT count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS null_cells,
