@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SYMBOLS = "[,$%]"
+SYMBOLS = ",$%"
+NUMBER_START = r"^\s*[+-]?(?:\.?[0-9]|(?i:inf|nan))"
 
 
 def to_number(text: Column) -> Column:
     """Double value of a string; Java's ``1d`` / ``1f`` suffixes do not count as numbers."""
-    parsed = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text).try_cast("double")
+    bare = F.rtrim(text)
+    suffix = F.right(bare, F.lit(1)).isin("d", "D", "f", "F") & ~F.lower(bare).endswith("inf")
+    # The cheap test on the first characters spares the parser most texts; failed parses are slow.
+    parsed = F.when(~suffix & text.rlike(NUMBER_START), text).try_cast("double")
     return F.when(~F.isnan(parsed), parsed)
 
 
 def strip_symbols(text: Column) -> Column:
-    return F.regexp_replace(text, SYMBOLS, "")
+    return F.translate(text, SYMBOLS, "")
 
 
 def first_digits(text: Column) -> Column:

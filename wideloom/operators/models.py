@@ -210,10 +210,16 @@ def train_one(name: str, data: Prepared, **params) -> tuple[PipelineModel | None
     return fitted, score(fitted, data.test)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: every iteration of a fit runs over all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, KEY)
+
+
 def train_models(data: Prepared, names: Sequence[str] | None = None, **params) -> list[Trained]:
     """Train the shortlist on a cached table; a model that fails is kept with its error."""
     out: list[Trained] = []
-    train, test = data.train.persist(), data.test.persist()
+    train, test = _spread(data.train).persist(), data.test.persist()
     held = Prepared(train, test, data.task, data.features, data.classes)
     try:
         for name in names or shortlist(data.task):

@@ -100,45 +100,58 @@ def _ranks(n: int, probs: Sequence[float]) -> set[int]:
     return {f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)}
 
 
-def _span_index(value: Column, spans: Sequence[_Span]) -> Column:
-    picked = F.lit(None).cast("int")
-    for index, span in reversed(list(enumerate(spans))):
-        picked = F.when((value >= F.lit(span.low)) & (value <= F.lit(span.high)), F.lit(index)).otherwise(picked)
-    return picked
-
-
-def _bin(value: Column, span: _Span, bins: int) -> Column:
-    """Monotone bin number of a value in a span; -1 and ``bins`` catch infinities."""
-    low, high, scaled = span.low, span.high, value
-    if span.log_scale:
-        scaled = F.signum(value) * F.log1p(F.abs(value))
-        low, high = (math.copysign(math.log1p(abs(v)), v) for v in (low, high))
-    width = high - low
-    if not 0 < width < math.inf:
-        step = F.when(value >= F.lit(span.high), F.lit(bins - 1)).otherwise(F.lit(0))
-    else:
-        share = (scaled - F.lit(low)) / F.lit(width)
-        step = F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return F.when(value < F.lit(span.low), -1).when(value > F.lit(span.high), bins).otherwise(step)
+def _slots(spans: Sequence[_Span], width: int) -> list[Column]:
+    """Bounds of a column's spans as literal cells, padded with ranges nothing falls into."""
+    cells: list[Column] = []
+    for i in range(width):
+        low, high, log = (spans[i].low, spans[i].high, spans[i].log_scale) if i < len(spans) else (math.inf, -math.inf, False)
+        cells += [F.lit(low), F.lit(high), F.lit(log)]
+    return cells
+
+
+def _spans_long(df: DataFrame, values: Sequence[Column], spans: dict[int, list[_Span]], everything: bool = False) -> DataFrame:
+    """Rows ``(ci, x, iv, lo, hi, log)`` of the values that lie in one of their column's spans.
+
+    The bounds travel as constants next to each value, so the code that picks a span is
+    compiled once and not once per column.
+    """
+    width = max(len(s) for s in spans.values())
+    names = [f"{part}{i}" for i in range(width) for part in ("lo", "hi", "log")]
+    long = melt(df, [[values[ci], *_slots(s, width)] for ci, s in spans.items()], ["x", *names]).where("x IS NOT NULL")
+    if everything:
+        return long.select("ci", "x", F.lit(0).alias("iv"), F.col("lo0").alias("lo"), F.col("hi0").alias("hi"), F.col("log0").alias("log"))
+    pick = lambda part: _first_match(width, [F.col(f"{part}{i}") for i in range(width)])
+    return long.select(
+        "ci", "x", _first_match(width, [F.lit(i) for i in range(width)]).alias("iv"),
+        pick("lo").alias("lo"), pick("hi").alias("hi"), pick("log").alias("log")).where("iv IS NOT NULL")
+
+
+def _first_match(width: int, results: Sequence[Column]) -> Column:
+    x, found = F.col("x"), None
+    for i in range(width):
+        inside = (x >= F.col(f"lo{i}")) & (x <= F.col(f"hi{i}"))
+        found = F.when(inside, results[i]) if found is None else found.when(inside, results[i])
+    return found
 
 
 def _histogram(df, values, active, bins, outermost):
-    entries, owners = [], []
-    for ci, spans in active.items():
-        v = values[ci]
-        iv = F.lit(0) if outermost else _span_index(v, spans)
-        b = F.lit(None).cast("int")
-        for index, span in reversed(list(enumerate(spans))):
-            b = F.when(iv == index, _bin(v, span, bins)).otherwise(b)
-        entries.append([iv.cast("int"), b.cast("int"), v])
-        owners.append(ci)
+    """Row count, minimum and maximum per span and bin; infinities land in bins -1 and ``bins``."""
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    scale = lambda v: F.when(F.col("log"), F.signum(v) * F.log1p(F.abs(v))).otherwise(v)
+    if any(s.log_scale for spans in active.values() for s in spans):
+        share = (scale(x) - scale(lo)) / (scale(hi) - scale(lo))
+    else:
+        share = (x - lo) / (hi - lo)
+    # An overflowing range gives NaN or 0 shares; its two ends still fall into different bins.
+    step = F.when(x >= hi, bins - 1).otherwise(F.least(F.greatest(F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * bins), F.lit(0)), F.lit(bins - 1)))
+    b = F.when(x < lo, -1).when(x > hi, bins).when(lo >= hi, 0).otherwise(step).cast("int")
     rows = (
-        melt(df, entries, ["iv", "b", "x"])
-        .where("x IS NOT NULL AND iv IS NOT NULL")
-        .groupBy("ci", "iv", "b")
+        _spans_long(df, values, active, outermost)
+        .groupBy("ci", "iv", b.alias("b"))
         .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .collect()
     )
+    owners = list(active)
     counts: dict[tuple[int, int], list] = {}
     for r in sorted(rows, key=lambda r: r["b"]):
         counts.setdefault((owners[r["ci"]], r["iv"]), []).append(r)
@@ -157,26 +170,20 @@ def _narrow(span: _Span, bucket_rows, was_log: bool) -> list[_Span]:
 
 
 def _values_at(df, values, settled) -> dict[tuple[int, int], float]:
+    """The values at the wanted ranks of small spans, by a running count inside each span."""
     owners = list(settled)
-    entries = [[_span_index(values[ci], settled[ci]), values[ci]] for ci in owners]
-    spans = [(i, j, s) for i, ci in enumerate(owners) for j, s in enumerate(settled[ci])]
-    number_of = F.create_map(*[c for n, (i, j, _) in enumerate(spans)
-                               for c in (F.lit(f"{i}.{j}"), F.lit(n))])
-    offsets = F.array(*[F.lit(s.offset) for _, _, s in spans])
-    ranks = F.array(*[F.array(*[F.lit(k) for k in sorted(s.ranks)]) for _, _, s in spans])
+    flat = {f"{i}.{j}": s for i, ci in enumerate(owners) for j, s in enumerate(settled[ci])}
+    names = {key: n + 1 for n, key in enumerate(flat)}
+    place = F.element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), F.concat_ws(".", "ci", "iv"))
+    offset = F.element_at(F.array(*[F.lit(s.offset) for s in flat.values()]), place)
+    ranks = F.element_at(F.array(*[F.array(*[F.lit(k) for k in sorted(s.ranks)]) for s in flat.values()]), place)
     run = F.sum("n").over(W.partitionBy("ci", "iv").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    sid = F.element_at(number_of, F.concat_ws(".", "ci", "iv"))
     hits = (
-        melt(df, entries, ["iv", "x"])
-        .where("x IS NOT NULL AND iv IS NOT NULL")
+        _spans_long(df, values, settled)
         .groupBy("ci", "iv", "x").agg(F.count("x").alias("n"))
-        .withColumn("upto", run)
-        .withColumn("sid", sid)
-        .withColumn("upto", F.col("upto") + F.element_at(offsets, F.col("sid") + 1))
-        .withColumn("hit", F.filter(F.element_at(ranks, F.col("sid") + 1),
-                                    lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))))
+        .select("ci", "x", "n", (run + offset).alias("upto"), ranks.alias("ranks"))
+        .select("ci", "x", F.filter("ranks", lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))).alias("hit"))
         .where(F.size("hit") > 0)
-        .select("ci", "x", "hit")
         .collect()
     )
     return {(owners[r["ci"]], k): r["x"] for r in hits for k in r["hit"]}

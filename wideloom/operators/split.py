@@ -23,9 +23,9 @@ def with_split(df: DataFrame, keys: Sequence[str], target: str | None = None, *,
     """Mark an exact, per-class share of the rows as test rows.
 
     Rows are ordered by a hash of their keys and the first ones of each class form the test
-    part.  The hash prefix cuts every class into even cells.  Only the one cell per class in
-    which the quota runs out is ranked row by row; all other rows follow from cell counts, so
-    a class holding most of the table is never sorted in one task.
+    part; rows with equal keys stay together.  The hash prefix cuts every class into even
+    cells.  Only the cell in which a class fills its quota is looked at hash by hash, to find
+    the class's last test hash.  The table itself is neither shuffled nor sorted.
     """
     n = df.count()
     digits = 1
@@ -33,25 +33,26 @@ def with_split(df: DataFrame, keys: Sequence[str], target: str | None = None, *,
         digits += 1
     group = F.lit("") if target is None else F.coalesce(col(target).cast("string"), F.lit("missing"))
     keyed = df.withColumns({"_o": shuffle_key(keys, seed), "_y": group})
-    keyed = keyed.withColumn("_cell", F.substring("_o", 1, digits))
-    cells = keyed.groupBy("_y", "_cell").agg(F.count("*").alias("_n"))
+    placed = keyed.select("_y", "_o", F.substring("_o", 1, digits).alias("_cell"))
     by_class = W.partitionBy("_y")
-    running = by_class.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    upto = by_class.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
     quota = F.floor(F.sum("_n").over(by_class) * F.lit(test_share) + 0.5)
-    left = quota - (F.sum("_n").over(running) - F.col("_n"))
-    # One row per class: the cell in which its quota ends and what is still wanted from it.
+    left = quota - (F.sum("_n").over(upto) - F.col("_n"))
+    # At most 16^digits rows per class, then one row per class.
     ends = (
-        cells.select("_y", "_cell", left.alias("_left")).where("_left > 0")
+        placed.groupBy("_y", "_cell").agg(F.count("*").alias("_n"))
+        .select("_y", "_cell", left.alias("_left")).where("_left > 0")
         .groupBy("_y").agg(F.max(F.struct("_cell", "_left")).alias("_end"))
+        .select("_y", "_end._cell", "_end._left")
     )
-    marked = keyed.join(ends, "_y", "left")
-    partial = F.coalesce(F.col("_cell") == F.col("_end._cell"), F.lit(False))
-    columns = [col(c) for c in df.columns]
-    order = W.partitionBy("_y", "_cell").orderBy("_o", *[col(k) for k in keys])
-    before = F.coalesce(F.col("_cell") < F.col("_end._cell"), F.lit(False))
-    whole = marked.where(~partial).select(*columns, before.alias(out))
-    ranked = marked.where(partial).select(*columns, (F.row_number().over(order) <= F.col("_end._left")).alias(out))
-    return whole.unionByName(ranked)
+    before = F.sum("_n").over(by_class.orderBy("_o").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    last = (
+        placed.join(ends, ["_y", "_cell"]).groupBy("_y", "_o", "_left").agg(F.count("*").alias("_n"))
+        .select("_y", "_o", "_left", before.alias("_before")).where("_before < _left")
+        .groupBy("_y").agg(F.max("_o").alias("_last"))
+    )
+    return keyed.join(last, "_y", "left").select(
+        *[col(c) for c in df.columns], F.coalesce(F.col("_o") <= F.col("_last"), F.lit(False)).alias(out))
 
 
 def train_test(df: DataFrame, keys: Sequence[str], target: str | None = None, **kw) -> tuple[DataFrame, DataFrame]:

@@ -167,13 +167,11 @@ def variance_filter(spark, d):
     return rounded(out, 4, "variance")
 
 
-@query("corr_filter", f"""WITH v AS ({SELECTABLE.sql}) SELECT 'price2' AS feature FROM v
-HAVING corr(l_extendedprice, price2) > 0.95 AND abs(corr(price2, y)) < abs(corr(l_extendedprice, y))
-UNION ALL SELECT 'l_extendedprice' FROM v HAVING 1 = 0""")
+@query("corr_filter", f"""WITH v AS ({RELATED.sql}) SELECT 'net' AS feature FROM v
+HAVING corr(l_extendedprice, net) > 0.95 AND abs(corr(net, gross)) < abs(corr(l_extendedprice, gross))""")
 def corr_filter(spark, d):
-    df = SELECTABLE.frame(spark, d).select("l_quantity", "l_extendedprice", "price2", "line", "y")
-    done = selection.select_features(df, "y", methods=["correlation"])
-    return done.frame().where("NOT kept").select("feature")
+    df = RELATED.frame(spark, d).select("l_quantity", "l_extendedprice", "net", "l_tax", "gross")
+    return selection.select_features(df, "gross", methods=["correlation"]).frame().where("NOT kept").select("feature")
 
 
 @query("corr_filter_no_target", "SELECT 'l_extendedprice' AS feature WHERE 1 = 0 UNION ALL SELECT 'net' FROM lineitem HAVING count(*) > 0")
