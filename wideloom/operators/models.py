@@ -13,13 +13,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wideloom.functions.columns import col, families, melt, number
 from wideloom.functions.rules import Rule, fired
 from wideloom.operators.counts import lookup
 from wideloom.operators.evaluate import binary_metrics, regression_metrics, roc_auc, weighted_metrics
 from wideloom.operators.relations import is_classification
+from wideloom.operators.running import sorted_index
 from wideloom.operators.similarity import knn_vote
 
 # The configured model order per task; the first five are trained.
@@ -53,20 +54,29 @@ class Trained:
     error: str = ""
 
 
-def encode_target(df: DataFrame, target: str, out: str = LABEL) -> tuple[DataFrame, list[str]]:
-    """Class index in sorted order of the class text; nulls form the class ``missing``.
-
-    The class list has to fit the driver (it does for any sensible classification); it is
-    checked, and a target with more than 10 000 classes is refused.
-    """
+def class_list(df: DataFrame, target: str, limit: int = INDEX_LIMIT) -> list[str] | None:
+    """Classes in index order (numbers by value, nulls as ``missing``); None beyond ``limit``."""
     y = F.coalesce(col(target).cast("string"), F.lit("missing"))
-    found = df.select(y.alias("y")).distinct().limit(INDEX_LIMIT + 1).collect()
-    if len(found) > INDEX_LIMIT:
-        raise ValueError(f"{target} has more than {INDEX_LIMIT} classes")
+    found = [r["y"] for r in df.select(y.alias("y")).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        return None
     numeric = target in families(df).numeric
-    classes = sorted((r["y"] for r in found), key=lambda v: (v == "missing", float(v)) if numeric and v != "missing" else (numeric, v))
+    return sorted(found, key=lambda v: (v == "missing", float(v), "") if numeric and v != "missing" else (numeric, 0.0, v))
+
+
+def _class_index(target: str, classes: Sequence[str]) -> Column:
+    y = F.coalesce(col(target).cast("string"), F.lit("missing"))
     index = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    return df.withColumn(out, F.element_at(index, y)), classes
+    return F.try_element_at(index, y)
+
+
+def encode_target(df: DataFrame, target: str, out: str = LABEL) -> tuple[DataFrame, list[str]]:
+    """Class index in sorted order; the class list is empty when it is too long for the driver."""
+    classes = class_list(df, target)
+    if classes is None:
+        filled = df.withColumn("_target", F.coalesce(col(target).cast("string"), F.lit("missing")))
+        return label_encode(filled, "_target", out).withColumn(out, F.col(out).cast("double")).drop("_target"), []
+    return df.withColumn(out, _class_index(target, classes)), classes
 
 
 def label_encode(df: DataFrame, name: str, out: str) -> DataFrame:
@@ -76,9 +86,7 @@ def label_encode(df: DataFrame, name: str, out: str) -> DataFrame:
     """
     text = F.coalesce(col(name).cast("string"), F.lit("nan"))
     counts = df.groupBy(text.alias("_key")).agg(F.count("*").alias("_count"))
-    ordered = counts.orderBy("_key").rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
-    table = df.sparkSession.createDataFrame(ordered, "_key string, _count bigint, _code bigint")
-    joined = lookup(df.withColumn("_key", text), "_key", table, "_count", F.lit(0), "_code")
+    joined = lookup(df.withColumn("_key", text), "_key", sorted_index(counts, "_key", "_code"), "_count", F.lit(0), "_code")
     return joined.select(*[col(c) for c in df.columns], F.col("_code").alias(out))
 
 
@@ -99,15 +107,15 @@ def prepare(train: DataFrame, test: DataFrame, target: str, keys: Sequence[str],
     classify = is_classification(fit_on, target, task)
     classes: list[str] = []
     if classify:
-        _, classes = encode_target(fit_on, target)
+        classes = class_list(fit_on, target)
+        if classes is None:
+            raise ValueError(f"{target} has more than {INDEX_LIMIT} classes, too many to train a classifier")
     else:
         fill = fit_on.agg(F.avg(number(fit_on, target))).head()[0]
 
     def ready(df: DataFrame) -> DataFrame:
         if classify:
-            y = F.coalesce(col(target).cast("string"), F.lit("missing"))
-            index = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-            label = F.element_at(index, y)
+            label = _class_index(target, classes)
         else:
             label = F.coalesce(number(df, target), F.lit(fill))
         key = F.concat_ws("|", *[col(k).cast("string") for k in keys])
@@ -119,11 +127,22 @@ def prepare(train: DataFrame, test: DataFrame, target: str, keys: Sequence[str],
     return Prepared(*parts, "classification" if classify else "regression", names, classes)
 
 
-def estimator(name: str, task: str, classes: int = 2, rows: int = 1, weight: str | None = None, **params):
+def balanced(data: Prepared, out: str = "weight") -> Prepared:
+    """Training rows weighted by n / (classes x class count); train with ``weight="weight"``."""
+    counts = {r[LABEL]: r["n"] for r in data.train.groupBy(LABEL).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    weight = F.lit(1.0)
+    for label, n in counts.items():
+        weight = F.when(F.col(LABEL) == F.lit(label), F.lit(total / (len(counts) * n))).otherwise(weight)
+    return Prepared(data.train.withColumn(out, weight), data.test, data.task, data.features, data.classes)
+
+
+def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std: float = 1.0, weight: str | None = None, **params):
     """The MLlib estimator behind a configured model name.
 
     MLlib averages the loss over the ``rows`` training rows, so penalties stated for a summed
-    loss are divided by that number.
+    loss are divided by that number.  It also scales the label, which a squared penalty has to
+    make up for with ``label_std``.
     """
     cols = {"labelCol": LABEL, "featuresCol": FEATURES}
     weighted = {"weightCol": weight} if weight else {}
@@ -146,7 +165,7 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, weight: str
         if name == "gbt":
             return GBTRegressor(**cols, **{"maxIter": TREES, "maxDepth": 3, "stepSize": 0.1, "seed": SEED, **params})
         if name in ("linear", "ridge", "lasso"):
-            penalty, mix = {"linear": (0.0, 0.0), "ridge": (1.0 / rows, 0.0), "lasso": (1.0, 1.0)}[name]
+            penalty, mix = {"linear": (0.0, 0.0), "ridge": (label_std / rows, 0.0), "lasso": (1.0, 1.0)}[name]
             return LinearRegression(**cols, **{"regParam": penalty, "elasticNetParam": mix, "standardization": False, **params})
     raise ValueError(f"no {task} model named {name}")
 
@@ -200,7 +219,8 @@ def train_one(name: str, data: Prepared, **params) -> tuple[PipelineModel | None
             KEY, LABEL, F.col("prediction").cast("double").alias(PREDICTION), F.lit(None).cast("double").alias(SCORE))
         return None, scored
     steps = []
-    model_in = estimator(name, data.task, max(len(data.classes), 2), data.train.count(), **params)
+    rows, std = data.train.agg(F.count("*"), F.stddev_pop(LABEL)).head()
+    model_in = estimator(name, data.task, max(len(data.classes), 2), max(rows, 1), std or 1.0, **params)
     if name == "svc":
         scaler = StandardScaler(inputCol=FEATURES, outputCol="scaled", withMean=True)
         model_in = model_in.copy()

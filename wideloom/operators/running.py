@@ -63,3 +63,25 @@ def running_totals(
         ranged.join(F.broadcast(offsets), "_range")
         .select(*df.columns, *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
     )
+
+
+def sorted_index(df: DataFrame, key: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add the 0-based position of every row by ``key``, whose values must be distinct.
+
+    Small tables use one window.  Larger ones are cut at sampled keys; the sample only decides
+    where the ranges start, and is fixed before the ranges are counted.
+    """
+    n = df.count()
+    ranges = min(MAX_RANGES, math.ceil(n / range_rows))
+    if ranges <= 1:
+        return df.withColumn(out, F.row_number().over(W.orderBy(key)).cast("bigint") - 1)
+    share = min(1.0, 20.0 * ranges / n)
+    sample = sorted(r[0] for r in df.select(key).sample(share, seed=42).collect())
+    points = sorted(set(sample[:: max(1, len(sample) // ranges)]))
+    cuts = F.array(*[F.lit(p) for p in points])
+    ranged = df.withColumn("_range", F.size(F.filter(cuts, lambda p: p <= F.col(key))))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1 + F.col("_o")
+    return ranged.join(F.broadcast(offsets), "_range").select(*df.columns, place.alias(out))

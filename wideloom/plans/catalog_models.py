@@ -308,6 +308,46 @@ for _name, _model, _task, _params in (
     query(_name)(_train(_model, _task, **_params))
 
 
+def _manual_split(spark, d, target: str, task: str, *names):
+    df = table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"), "l_orderkey", *names, "l_extendedprice",
+        (F.col("l_quantity") * 1000 + F.col("l_discount") * 5000 > 26000).cast("int").alias("big"))
+    drop = [c for c in ("l_orderkey", "l_extendedprice", "big") if c != target]
+    train, test = df.where("l_orderkey % 5 <> 0").drop(*drop), df.where("l_orderkey % 5 = 0").drop(*drop)
+    return models.prepare(train, test, target, ["row_key"], task=task)
+
+
+def _gauss(c: str) -> str:
+    return f"ln(v{c}) + power({c} - m{c}, 2) / v{c}"
+
+
+@query("nb_confusion", f"""
+WITH t AS (SELECT CASE WHEN l_quantity * 1000 + l_discount * 5000 > 26000 THEN 1.0 ELSE 0.0 END AS y, l_quantity AS a, l_discount AS b, l_tax AS c, l_orderkey % 5 = 0 AS test FROM lineitem),
+m AS (SELECT y AS k, count(*) AS n, avg(a) AS ma, var_pop(a) AS va, avg(b) AS mb, var_pop(b) AS vb, avg(c) AS mc, var_pop(c) AS vc FROM t WHERE NOT test GROUP BY y),
+s AS (SELECT arg_max(k, ln(n) - 0.5 * ({_gauss('a')} + {_gauss('b')} + {_gauss('c')})) AS prediction, r, any_value(y) AS label FROM
+ (SELECT *, row_number() OVER () AS r FROM t WHERE test) q, m GROUP BY r)
+SELECT CAST(label AS DOUBLE) AS label, CAST(prediction AS DOUBLE) AS prediction, count(*) AS cnt FROM s GROUP BY 1, 2""")
+def nb_confusion(spark, d):
+    data = _manual_split(spark, d, "big", "classification", "l_quantity", "l_discount", "l_tax")
+    return evaluate.confusion_matrix(models.train_one("naive_bayes", data)[1])
+
+
+@query("linear_test_metrics", """
+WITH m AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem WHERE l_orderkey % 5 <> 0),
+p AS (SELECT l_extendedprice AS y, a + b * l_quantity AS p FROM lineitem, m WHERE l_orderkey % 5 = 0)
+SELECT count(*) AS n, round(1 - sum(power(y - p, 2)) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg(power(y - p, 2))), 3) AS rmse, round(avg(abs(y - p)), 3) AS mae FROM p""")
+def linear_test_metrics(spark, d):
+    data = _manual_split(spark, d, "l_extendedprice", "regression", "l_quantity")
+    out = evaluate.regression_metrics(models.train_one("linear", data)[1]).drop("mse")
+    return rounded(rounded(out, 6, "r2"), 3, "rmse", "mae")
+
+
+@query("train_weighted")
+def train_weighted(spark, d):
+    data = models.balanced(_prepared(spark, d, "big", "classification"))
+    return models.leaderboard_frame(spark, models.train_models(data, ["naive_bayes"], weight="weight")).drop("seconds")
+
+
 @query("feature_importance")
 def feature_importance(spark, d):
     data = _prepared(spark, d, "big", "classification")

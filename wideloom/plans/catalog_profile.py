@@ -227,15 +227,21 @@ def target_correlations(spark, d):
     return rounded(relations.target_correlations(RELATED.frame(spark, d), "l_extendedprice"), 6, "correlation")
 
 
-def _mi_sql(names, y: str, source: str, bins: int = 10) -> str:
-    def one(c):
-        edges = ", ".join(f"quantile_cont({c}, {i / bins!r}) AS e{i}" for i in range(1, bins))
-        cut = " + ".join(f"CASE WHEN {c} > e{i} AND e{i} > {f'e{i-1}' if i > 1 else 'e1 - 1'} THEN 1 ELSE 0 END" for i in range(1, bins))
-        return (
-            f"SELECT '{c}' AS \"column\", round(greatest(sum(nxy * 1.0 / n * ln(nxy * 1.0 * n / (nx * 1.0 * ny))), 0), 6) AS mi_binned FROM ("
-            f"SELECT xb, y, count(*) AS nxy, sum(count(*)) OVER (PARTITION BY xb) AS nx, sum(count(*)) OVER (PARTITION BY y) AS ny, "
-            f"sum(count(*)) OVER () AS n FROM (SELECT {cut} AS xb, {y} AS y FROM {source}, (SELECT {edges} FROM {source}) e) b GROUP BY xb, y) j")
-    return union_sql(one(c) for c in names)
+def _cut_sql(c: str, e: str, bins: int) -> str:
+    return " + ".join(f"CASE WHEN {c} > {e}{i} AND {e}{i} > {f'{e}{i - 1}' if i > 1 else f'{e}1 - 1'} THEN 1 ELSE 0 END" for i in range(1, bins))
+
+
+def _edges_sql(c: str, e: str, source: str, bins: int) -> str:
+    return "(SELECT " + ", ".join(f"quantile_cont({c}, {i / bins!r}) AS {e}{i}" for i in range(1, bins)) + f" FROM {source}) {e}"
+
+
+def _mi_sql(names, y: str, source: str, bins: int = 10, cut_target: bool = False) -> str:
+    target, more = (f"({_cut_sql(y, 'g', bins)})", f", {_edges_sql(y, 'g', source, bins)}") if cut_target else (y, "")
+    return union_sql(
+        f"SELECT '{c}' AS \"column\", round(greatest(sum(nxy * 1.0 / n * ln(nxy * 1.0 * n / (nx * 1.0 * ny))), 0), 6) AS mi_binned FROM ("
+        f"SELECT xb, y, count(*) AS nxy, sum(count(*)) OVER (PARTITION BY xb) AS nx, sum(count(*)) OVER (PARTITION BY y) AS ny, "
+        f"sum(count(*)) OVER () AS n FROM (SELECT {_cut_sql(c, 'e', bins)} AS xb, {target} AS y FROM {source}, {_edges_sql(c, 'e', source, bins)}{more}) b GROUP BY xb, y) j"
+        for c in names)
 
 
 @query("mi_binned", _mi_sql(("l_quantity", "l_discount", "l_tax", "l_linenumber"), "l_returnflag", "lineitem"))
@@ -244,9 +250,9 @@ def mi_binned(spark, d):
     return rounded(relations.mutual_information(li, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linenumber"]), 6, "mi_binned")
 
 
-@query("mi_binned_regression")
+@query("mi_binned_regression", _mi_sql(("l_quantity", "l_discount", "l_tax"), "l_extendedprice", "lineitem", cut_target=True))
 def mi_binned_regression(spark, d):
-    return relations.mutual_information(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return rounded(relations.mutual_information(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 6, "mi_binned")
 
 
 # Quality ---------------------------------------------------------------------------------------
