@@ -28,7 +28,7 @@ def shape(df: DataFrame) -> DataFrame:
 def null_profile(df: DataFrame) -> DataFrame:
     """``(column, null_count, null_pct)`` from a single aggregation."""
     names = df.columns
-    missing = [F.count("*") - F.count(_value(df, n)) for n in names]
+    missing = [F.count("*") - F.count(present(df, n)) for n in names]
     wide = df.agg(F.count("*").alias("n"), *[m.alias(f"c{i}") for i, m in enumerate(missing)])
     rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"c{i}").alias("null_count"))
                      for i, n in enumerate(names)])
@@ -40,7 +40,7 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def overall_nulls(df: DataFrame) -> DataFrame:
     """``(null_cells, cells, null_pct)`` over the whole table."""
-    nulls = sum((F.count("*") - F.count(_value(df, n)) for n in df.columns), F.lit(0))
+    nulls = sum((F.count("*") - F.count(present(df, n)) for n in df.columns), F.lit(0))
     cells = F.count("*") * len(df.columns)
     return df.agg(nulls.alias("null_cells"), cells.alias("cells")).select(
         "null_cells", "cells",
@@ -56,7 +56,8 @@ def high_null_columns(df: DataFrame, above: float = HIGH_NULL_PCT) -> DataFrame:
     return null_profile(df).where(F.col("null_pct") > above)
 
 
-def _value(df: DataFrame, name: str) -> Column:
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as NULL, for counting."""
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(col(name)), col(name))
     return col(name)
@@ -177,7 +178,7 @@ def distinct_flags(df: DataFrame, names: Sequence[str] | None = None, *, approx:
     names = list(df.columns if names is None else names)
     kinds = families(df)
     distinct = distinct_counts(df, names, approx)
-    wide = df.agg(F.count("*").alias("n_rows"), *[(F.count("*") - F.count(_value(df, c))).alias(f"c{i}")
+    wide = df.agg(F.count("*").alias("n_rows"), *[(F.count("*") - F.count(present(df, c))).alias(f"c{i}")
                                                    for i, c in enumerate(names)])
     rows = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(kinds.of(c)).alias("family"),
@@ -193,18 +194,22 @@ def distinct_flags(df: DataFrame, names: Sequence[str] | None = None, *, approx:
     )
 
 
-def memory_estimate(df: DataFrame) -> DataFrame:
-    """Estimated in-memory size: fixed widths plus the bytes of the strings."""
+def memory_bytes(df: DataFrame) -> Column:
+    """Aggregate for the estimated in-memory size: fixed widths plus the bytes of the strings."""
     total = F.lit(0).cast("bigint")
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             total = total + F.coalesce(F.sum(F.octet_length(col(f.name)).cast("bigint")), F.lit(0))
-        elif isinstance(f.dataType, (T.ArrayType,)) and isinstance(f.dataType.elementType, T.NumericType):
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
             width = FIXED_WIDTH.get(f.dataType.elementType.simpleString(), 8)
             total = total + F.coalesce(F.sum(F.greatest(F.size(col(f.name)), F.lit(0)).cast("bigint") * width), F.lit(0))
         else:
             total = total + F.count("*") * FIXED_WIDTH.get(f.dataType.simpleString(), 8)
-    return df.agg(total.alias("bytes")).select("bytes", (F.col("bytes") / 1048576.0).alias("memory_mb"))
+    return total
+
+
+def memory_estimate(df: DataFrame) -> DataFrame:
+    return df.agg(memory_bytes(df).alias("bytes")).select("bytes", (F.col("bytes") / 1048576.0).alias("memory_mb"))
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
@@ -221,7 +226,7 @@ def column_summary(df: DataFrame, first: int | None = None, digits: int = 1, *,
     names = df.columns[:first] if first else df.columns
     kinds = families(df)
     distinct = distinct_counts(df, names, approx)
-    wide = df.agg(F.count("*").alias("n"), *[F.count(_value(df, c)).alias(f"c{i}") for i, c in enumerate(names)])
+    wide = df.agg(F.count("*").alias("n"), *[F.count(present(df, c)).alias(f"c{i}") for i, c in enumerate(names)])
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kinds.of(c)).alias("family"),
                  F.col(f"c{i}").alias("non_null"), F.lit(distinct[c]).cast("bigint").alias("unique_values"))
@@ -296,7 +301,7 @@ def table_facts(df: DataFrame, *, approx: bool = False, duplicates: bool = True,
     """Profile the table once and keep the numbers the planning rules read."""
     kinds = families(df)
     names = [c for c in df.columns if c not in kinds.skipped]
-    row = df.agg(F.count("*").alias("n"), *[F.count(_value(df, c)).alias(f"c{i}") for i, c in enumerate(names)]).head()
+    row = df.agg(F.count("*").alias("n"), *[F.count(present(df, c)).alias(f"c{i}") for i, c in enumerate(names)]).head()
     distinct = distinct_counts(df, names, approx)
     numeric = {r["column"]: r.asDict() for r in numeric_table(df, approx=approx).collect()} \
         if moments and kinds.numeric else {}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wideloom.functions.columns import col, families
 from wideloom.functions.rules import Rule, fired
 from wideloom.operators.counts import distinct_counts, duplicate_rows, value_counts
-from wideloom.operators.profile import TableFacts, memory_estimate, null_profile
+from wideloom.operators.profile import HIGH_NULL_PCT, TableFacts, memory_bytes, present
 
 MIN_ROWS = 10
 MIN_COLUMNS = 2
@@ -70,28 +70,32 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
 
 
 def quality_issues(df: DataFrame, target: str | None = None) -> DataFrame:
-    """``(issue, column, value)``: null-heavy and constant columns, copies, target trouble, size."""
-    nulls = null_profile(df)
-    out = nulls.where("null_pct > 50").select(F.lit("high_null").alias("issue"), "column", F.col("null_pct").alias("value"))
+    """``(issue, column, value)``: null-heavy and constant columns, copies, target trouble, size.
+
+    Everything but copies and classes comes from one aggregation.
+    """
+    names = df.columns
     distinct = distinct_counts(df)
-    constant = [c for c, d in distinct.items() if d <= 1]
-    if constant:
-        out = out.unionByName(nulls.where(F.col("column").isin(constant))
-                              .select(F.lit("constant").alias("issue"), "column", F.lit(1.0).alias("value")))
+    wide = df.agg(F.count("*").alias("n"), memory_bytes(df).alias("bytes"),
+                  *[(F.count("*") - F.count(present(df, c))).alias(f"c{i}") for i, c in enumerate(names)])
+    pct = [F.coalesce(F.try_divide(F.col(f"c{i}") * 100.0, F.col("n")), F.lit(0.0)) for i in range(len(names))]
+    megabytes = F.col("bytes") / 1048576.0
+    found = [("high_null", c, pct[i] > HIGH_NULL_PCT, pct[i]) for i, c in enumerate(names)]
+    found += [("constant", c, F.lit(True), F.lit(1.0)) for c in names if distinct.get(c, 2) <= 1]
+    if target in names:
+        i = names.index(target)
+        found.append(("target_nulls", target, pct[i] > TARGET_NULL_WARN_PCT, pct[i]))
+    found.append(("large_table", "", megabytes > LARGE_TABLE_MB, megabytes))
+    rows = F.array(*[F.struct(F.lit(issue).alias("issue"), F.lit(c).alias("column"), value.cast("double").alias("value"), fires.alias("fires"))
+                     for issue, c, fires, value in found])
+    out = wide.select(F.inline(rows)).where("fires").select("issue", "column", "value")
     copies = duplicate_rows(df).where("duplicate_rows > 0")
     out = out.unionByName(copies.select(F.lit("duplicate_rows").alias("issue"), F.lit("").alias("column"),
                                         F.col("duplicate_rows").cast("double").alias("value")))
-    if target is not None:
-        out = out.unionByName(
-            nulls.where((F.col("column") == target) & (F.col("null_pct") > TARGET_NULL_WARN_PCT))
-            .select(F.lit("target_nulls").alias("issue"), "column", F.col("null_pct").alias("value")))
-        if target in families(df).categorical or distinct[target] < 20:
-            out = out.unionByName(class_imbalance(df, target).where("imbalanced")
-                                  .select(F.lit("class_imbalance").alias("issue"), F.lit(target).alias("column"),
-                                          F.col("ratio").alias("value")))
-    return out.unionByName(
-        memory_estimate(df).where(F.col("memory_mb") > LARGE_TABLE_MB)
-        .select(F.lit("large_table").alias("issue"), F.lit("").alias("column"), F.col("memory_mb").alias("value")))
+    if target in names and (target in families(df).categorical or distinct[target] < 20):
+        out = out.unionByName(class_imbalance(df, target).where("imbalanced")
+                              .select(F.lit("class_imbalance").alias("issue"), F.lit(target).alias("column"), F.col("ratio").alias("value")))
+    return out
 
 
 def facts_frame(df: DataFrame, facts: TableFacts) -> DataFrame:

@@ -8,14 +8,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wideloom.functions.columns import col, families, label_of, melt, number
 from wideloom.operators.counts import distinct_counts
 from wideloom.operators.quantiles import exact_quantiles
 
 PAIR_THRESHOLD = 0.8
-MAX_SUMS = 160
+MAX_SUMS = 64
 FEW_CLASSES = 20
 
 

@@ -8,7 +8,7 @@ from wideloom.operators import cleaning, runlog, similarity
 from wideloom.plans import flow
 from wideloom.plans.catalog_profile import _scratch
 from wideloom.plans.inputs import LOG, RUNS
-from wideloom.plans.registry import query, rounded, table, union_sql
+from wideloom.plans.registry import query, rounded, table
 
 _LATEST = f"""v AS ({LOG.sql}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY timestamp DESC, event_id DESC) AS k FROM v),
 l AS (SELECT * FROM r WHERE k = 1)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wideloom.operators import profile, quality, relations
@@ -366,8 +368,10 @@ def family_projection(spark, d):
 
 def _scratch(spark, name: str) -> str:
     """New folder for one run on the storage the session shares; Spark jobs read it back."""
-    import uuid
-    return f"{shared_dir(spark).rstrip('/')}/wideloom-{name}-{uuid.uuid4().hex}"
+    base = shared_dir(spark)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base.rstrip('/')}/wideloom-{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderpriority, "

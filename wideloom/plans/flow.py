@@ -186,12 +186,13 @@ class Stages:
     def current(self) -> DataFrame:
         """``(stage, version, path)`` of the visible snapshots."""
         place = F.array_position(F.array(*[F.lit(s) for s in self.order]), F.col("stage"))
-        rows = self.history().withColumn("place", place)
-        saved = rows.where("event = 'saved'")
-        undone = rows.where("event = 'rollback'").select(F.col("version").alias("rv"), F.col("place").alias("rp"))
-        hidden = saved.join(undone, (F.col("version") < F.col("rv")) & (F.col("place") > F.col("rp")), "left_anti")
+        later = W.partitionBy("run").orderBy("version").rowsBetween(1, W.unboundedFollowing)
+        # The manifest of a run has one row per save or rollback.
+        rows = self.history().withColumn("place", place).withColumn(
+            "kept_to", F.min(F.when(F.col("event") == "rollback", F.col("place"))).over(later))
+        visible = rows.where((F.col("event") == "saved") & (F.col("kept_to").isNull() | (F.col("place") <= F.col("kept_to"))))
         newest = W.partitionBy("stage").orderBy(F.desc("version"))
-        return hidden.withColumn("n", F.row_number().over(newest)).where("n = 1").select("stage", "version", "path")
+        return visible.withColumn("n", F.row_number().over(newest)).where("n = 1").select("stage", "version", "path")
 
     def load(self, stage: str) -> DataFrame:
         row = self.current().where(F.col("stage") == stage).head()
