@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -19,6 +21,7 @@ from wideloom.functions.columns import melt, number
 SMALL_TABLE = 200_000
 BUCKET_ROWS = 2_000_000
 BINS = 512
+FILTER_SPANS = 64
 
 
 @dataclass
@@ -116,6 +119,8 @@ def _spans_long(df: DataFrame, values: Sequence[Column], spans: dict[int, list[_
     compiled once and not once per column.
     """
     width = max(len(s) for s in spans.values())
+    if not everything and sum(len(s) for s in spans.values()) <= FILTER_SPANS:
+        df = df.where(reduce(or_, [values[ci].between(s.low, s.high) for ci, ss in spans.items() for s in ss]))
     names = [f"{part}{i}" for i in range(width) for part in ("lo", "hi", "log")]
     long = melt(df, [[values[ci], *_slots(s, width)] for ci, s in spans.items()], ["x", *names]).where("x IS NOT NULL")
     if everything:
