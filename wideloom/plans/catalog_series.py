@@ -111,14 +111,14 @@ def ts_fold_sizes(spark, d):
 @query("ts_errors", f"""WITH {_FOLDS}, x AS (SELECT fold, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) < train_end AS is_train, sum(o_totalprice) AS total
  FROM orders JOIN k ON CAST(o_orderdate AS DATE) >= train_start AND CAST(o_orderdate AS DATE) < test_end GROUP BY 1, 2, 3),
 p AS (SELECT fold, avg(total) AS p FROM x WHERE is_train GROUP BY fold), e AS (SELECT x.fold, total AS y, p FROM x JOIN p ON x.fold = p.fold WHERE NOT is_train)
-SELECT fold, count(*) AS n, round(avg(abs(y - p)), 2) AS mae, round(sqrt(avg(power(y - p, 2))), 2) AS rmse, round(avg(abs(y - p) / nullif(abs(y), 0)) * 100, 4) AS mape,
+SELECT fold, count(*) AS n, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg(power(y - p, 2))), 4) AS rmse, round(avg(abs(y - p) / nullif(abs(y), 0)) * 100, 4) AS mape,
  round(avg(2 * abs(y - p) / nullif(abs(y) + abs(p), 0)) * 100, 4) AS smape FROM e GROUP BY fold""")
 def ts_errors(spark, d):
     """Mean forecast per walk-forward fold."""
     rows = _fold_rows(spark, d)
     mean = rows.where("role = 'train'").groupBy("fold").agg(F.avg("total").alias("forecast"))
     out = ts.errors(rows.where("role = 'test'").join(mean, "fold"), "total", "forecast", ["fold"])
-    return rounded(rounded(out, 2, "mae", "rmse"), 4, "mape", "smape")
+    return rounded(out, 4, "mae", "rmse", "mape", "smape")
 
 
 @query("ts_granularity", "WITH d AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events), g AS (SELECT event_type, date_diff('day', lag(day) OVER (PARTITION BY event_type ORDER BY day), day) AS gap FROM d) "
