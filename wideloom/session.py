@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,21 @@ def local_session(cores: int | str = 8, app: str = "wideloom", **conf: str) -> S
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per session, so that it need not be installed on executors."""
+    context = spark.sparkContext
+    if getattr(context, "_wideloom_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():  # else the package is itself read from an archive that was sent
+        archive = Path(tempfile.mkdtemp(prefix="wideloom-")) / "wideloom.zip"  # served by the driver to every executor
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    context._wideloom_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str | None:
     """The checkpoint folder of the session, set here only for local runs that lack one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
