@@ -131,6 +131,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in the one column of ``ids``; null ids stay."""
+    name = "_" + uuid.uuid4().hex   # no column of the input has this name
+    gone = ids.toDF(name).distinct().hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone[name], "left_anti")
+
+
 def letters_present(column: Column) -> Column:
     return F.coalesce(column.rlike(r"\p{L}"), F.lit(False))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wideloom.llm.common import stored
+from wideloom.llm.common import stored, without
 
 
 def tokens(text: Column) -> Column:
@@ -90,5 +90,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, k: int = 5, percent: int = 8
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document contains no benchmark item."""
-    bad = leaks(docs, benchmark, k=k, percent=percent).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == F.col("_leak"), "left_anti")
+    return without(docs, leaks(docs, benchmark, k=k, percent=percent).select("doc_id"))

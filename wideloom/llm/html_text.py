@@ -3,7 +3,8 @@
 A page is cut at block elements.  First pass: blocks inside menus, footers, forms, adverts, notices, reader
 comments and the like are bad; of the others, a block of mostly links is bad, a long one with enough stop
 words is good, one with neither is undecided.  Second pass: undecided blocks take the label of the nearest
-decided neighbours before and after within the same part of the page, of the nearer one if they differ.
+decided neighbours before and after within the same part of the page, of the nearer one if they differ; a
+heading takes the label of what follows it.
 If the page marks its article (``article``, ``main`` or the matching role), that is a part of its own whose
 undecided blocks are good when it has no decided one, and what lies outside of it is bad.
 
@@ -38,6 +39,7 @@ SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object",
 BOILER = frozenset("nav footer aside form button select textarea fieldset dialog menu label option".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NAMED = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|popup|modal|alert|newsletter|subscribe
 |signup|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|site-?header|page-?header|masthead|topbar|comments?|respond|disqus|replies|share|sharing|social|related|recommended
@@ -49,10 +51,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "boiler", "article")
+    __slots__ = ("text", "linked", "boiler", "article", "heading")
 
-    def __init__(self, text: str, linked: int, boiler: bool, article: bool):
-        self.text, self.linked, self.boiler, self.article = text, linked, boiler, article
+    def __init__(self, text: str, linked: int, boiler: bool, article: bool, heading: bool):
+        self.text, self.linked, self.boiler, self.article, self.heading = text, linked, boiler, article, heading
 
 
 def _traits(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -81,7 +83,7 @@ def blocks(page: str) -> list[Block]:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 inside = len(SPACE.sub(" ", html.unescape("".join(linked))).strip())
-                out.append(Block(text, inside, boiler > 0, article > 0))
+                out.append(Block(text, inside, boiler > 0, article > 0, bool(stack) and stack[-1][0] in HEADINGS))
             parts.clear()
             linked.clear()
 
@@ -162,7 +164,9 @@ def second_pass(found: list[Block], label: list[bool | None]) -> list[bool]:
                 keep[i] = label[i]
                 continue
             near = [x for x in (before[j], last) if x]
-            if not near:
+            if found[i].heading and last:
+                keep[i] = last[1]
+            elif not near:
                 keep[i] = part
             elif len({v for _, v in near}) == 1:
                 keep[i] = near[0][1]

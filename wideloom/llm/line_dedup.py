@@ -43,10 +43,11 @@ def repeats(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS)
 
 
 def remove(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated units cut out of ``text`` and ``removed``, their numbers and original spans."""
-    gone = repeats(docs, separator, min_words).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("unit", "start", "end"))).alias("removed")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_id"), "left").drop("_id")
+    """``docs`` with the repeated units cut out of ``text``, and ``removed``: their numbers and original spans."""
+    gone = repeats(docs, separator, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end"))).alias("removed"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbers = F.transform("removed", lambda r: r["unit"])
     rest = F.filter(F.split("text", separator, -1), lambda p, i: ~F.array_contains(numbers, i))
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(rest, separator)))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(rest, separator))
+    return rows.join(gone, "doc_id", "left").select(
+        *[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "removed"], "removed")

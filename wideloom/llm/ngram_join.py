@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wideloom.llm.common import coded, components, hashes, map_rows, mix, stored, texts, words
+from wideloom.llm.common import coded, components, hashes, map_rows, mix, stored, texts, without, words
 
 HOT_LIST = 32            # a gram in more lists goes last in the order
 HOT_GRAMS = 1_000_000    # bound on the broadcast hot grams (8 MB); the limit above rises to keep it
@@ -216,8 +216,7 @@ def drop_near_copies(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataF
     Rows with a null id stay.  Rows that repeat an id are kept once.
     """
     classes = stored(jaccard_classes(docs, k=k, percent=percent), "classes")
-    gone = classes.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti")
+    kept = without(docs, classes.where("component_id < doc_id").select("doc_id"))
     if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
