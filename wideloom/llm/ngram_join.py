@@ -14,6 +14,9 @@ measured mean list makes both equal.  Light sets large enough to link with a hea
 Grams are ordered by hash, with those in more than ``hot`` lists last, so that passages shared by many
 documents do not become lists.  Which grams count as hot changes the cost only, never the result.
 
+Lists are divided by set size, and a set enters only the divisions where the place of the gram in its prefix
+still allows a link.  Pairs that meet are compared on their prefixes, and those left on their whole sets.
+
 Equal sets are one class from the start.  Within a list, members are first compared with one hub each
 (several rounds, other hubs each time); lists whose members are all in one group are done.  The remaining
 pairs of different groups are then all compared, in blocks, so no link between different texts is lost
@@ -26,6 +29,7 @@ Rows with a null id are left out, as a class is named by ids.  Columns but id an
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -35,10 +39,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wideloom.llm.common import coded, components, hashes, map_rows, mix, stored, texts, without, words
 
-HOT_LIST = 32            # a gram in more lists goes last in the order
+HOT_LIST = 8             # a gram in more lists goes last in the order
 HOT_GRAMS = 1_000_000    # bound on the broadcast hot grams (8 MB); the limit above rises to keep it
 PAIRS_PER_ROW = 4        # remaining pairs per list row at which the exact last step starts
 HUB_ROUNDS = 4
+SIZE_STEP = 1.03         # ratio of the sizes in neighbouring buckets
+SKETCH = 8               # integers of a parity sketch
 BLOCK = 512              # members of a list on one side of a block of pairs
 SALT_ROWS = 2_000        # partners of one hub per salt
 
@@ -76,8 +82,17 @@ def prefix(grams: np.ndarray, size: int, hot: np.ndarray) -> np.ndarray:
     return cold[:size] if len(cold) >= size else np.concatenate([cold, grams[last][:size - len(cold)]])
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of grams falls in each of ``64 * SKETCH`` buckets, as bits of integers.
+
+    The bits in which two sets differ are at most as many as the grams in which they differ.
+    """
+    odd = np.bincount((grams.view(np.uint64) >> np.uint64(7)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, wide: bool) -> DataFrame:
-    """``(doc_id, n, digest, prefix)``; ``wide`` doubles the prefix, to see what would come next."""
+    """``(doc_id, n, digest, prefix, sketch)``; ``wide`` doubles the prefix, to see what would come next."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(c):
@@ -87,14 +102,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, wide: bool
                  for g, s in zip(sets, size)]
         yield pa.RecordBatch.from_arrays([
             pa.array(c["doc_id"], pa.int64()), pa.array([len(g) for g in sets], pa.int32()),
-            pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-            ["doc_id", "n", "digest", "prefix"])
-    return map_rows(docs, run, "doc_id bigint, n int, digest binary, prefix array<bigint>")
+            pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), pa.array(heads, pa.list_(pa.int64())),
+            pa.array([None if wide or not len(h) else parity(g) for g, h in zip(sets, heads)], pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix", "sketch"])
+    return map_rows(docs, run, "doc_id bigint, n int, digest binary, prefix array<bigint>, sketch array<bigint>")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
     """One row per distinct non-empty set, named by its smallest id."""
-    return rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
 
 
 def hot_grams(lists: DataFrame, hot: int, bound: int = HOT_GRAMS) -> tuple[np.ndarray, float]:
@@ -122,29 +137,74 @@ def boundary(mean_list: float, percent: int) -> int:
 
 
 def _keys(classes: DataFrame, light: int, percent: int) -> DataFrame:
-    """``(key, rep, n)``: 2-subsets of light sets, single grams of heavy sets and of the light ones next to them."""
+    """``(key, pos, rep, n)``: 2-subsets of light sets, single grams of heavy sets and of the light ones next to them.
+
+    ``pos`` says that a set whose first shared key is here has at most ``n - pos + 1`` grams in common: the
+    place of a gram in the prefix, or for two grams the place of the second less one.
+    """
     d = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int")
-    single = F.when(F.col("n") * 100 >= percent * (light + 1), F.slice("prefix", 1, d + 1)).otherwise(F.array().cast("array<bigint>"))
-    subsets = F.when(F.col("n") <= light, F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))),
-        lambda i: F.transform(F.slice("prefix", i + 1, F.greatest(F.size("prefix") - i, F.lit(0))),
-                              lambda y: F.xxhash64(F.element_at("prefix", i), y))))).otherwise(F.array().cast("array<bigint>"))
-    return classes.where("size(prefix) > 0").select("rep", "n", F.explode(F.array_distinct(F.concat(single, subsets))).alias("key"))
+    none = F.array().cast("array<struct<key:bigint,pos:int>>")
+    entry = lambda key, pos: F.struct(key.alias("key"), pos.cast("int").alias("pos"))
+    single = F.when(F.col("n") * 100 >= percent * (light + 1), F.transform(F.slice("prefix", F.lit(1), d + 1), lambda g, i: entry(g, i + 1))).otherwise(none)
+    subsets = F.when((F.col("n") <= light) & (F.size("prefix") > 1), F.flatten(F.transform(
+        F.sequence(F.lit(2), F.size("prefix")),
+        lambda j: F.transform(F.slice("prefix", F.lit(1), j - 1), lambda g: entry(F.xxhash64(g, F.element_at("prefix", j)), j - 1))))).otherwise(none)
+    return classes.where("size(prefix) > 0").select("rep", "n", F.explode(F.concat(single, subsets)).alias("e")).select("e.key", "e.pos", "rep", "n")
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _bucket(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(SIZE_STEP)).cast("int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets link.  ``b`` may be a hub of very many pairs, so its partners are salted."""
+def _entries(postings: DataFrame, percent: int) -> DataFrame:
+    """``(key, bucket, home, rep, n, pos)``: where a set waits for larger partners, and where it looks for smaller ones.
+
+    A set at ``pos`` can only link with partners up to ``(n - pos + 1) * (100 + percent) / percent - n``.  It waits in
+    the bucket of its own size if that allows partners at least as large, and looks into the buckets from the
+    smallest possible partner up to that size: grams late in a prefix meet few sets or none.
+    """
+    most = F.least((F.col("n") - F.col("pos") + 1) * ((100 + percent) / percent) - F.col("n") + 1e-6, F.col("n").cast("double"))
+    low, high, own = _bucket(F.col("n") * percent / 100 - 1e-6), _bucket(most), _bucket(F.col("n").cast("double"))
+    waits = F.when(most >= F.col("n"), F.array(F.struct(own.alias("bucket"), F.lit(True).alias("home")))).otherwise(F.array().cast("array<struct<bucket:int,home:boolean>>"))
+    looks = F.when((most >= F.col("n") * percent / 100 - 1e-6) & (high >= low), F.transform(F.sequence(low, high), lambda b: F.struct(b.alias("bucket"), F.lit(False).alias("home")))) \
+        .otherwise(F.array().cast("array<struct<bucket:int,home:boolean>>"))
+    return postings.select("key", "rep", "n", "pos", F.explode(F.concat(waits, looks)).alias("e")).select("key", "e.bucket", "e.home", "rep", "n", "pos")
+
+
+def _close(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> Column:
+    """Whether sets of these sizes that first meet at these places can reach the overlap."""
+    return F.least(na - ia, nb - ib) + 1 >= F.ceil((na + nb) * percent / (100 + percent))
+
+
+def _salted(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """``pairs`` with ``left`` and ``right`` from ``sets(rep, n, value)``.  Partners of one very common ``b`` are salted."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
-    right = sets.join(parts, sets.rep == parts.b).select("b", "parts", F.col("grams").alias("right"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    left = pairs.join(sets, pairs.a == sets.rep).select("a", "b", F.col("grams").alias("left"), F.xxhash64("a").alias("h"))
-    salted = left.join(parts, "b").withColumn("salt", F.pmod(F.col("h"), F.col("parts")).cast("int")).drop("parts", "h")
+    right = sets.join(parts, sets.rep == parts.b).select("b", "parts", F.col("n").alias("right_n"), F.col(value).alias("right"),
+                                                         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    wide = pairs.join(parts.where("parts > 1"), "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    left = wide.join(sets, wide.a == sets.rep).select("a", "b", "salt", F.col("n").alias("left_n"), F.col(value).alias("left"))
+    return left.join(right.drop("parts"), ["b", "salt"])
+
+
+def _overlap_needed(percent: int) -> Column:
+    return F.ceil((F.col("left_n") + F.col("right_n")) * percent / (100 + percent))
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough grams to reach the overlap.
+
+    The prefix that ends first in the common order holds all of its matches up to there, so with ``m`` shared
+    prefix grams the overlap is at most ``m`` and the rest of that set: ``m >= needed - n + prefix``.
+    """
     both = F.size(F.array_intersect("left", "right"))
-    return salted.join(right.drop("parts"), ["b", "salt"]) \
-        .where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
+    rest = F.greatest(F.col("left_n") - F.size("left"), F.col("right_n") - F.size("right"))
+    return _salted(pairs, classes, "prefix").where(both + rest >= _overlap_needed(percent)).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets link."""
+    both = F.size(F.array_intersect("left", "right"))
+    return _salted(pairs, sets, "grams").where(100 * both >= percent * (F.col("left_n") + F.col("right_n") - both)).select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, hot: int = HOT_LIST) -> DataFrame:
@@ -160,7 +220,7 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, hot: int
     lists = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     postings = stored(keys.join(lists, "key"), "lists")
     members = rows.where("n > 0").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
-    links = _links(base, postings, k, percent)
+    links = _links(base, classes, postings, k, percent)
     label = components(links)
     of_class = classes.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"))
     named = members.join(of_class, "rep").groupBy("doc_id").agg(F.min("label").alias("component_id"))
@@ -168,45 +228,65 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, hot: int
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, postings: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links between classes, enough of them to connect every group."""
-    wanted = postings.select("rep").distinct()
-    grams = map_rows(
-        docs.join(wanted.hint("shuffle_hash"), docs.doc_id == wanted.rep, "left_semi"),
-        lambda c: [pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array(gram_sets(c["text"], k), pa.list_(pa.int64()))], ["rep", "grams"])],
-        "rep bigint, grams array<bigint>")
-    sets = stored(grams.groupBy("rep", F.xxhash64("grams")).agg(F.first("grams").alias("grams")).select("rep", "grams"), "sets")
-    open_lists, found, last = postings.withColumn("label", F.col("rep")), None, None
+    def check(pairs: DataFrame) -> DataFrame:
+        """Prefixes first; only sets in a pair that this leaves are made again from the texts and compared."""
+        able = stored(_possible(pairs, classes, percent), "pairs")
+        wanted = able.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = map_rows(
+            docs.join(wanted.hint("shuffle_hash"), docs.doc_id == wanted.rep, "left_semi"),
+            lambda c: _set_batch(c["doc_id"], gram_sets(c["text"], k)), "rep bigint, n int, grams array<bigint>")
+        return stored(_verified(able, stored(sets.dropDuplicates(["rep", "n", "grams"]), "sets"), percent), "links")
+
+    entries = _entries(postings, percent)
+    both_sides = entries.groupBy("key", "bucket").agg(F.max("home").alias("waits"), F.min("home").alias("looks"), F.min("rep").alias("x"), F.max("rep").alias("y")) \
+        .where("waits AND NOT looks AND x < y").select("key", "bucket")
+    entries = stored(entries.join(both_sides, ["key", "bucket"]), "entries")
+    open_lists, found, last = entries.withColumn("label", F.col("rep")), None, None
     for turn in range(HUB_ROUNDS):
-        hubs = open_lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("label", F.lit(turn)), F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))).alias("h"))
-        pairs = open_lists.join(hubs, "key").where(F.col("label") != F.col("h.hub_label")).where(_close(F.col("n"), F.col("h.hub_n"), percent)) \
-            .select(F.col("rep").alias("a"), F.col("h.hub").alias("b")).distinct()
-        fresh = stored(_verified(stored(pairs, "pairs"), sets, percent), "links")
+        hubs = open_lists.where("home").groupBy("key", "bucket").agg(F.min(F.struct(
+            F.xxhash64("label", F.lit(turn)), F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))).alias("h"))
+        pairs = open_lists.join(hubs, ["key", "bucket"]).where(F.col("label") != F.col("h.hub_label")) \
+            .where(_close(F.col("n"), F.col("pos"), F.col("h.hub_n"), F.col("h.hub_pos"), percent)).select(F.col("rep").alias("a"), F.col("h.hub").alias("b")).distinct()
+        fresh = check(pairs)
         found = fresh if found is None else found.unionByName(fresh)
         label = components(found)
-        labelled = postings.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        groups = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key") \
-            .agg(F.sum("c").alias("rows"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.count("*").alias("labels")).where("labels > 1")
+        labelled = entries.join(label, F.col("rep") == F.col("node"), "left").select("key", "bucket", "home", "rep", "n", "pos", F.coalesce("label", "rep").alias("label"))
+        waiting, looking = F.sum(F.col("home").cast("double")), F.sum((~F.col("home")).cast("double"))
+        groups = labelled.groupBy("key", "bucket", "label").agg(waiting.alias("w"), looking.alias("l")).groupBy("key", "bucket") \
+            .agg(F.sum("w").alias("w"), F.sum("l").alias("l"), F.sum(F.col("w") * F.col("l")).alias("own")) \
+            .select("key", "bucket", (F.col("w") + F.col("l")).alias("rows"), (F.col("w") * F.col("l") - F.col("own")).alias("cross")).where("cross > 0")
         left = stored(groups, "open")
-        n, cross = left.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("rows").cast("double") * F.col("rows") - F.col("own")) / 2, F.lit(0.0))).head()
-        open_lists = stored(labelled.join(left.select("key", "rows"), "key"), "openlists")
-        if cross <= PAIRS_PER_ROW * n or cross == last:
+        n, cross = left.agg(F.coalesce(F.sum("rows"), F.lit(0.0)), F.coalesce(F.sum("cross"), F.lit(0.0))).head()
+        open_lists = stored(labelled.join(left.select("key", "bucket", "rows"), ["key", "bucket"]), "openlists")
+        if cross <= PAIRS_PER_ROW * n or last is not None and cross > 0.9 * last:
             break
         last = cross
-    if n == 0:
-        return found
-    return found.unionByName(_verified(stored(_cross_pairs(open_lists, percent), "pairs"), sets, percent))
-
-
-def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list and different groups, each list cut into blocks of bounded size."""
-    blocked = lists.select("key", "rep", "n", "label", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")) \
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    left = blocked.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("mine").alias("x"),
-                          F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("y"))
-    right = blocked.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("mine").alias("y"),
-                           F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("x"))
-    return left.join(right, ["key", "x", "y"]).where("la <> lb AND (x < y OR a < b)").where(_close(F.col("na"), F.col("nb"), percent)) \
+    return found if n == 0 else found.unionByName(check(_cross_pairs(open_lists, classes, percent)))
+
+
+def _set_batch(ids: list, sets: list[np.ndarray]) -> list[pa.RecordBatch]:
+    return [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(g) for g in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "grams"])]
+
+
+def _cross_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All possible pairs of one list and different groups, each list cut into blocks of bounded size.
+
+    The join's own condition compares sizes, places and parity sketches: sets that link differ in at most
+    ``(100 - percent) / (100 + percent)`` of the sum of their sizes.
+    """
+    bits = classes.select(F.col("rep").alias("of"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    blocked = lists.join(bits, F.col("rep") == F.col("of")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(rows: DataFrame, t: str, own: str, other: str) -> DataFrame:
+        return rows.select("key", "bucket", F.col("rep").alias(t), F.col("n").alias("n" + t), F.col("pos").alias("i" + t), F.col("label").alias("l" + t),
+                           *[F.col(f"s{i}").alias(f"{t}{i}") for i in range(SKETCH)], F.col("mine").alias(own), every.alias(other))
+    left, right = side(blocked.where("home"), "a", "x", "y"), side(blocked.where("NOT home"), "b", "y", "x")
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    return left.join(right, (left.key == right.key) & (left.bucket == right.bucket) & (left.x == right.x) & (left.y == right.y) & (F.col("la") != F.col("lb")) & (F.col("na") <= F.col("nb"))
+                     & _close(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))) \
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
