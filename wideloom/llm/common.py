@@ -16,6 +16,7 @@ from wideloom.session import shared_dir, ship
 
 CHUNK_CHARS = 4_000_000  # text handled at once inside a task; a longer single text is its own chunk
 HASH_TOP = 2.0 ** 63
+BROADCAST_IDS = 1_000_000  # ids in a broadcast, about 32 MB; more are joined by a shuffle
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,12 +29,33 @@ def fold(column: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(parts).cast("bigint"))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_path(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write are dropped when it is done; ``free`` drops the table itself.
+    """
+    spark = df.sparkSession
+    path = f"{shared_path(spark)}/{tag}-{uuid.uuid4().hex}"
+    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -131,13 +153,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, ready to be joined: broadcast if it is counted and no larger than ``BROADCAST_IDS``."""
+    ids = stored(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is not in the one column of ``ids``; null ids stay."""
     name = "_" + uuid.uuid4().hex   # no column of the input has this name
-    gone = ids.toDF(name).distinct().hint("shuffle_hash")
+    gone = sized(ids.toDF(name))
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone[name], "left_anti")
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs(doc_id, ...)`` whose ``doc_id`` is in the one column of ``ids``."""
+    return docs.join(sized(ids.toDF("doc_id")), "doc_id", "left_semi")
+
+
 def letters_present(column: Column) -> Column:
     return F.coalesce(column.rlike(r"\p{L}"), F.lit(False))
 

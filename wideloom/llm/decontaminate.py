@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wideloom.llm.common import stored, without
+from wideloom.llm.common import only, stored, texts, without
 
 
 def tokens(text: Column) -> Column:
@@ -64,10 +64,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, k: int = 5, percent: int = 8
     items = stored(_item_grams(benchmark, k), "items")
     marks = stored(signatures(items, percent), "signatures")
     limits = {r["width"]: r["top"] for r in marks.groupBy("width").agg(F.max("g").alias("top")).collect()}  # at most k rows
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text")).alias("w")).where("doc_id IS NOT NULL AND size(w) > 0")
+    base = texts(docs).where("doc_id IS NOT NULL")
 
     def shown(rows: DataFrame, bound: bool) -> DataFrame:
-        out = None
+        rows, out = rows.select("doc_id", tokens(F.col("text")).alias("w")), None
         for width, top in sorted(limits.items()):
             got = rows.select("doc_id", F.lit(width).alias("width"), F.explode(grams(F.col("w"), width)).alias("g")).where("g IS NOT NULL")
             got = got.where(F.col("g") <= top) if bound else got
@@ -79,8 +79,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, k: int = 5, percent: int = 8
     found = stored(shown(base, True).join(probe, ["width", "g"]).distinct(), "hits")
     candidates = found.join(marks.select("item_id", "width", "g"), ["width", "g"]).select("doc_id", "item_id").distinct()
     candidates = stored(candidates, "candidates")
-    suspects = candidates.select("doc_id").distinct()
-    inside = shown(base.join(suspects.hint("shuffle_hash"), "doc_id", "left_semi"), False) \
+    inside = shown(only(base, candidates.select("doc_id")), False) \
         .join(items.select("width", "g").distinct(), ["width", "g"], "left_semi").distinct()
     size = items.groupBy("item_id").agg(F.count("*").alias("n_item"))
     return inside.join(items, ["width", "g"]).join(candidates, ["doc_id", "item_id"]).groupBy("doc_id", "item_id") \

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wideloom.llm.common import coded, components, hashes, map_rows, mix, stored, texts, without, words
+from wideloom.llm.common import coded, components, free, hashes, map_rows, mix, only, stored, texts, without, words
 
 HOT_LIST = 8             # a gram in more lists goes last in the order
 HOT_GRAMS = 1_000_000    # bound on the broadcast hot grams (8 MB); the limit above rises to keep it
@@ -92,12 +92,12 @@ def parity(grams: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, wide: bool) -> DataFrame:
-    """``(doc_id, n, digest, prefix, sketch)``; ``wide`` doubles the prefix, to see what would come next."""
+    """``(doc_id, n, digest, prefix, sketch)``; ``wide`` lengthens the prefix, to see what would come next."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(c):
         sets = gram_sets(c["text"], k)
-        size = [2 * slack(len(g), percent) + 4 if wide else slack(len(g), percent) + 2 for g in sets]
+        size = [5 * slack(len(g), percent) // 4 + 4 if wide else slack(len(g), percent) + 2 for g in sets]
         heads = [prefix(g, s, shared.value) if 100 * (len(g) - 1) >= percent * len(g) or 100 * len(g) >= percent * (len(g) + 1) else g[:0]
                  for g, s in zip(sets, size)]
         yield pa.RecordBatch.from_arrays([
@@ -125,6 +125,7 @@ def hot_grams(lists: DataFrame, hot: int, bound: int = HOT_GRAMS) -> tuple[np.nd
     found = counts.where(F.col("c") > limit).select("g").toPandas()["g"].to_numpy(np.int64) if total else np.zeros(0, np.int64)
     cold = [(c, k) for c, k in sizes if c <= limit]
     rows = sum(c * k for c, k in cold)
+    free(counts)
     return np.sort(found), sum(c * c * k for c, k in cold) / rows if rows else 1.0
 
 
@@ -222,6 +223,7 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, hot: int
     members = rows.where("n > 0").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
     links = _links(base, classes, postings, k, percent)
     label = components(links)
+    free(postings)
     of_class = classes.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"))
     named = members.join(of_class, "rep").groupBy("doc_id").agg(F.min("label").alias("component_id"))
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(named, "doc_id", "left") \
@@ -233,11 +235,11 @@ def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, per
     def check(pairs: DataFrame) -> DataFrame:
         """Prefixes first; only sets in a pair that this leaves are made again from the texts and compared."""
         able = stored(_possible(pairs, classes, percent), "pairs")
-        wanted = able.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        sets = map_rows(
-            docs.join(wanted.hint("shuffle_hash"), docs.doc_id == wanted.rep, "left_semi"),
-            lambda c: _set_batch(c["doc_id"], gram_sets(c["text"], k)), "rep bigint, n int, grams array<bigint>")
-        return stored(_verified(able, stored(sets.dropDuplicates(["rep", "n", "grams"]), "sets"), percent), "links")
+        wanted = only(docs, able.select(F.explode(F.array("a", "b"))))
+        sets = stored(map_rows(wanted, lambda c: _set_batch(c["doc_id"], gram_sets(c["text"], k)), "rep bigint, n int, grams array<bigint>"), "sets")
+        links = stored(_verified(able, sets, percent).distinct(), "links")
+        free(able, sets)
+        return links
 
     entries = _entries(postings, percent)
     both_sides = entries.groupBy("key", "bucket").agg(F.max("home").alias("waits"), F.min("home").alias("looks"), F.min("rep").alias("x"), F.max("rep").alias("y")) \
@@ -259,11 +261,15 @@ def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, per
             .select("key", "bucket", (F.col("w") + F.col("l")).alias("rows"), (F.col("w") * F.col("l") - F.col("own")).alias("cross")).where("cross > 0")
         left = stored(groups, "open")
         n, cross = left.agg(F.coalesce(F.sum("rows"), F.lit(0.0)), F.coalesce(F.sum("cross"), F.lit(0.0))).head()
-        open_lists = stored(labelled.join(left.select("key", "bucket", "rows"), ["key", "bucket"]), "openlists")
+        used, open_lists = open_lists, stored(labelled.join(left.select("key", "bucket", "rows"), ["key", "bucket"]), "openlists")
+        free(left, *([used] if turn else []))
         if cross <= PAIRS_PER_ROW * n or last is not None and cross > 0.9 * last:
             break
         last = cross
-    return found if n == 0 else found.unionByName(check(_cross_pairs(open_lists, classes, percent)))
+    if n:
+        found = found.unionByName(check(_cross_pairs(open_lists, classes, percent)))
+    free(open_lists, entries)
+    return found
 
 
 def _set_batch(ids: list, sets: list[np.ndarray]) -> list[pa.RecordBatch]:
