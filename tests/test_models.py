@@ -9,29 +9,25 @@ from wideloom.operators.runlog import completion_summary
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    """200 people with a 0/1 target that depends on the features, and a few nulls."""
-    rng = np.random.default_rng(42)
-    n = 200
-    pdf = pd.DataFrame({
-        "person": range(n), "age": rng.integers(18, 80, n), "income": rng.exponential(50_000, n), "education_years": rng.normal(12, 3, n).clip(6, 20),
-        "experience": rng.exponential(10, n), "city": rng.choice(["NYC", "LA", "Chicago", "Houston"], n), "has_degree": rng.choice([0, 1], n, p=[.3, .7])})
-    pdf["will_buy"] = (pdf["income"] / 50_000 + pdf["age"] / 40 + rng.normal(0, .3, n) > 2).astype(int)
-    pdf.loc[0:5, "income"] = np.nan
-    pdf.loc[10:15, "education_years"] = np.nan
-    df = spark.createDataFrame(pdf)
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else c for c, t in df.dtypes])
+def sales(spark):
+    """The first 200 orders: is the price above what customer and month suggest?  Some nulls by order number."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").orderBy("o_orderkey").limit(200)
+    price, month = F.col("o_totalprice"), F.month("o_orderdate").cast("double")
+    return orders.select(
+        F.col("o_orderkey").alias("order_no"), F.when(F.col("o_orderkey") % 37 != 0, price + F.col("o_orderkey") / 1000).alias("price"),
+        F.when(F.col("o_orderkey") % 29 != 0, month).alias("month"), (F.col("o_custkey") % 40).cast("int").alias("account"), F.col("o_orderpriority").alias("priority"),
+        (price + month * 9_000 + F.pmod(F.xxhash64("o_orderkey"), F.lit(60_000)) > 340_000).cast("int").alias("large"))
 
 
 @pytest.fixture(scope="module")
-def prepared(people):
-    train, test = split.train_test(people.drop("city"), ["person"], "will_buy")
-    return models.prepare(train, test, "will_buy", ["person"])
+def prepared(sales):
+    train, test = split.train_test(sales.drop("priority"), ["order_no"], "large")
+    return models.prepare(train, test, "large", ["order_no"])
 
 
-def test_preparation(prepared, people):
-    assert prepared.task == "classification" and prepared.classes == ["0", "1"] and "person" not in prepared.features
-    assert prepared.train.count() + prepared.test.count() == people.count()
+def test_preparation(prepared, sales):
+    assert prepared.task == "classification" and prepared.classes == ["0", "1"] and "order_no" not in prepared.features
+    assert prepared.train.count() + prepared.test.count() == sales.count()
     assert prepared.train.join(prepared.test, "row_key").count() == 0
 
 
@@ -110,8 +106,9 @@ def test_saved_model_scores_the_same(prepared, tmp_path):
 
 
 def test_grid_search_skips_small_tables(prepared):
-    assert tuning.grid_search("logistic", prepared)[0] is None
-    assert len(tuning.configurations("gbt")) == 25 and tuning.configurations("naive_bayes") == [{}]
+    fitted, said = tuning.grid_search("logistic", prepared)
+    assert fitted is None and "not tuned" in said.head()["config"]
+    assert len(tuning.configurations("gbt")) == 27 and len(tuning.configurations("gbt", limit=25)) == 25 and tuning.configurations("naive_bayes") == [{}]
 
 
 def test_ensembles(prepared):
@@ -123,25 +120,46 @@ def test_ensembles(prepared):
 
 
 @pytest.mark.parametrize("first", [True, False])
-def test_whole_flow(people, spark, tmp_path, first):
+def test_whole_flow(sales, spark, tmp_path, first):
     stages = Stages(spark, str(tmp_path), "r")
-    out = run_flow(people, "will_buy", ["person"], Params(models=("logistic", "naive_bayes"), split_first=first), stages=stages)
+    out = run_flow(sales, "large", ["order_no"], Params(models=("logistic", "naive_bayes"), split_first=first), stages=stages)
     assert out.best is not None and 0 <= out.best.metrics["accuracy"] <= 1
     # A float column with almost only distinct values counts as an identifier.
-    assert "income" in {o.column for o in out.plan if o.reason == "identifier"} and "income" not in out.train.columns
-    assert out.train.count() + out.test.count() == people.count() and "person" not in out.train.columns
+    assert "price" in {o.column for o in out.plan if o.reason == "identifier"} and "price" not in out.train.columns
+    assert out.train.count() + out.test.count() == sales.count() and "order_no" not in out.train.columns
     assert stages.last_stage() == "features"
     done = completion_summary(run_log_frame(spark, out.log)).head()
     assert done["completed"] == 8 and done["finished"]
     assert all(df.count() >= 0 for df in out.report().values())
 
 
-def test_flow_refuses_unusable_tables(people):
+def test_flow_refuses_unusable_tables(sales):
     with pytest.raises(ValueError, match="min_rows"):
-        run_flow(people.limit(3), "will_buy", ["person"])
+        run_flow(sales.limit(3), "large", ["order_no"])
 
 
-def test_flow_overrides(people):
-    p = Params(exclude=["city"], methods=["variance"], exclude_features=["age"], max_new_ratio=0.1, skip_feature_types=["ratio"], models=("naive_bayes",))
-    out = run_flow(people, "will_buy", ["person"], p)
-    assert "city" not in out.train.columns and "age" not in out.train.columns and not any("ratio" in c for c in out.train.columns)
+def test_flow_overrides(sales):
+    p = Params(exclude=["priority"], methods=["variance"], exclude_features=["account"], max_new_ratio=0.1, skip_feature_types=["ratio"], models=("naive_bayes",))
+    out = run_flow(sales, "large", ["order_no"], p)
+    assert "priority" not in out.train.columns and "age" not in out.train.columns and not any("ratio" in c for c in out.train.columns)
+
+
+def _said(spark, rows):
+    return spark.createDataFrame(rows, "row_key string, label double, prediction double, score double, probabilities array<double>")
+
+
+def test_vote_of_three_classes_and_of_numbers(spark):
+    a = _said(spark, [("x", 2.0, 0.0, 0.3, [0.4, 0.3, 0.3]), ("y", 1.0, 1.0, 0.6, [0.2, 0.6, 0.2])])
+    b = _said(spark, [("x", 2.0, 2.0, 0.1, [0.1, 0.1, 0.8]), ("y", 1.0, 0.0, 0.4, [0.5, 0.4, 0.1])])
+    assert {r["row_key"]: r["prediction"] for r in tuning.vote([a, b]).collect()} == {"x": 2.0, "y": 1.0}
+    n = [_said(spark, [("x", 6.0, v, v, None)]) for v in (5.2, 8.7)]
+    assert tuning.vote(n, "regression").head()["prediction"] == pytest.approx(6.95)
+    with pytest.raises(Exception, match="cannot vote"):
+        tuning.vote([a, n[0]]).collect()
+
+
+def test_features_without_limits(spark):
+    from wideloom.operators.features import plan_features
+    df = spark.createDataFrame([tuple(float(i * j + 1) for j in range(8)) for i in range(30)], ", ".join(f"c{j} double" for j in range(8)))
+    every = plan_features(df, max_new_ratio=None, per_kind=None, partners=None, interactions=None)
+    assert sum(o.op_type == "ratio" for o in every) == 28 and sum(o.op_type == "binning" for o in every) == 8

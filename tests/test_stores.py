@@ -205,3 +205,31 @@ def test_search_edges(spark):
     none = df.limit(0).withColumnRenamed("id", "query_id")
     assert similarity.nearest(none, df, 2).count() == 0
     assert similarity.nearest(df.withColumnRenamed("id", "query_id"), df.limit(0), 2).count() == 0
+
+
+def test_fingerprint_tells_nulls_and_borders(spark):
+    rows = [[(None, "z")], [("", "z")], [("x|y", "z")], [("x", "y|z")]]
+    assert len({store.table_fingerprint(spark.createDataFrame(r, "a string, b string")).head()["fingerprint"] for r in rows}) == 4
+
+
+def test_json_filter_values(spark):
+    from wideloom.operators.runlog import matches
+    df = spark.createDataFrame([('{"a": null, "k.x": 5, "n": 5.0, "t": true, "s": "q"}',), ("{}",)], "payload string")
+    for f, n in (({"a": None}, 1), ({"n": 5}, 1), ({"k.x": 5.0}, 1), ({"t": True}, 1), ({"s": ["p", "q"]}, 1), ({"missing": None}, 0), ({"s": 5}, 0)):
+        assert df.where(matches("payload", f)).count() == n, f
+
+
+def test_vectors_of_other_lengths_are_not_compared(spark):
+    from wideloom.operators.similarity import nearest
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 5.0, 5.0]), (3, [1.0, 0.0, 0.0])], "id bigint, embedding array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.0, 0.0]), (8, [2.0, 0.0])], "query_id bigint, embedding array<double>")
+    got = sorted((r["query_id"], r["id"], r["score"]) for r in nearest(q, base, 5).collect())
+    assert got == [(7, 3, 1.0), (8, 1, 1.0)]
+
+
+def test_large_counts_do_not_overflow(spark):
+    from wideloom.operators import evaluate
+    s = spark.createDataFrame([(1, 0.9)], "label int, score double")
+    assert evaluate.curve_areas(s).count() == 1
+    big = spark.sql("SELECT CAST(100000000000 AS BIGINT) AS neg, CAST(100000000000 AS BIGINT) AS c")
+    assert big.selectExpr("sum(CAST(neg AS DOUBLE) * (c + c) / 2.0) AS a").head()["a"] == 1e22

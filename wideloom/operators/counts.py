@@ -11,7 +11,6 @@ from wideloom.functions.columns import col, label_of, melt
 BROADCAST_BYTES = 64 * 1024 * 1024
 ENTRY_BYTES = 64
 HOT_SHARE = 1_000
-DISTINCT_CHUNK = 12
 
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -30,22 +29,33 @@ def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str] | None = None, approx: bool = False) -> dict[str, int]:
-    """Distinct non-null values per column, exact unless ``approx``."""
+    """Distinct non-null values per column, exact unless ``approx``.
+
+    The columns of a type are melted to (column number, value), so a row of the shuffle is two columns wide.
+    """
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))] \
         if names is None else list(names)
-    out: dict[str, int] = {}
-    step = len(names) if approx else DISTINCT_CHUNK
-    for start in range(0, len(names), max(step, 1)):
-        chunk = names[start:start + step]
-        row = df.agg(*[_distinct(df, n, approx).alias(str(i)) for i, n in enumerate(chunk)]).head()
-        out.update({n: row[str(i)] for i, n in enumerate(chunk)})
+    if approx:
+        row = df.agg(*[_distinct(df, n, True).alias(str(i)) for i, n in enumerate(names)]).head() if names else {}
+        return {n: row[str(i)] for i, n in enumerate(names)}
+    out = {n: 0 for n in names}
+    by_type: dict[str, list[str]] = {}
+    for n in names:
+        by_type.setdefault(df.schema[n].dataType.simpleString(), []).append(n)
+    for group in by_type.values():
+        long = melt(df, [[_countable(df, n)] for n in group], ["value"]).where("value IS NOT NULL")
+        rows = long.groupBy("ci", "value").agg(F.lit(1).alias("one")).groupBy("ci").agg(F.count("*").alias("n")).collect()
+        out.update({group[r["ci"]]: r["n"] for r in rows})
     return out
 
 
-def _distinct(df: DataFrame, name: str, approx: bool) -> Column:
+def _countable(df: DataFrame, name: str) -> Column:
     value = col(name)
-    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        value = F.when(~F.isnan(value), value)
+    return F.when(~F.isnan(value), value) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else value
+
+
+def _distinct(df: DataFrame, name: str, approx: bool) -> Column:
+    value = _countable(df, name)
     return F.approx_count_distinct(value, 0.02) if approx else F.count_distinct(value)
 
 

@@ -127,10 +127,10 @@ def curve_areas(df: DataFrame, label: str = "label", score: str = "score") -> Da
     s = _sweep(df, label, score, descending=True)
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     tp0, fp0 = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
-    roc = F.sum(F.col("neg") * (tp0 + F.col("cum_pos")) / 2.0)
+    roc = F.sum(F.col("neg").cast("double") * (tp0 + F.col("cum_pos")) / 2.0)
     precision = _share(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     before = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(_share(tp0, tp0 + fp0))
-    pr = F.sum(F.col("pos") * (precision + before) / 2.0)
+    pr = F.sum(F.col("pos").cast("double") * (precision + before) / 2.0)
     return s.agg(F.try_divide(roc, p * n).alias("roc_area"), F.try_divide(pr, p).alias("pr_area"))
 
 

@@ -75,25 +75,30 @@ def row_aggregate(values: Sequence[Column], how: str) -> Column:
     return F.when(count > 1, F.sqrt(squares / (count - 1))).otherwise(F.lit(0.0))
 
 
-def plan_features(df: DataFrame, target: str | None = None, *, max_new_ratio: float = MAX_NEW_RATIO,
+def plan_features(df: DataFrame, target: str | None = None, *, max_new_ratio: float | None = MAX_NEW_RATIO,
+                  per_kind: int | None = PER_KIND_COLUMNS, partners: int | None = RATIO_PARTNERS, interactions: int | None = INTERACTION_COLUMNS,
                   skip: Sequence[str] = (), skip_types: Sequence[str] = ()) -> list[FeatureOp]:
-    """Fixed order ratio, bin, log, interaction, frequency, aggregate; then capped by width."""
+    """Fixed order ratio, bin, log, interaction, frequency, aggregate; then capped by width.
+
+    Each limit is a parameter and None lifts it: columns per kind, columns that ratios pair with, columns
+    that interact, and new columns as a share of the old ones.
+    """
     numeric = [c for c in families(df).numeric if c != target]
     text = [c for c in families(df).categorical if c != target]
     ops: list[FeatureOp] = []
-    for i, a in enumerate(numeric[:PER_KIND_COLUMNS]):
-        ops += [FeatureOp("ratio", f"{a}_to_{b}_ratio", (a, b)) for b in numeric[i + 1:RATIO_PARTNERS]]
-    lead = numeric[:PER_KIND_COLUMNS]
+    for i, a in enumerate(numeric[:per_kind]):
+        ops += [FeatureOp("ratio", f"{a}_to_{b}_ratio", (a, b)) for b in numeric[i + 1:partners]]
+    lead = numeric[:per_kind]
     ops += [FeatureOp("binning", f"{c}_binned", (c,), {"bins": str(BINS)}) for c in lead]
-    limit = max(5, int(sum(c != target for c in df.columns) * max_new_ratio))
-    if len(ops) < limit:
+    limit = None if max_new_ratio is None else max(5, int(sum(c != target for c in df.columns) * max_new_ratio))
+    if limit is None or len(ops) < limit:
         shape = {r["column"]: r for r in numeric_table(df, lead).collect()} if lead else {}
         for c in lead:
             s = shape.get(c)
             if s and s["min"] is not None and s["min"] > 0 and abs(s["skewness"] or 0.0) > 1:
                 ops.append(FeatureOp("log_transform", f"{c}_log", (c,)))
         if len(numeric) >= 2:
-            ops.append(FeatureOp("polynomial", "polynomial_features", tuple(numeric[:INTERACTION_COLUMNS])))
+            ops.append(FeatureOp("polynomial", "polynomial_features", tuple(numeric[:interactions])))
         sizes = distinct_counts(df, text) if text else {}
         ops += [FeatureOp("frequency_encoding", f"{c}_frequency", (c,)) for c in text if sizes[c] > 2]
         if len(numeric) >= 3:

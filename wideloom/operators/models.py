@@ -26,10 +26,10 @@ from wideloom.operators.similarity import knn_vote
 # The configured model order per task; the first five are trained.
 CLASSIFIERS = ("logistic", "forest", "gbt", "knn", "naive_bayes", "svc")
 REGRESSORS = ("linear", "ridge", "lasso", "forest", "gbt")
-SHORTLIST = 5
 SEED = 42
 TREES = 100
 LABEL, FEATURES, PREDICTION, SCORE, KEY = "label", "features", "prediction", "score", "row_key"
+PROBABILITIES = "probabilities"
 INDEX_LIMIT = 10_000
 
 
@@ -71,8 +71,15 @@ def _class_index(target: str, classes: Sequence[str]) -> Column:
 
 
 def encode_target(df: DataFrame, target: str, out: str = LABEL) -> tuple[DataFrame, list[str]]:
-    """Class index in sorted order; the class list is empty when it is too long for the driver."""
+    """Class index in sorted order (numbers by value, nulls last), the same however many classes there are.
+
+    The class list is empty when it is too long for the driver; the index is then a distributed sort.
+    """
     classes = class_list(df, target)
+    if classes is None and target in families(df).numeric:
+        counts = df.where(col(target).isNotNull()).groupBy(col(target).alias("_key")).agg(F.count("*").alias("_count"))
+        keyed = lookup(df.withColumn("_key", col(target)), "_key", sorted_index(counts, "_key", "_code"), "_count", F.lit(counts.count()), "_code")
+        return keyed.select(*[col(c) for c in df.columns if c != out], F.col("_code").cast("double").alias(out)), []
     if classes is None:
         filled = df.withColumn("_target", F.coalesce(col(target).cast("string"), F.lit("missing")))
         return label_encode(filled, "_target", out).withColumn(out, F.col(out).cast("double")).drop("_target"), []
@@ -153,12 +160,12 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std:
             return RandomForestClassifier(**cols, **weighted, **{"numTrees": TREES, "seed": SEED, **params})
         if name == "gbt":
             one = GBTClassifier(**cols, **weighted, **{"maxIter": TREES, "maxDepth": 3, "stepSize": 0.1, "seed": SEED, **params})
-            return one if classes <= 2 else OneVsRest(classifier=one, **cols)
+            return one if classes <= 2 else OneVsRest(classifier=one, **cols, **weighted)
         if name == "naive_bayes":
             return NaiveBayes(modelType="gaussian", **cols, **weighted, **params)
         if name == "svc":
             one = LinearSVC(**cols, **weighted, **{"maxIter": 100, "regParam": 0.01, **params})
-            return one if classes <= 2 else OneVsRest(classifier=one, **cols)
+            return one if classes <= 2 else OneVsRest(classifier=one, **cols, **weighted)
     else:
         if name == "forest":
             return RandomForestRegressor(**cols, **{"numTrees": TREES, "seed": SEED, **params})
@@ -170,20 +177,22 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std:
     raise ValueError(f"no {task} model named {name}")
 
 
-def shortlist(task: str, wanted: Sequence[str] | None = None, limit: int = SHORTLIST) -> list[str]:
+def shortlist(task: str, wanted: Sequence[str] | None = None, limit: int | None = None) -> list[str]:
+    """The wanted or all models of the task, at most ``limit`` of them."""
     return list(wanted or (CLASSIFIERS if task == "classification" else REGRESSORS))[:limit]
 
 
 def score(model: Model, df: DataFrame) -> DataFrame:
-    """``(row_key, label, prediction, score)``; score is P(class 1) where the model has one."""
+    """``(row_key, label, prediction, score, probabilities)``; score is P(class 1) where the model has one."""
     out = model.transform(df)
+    every = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
     if "probability" in out.columns:
         value = vector_to_array("probability")[1]
     elif "rawPrediction" in out.columns:
         value = vector_to_array("rawPrediction")[1]
     else:
         value = F.col(PREDICTION)
-    return out.select(KEY, LABEL, F.col(PREDICTION).cast("double").alias(PREDICTION), value.cast("double").alias(SCORE))
+    return out.select(KEY, LABEL, F.col(PREDICTION).cast("double").alias(PREDICTION), value.cast("double").alias(SCORE), every.alias(PROBABILITIES))
 
 
 def metrics_of(scored: DataFrame, task: str, classes: int = 2) -> dict[str, float]:
@@ -202,7 +211,7 @@ def feature_importance(model: Model, names: Sequence[str]) -> dict[str, float]:
     if hasattr(model, "featureImportances"):
         return dict(zip(names, (float(v) for v in model.featureImportances.toArray())))
     if hasattr(model, "coefficientMatrix"):
-        return dict(zip(names, (abs(float(v)) for v in model.coefficientMatrix.toArray()[0])))
+        return dict(zip(names, (float(v) for v in abs(model.coefficientMatrix.toArray()).mean(axis=0))))
     if hasattr(model, "coefficients"):
         return dict(zip(names, (abs(float(v)) for v in model.coefficients.toArray())))
     return {}
@@ -216,7 +225,8 @@ def train_one(name: str, data: Prepared, **params) -> tuple[PipelineModel | None
         train = vectors(data.train).withColumnRenamed(KEY, "id")
         votes = knn_vote(test, train, LABEL, query_key=KEY)
         scored = test.join(votes, KEY).select(
-            KEY, LABEL, F.col("prediction").cast("double").alias(PREDICTION), F.lit(None).cast("double").alias(SCORE))
+            KEY, LABEL, F.col("prediction").cast("double").alias(PREDICTION), F.lit(None).cast("double").alias(SCORE),
+            F.lit(None).cast("array<double>").alias(PROBABILITIES))
         return None, scored
     steps = []
     rows, std = data.train.agg(F.count("*"), F.stddev_pop(LABEL)).head()

@@ -168,7 +168,7 @@ def mutual_information(df: DataFrame, target: str, names: Sequence[str] | None =
     by_x = joint.groupBy("ci", "xb").agg(F.sum("nxy").alias("nx"))
     by_y = joint.groupBy("ci", "y").agg(F.sum("nxy").alias("ny"))
     total = joint.groupBy("ci").agg(F.sum("nxy").alias("n"))
-    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy").cast("double") * F.col("n") / (F.col("nx").cast("double") * F.col("ny")))
     return (
         joint.join(by_x, ["ci", "xb"]).join(by_y, ["ci", "y"]).join(F.broadcast(total), "ci")
         .groupBy("ci").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi_binned"))

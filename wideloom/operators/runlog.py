@@ -52,12 +52,23 @@ def live(log: DataFrame) -> DataFrame:
 
 
 def matches(payload: str, filters: Mapping[str, object]) -> Column:
-    """Every key must exist and equal the value, or be one of the values of a list."""
-    ok = F.lit(True)
+    """Every key must exist and equal the value, or be one of the values of a list.
+
+    Numbers compare by value (5 equals 5.0), None equals a JSON null, and a key is a name, never a path.
+    """
+    ok, fields = F.lit(True), F.from_json(payload, "map<string,string>")
     for key, wanted in filters.items():
-        value = F.get_json_object(payload, f"$.{key}")
+        value, there = F.element_at(fields, F.lit(key)), F.array_contains(F.map_keys(fields), key)
         options = wanted if isinstance(wanted, (list, tuple, set)) else [wanted]
-        ok = ok & F.coalesce(value.isin([_json_text(o) for o in options]), F.lit(False))
+        hit = F.lit(False)
+        for o in options:
+            if o is None:
+                hit = hit | value.isNull()
+            elif isinstance(o, (int, float)) and not isinstance(o, bool):
+                hit = hit | (value.try_cast("double") == float(o))
+            else:
+                hit = hit | (value == _json_text(o))
+        ok = ok & F.coalesce(there & hit, F.lit(False))
     return ok
 
 

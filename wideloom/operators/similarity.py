@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -51,10 +52,18 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, *, query_key: str = "qu
     scores them with a matrix product and emits only its k best per query; a second step ranks
     those few candidates.  Query sets measured below ``broadcast_bytes`` are sent to the base
     partitions, so the base is not shuffled.  Larger ones meet the base on a grid of blocks.
+    Only vectors of equal length are compared.
     Scores: cosine similarity, or negative squared distance for ``metric="euclidean"``.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
     b = base.where(F.col(vector).isNotNull()).select(F.col(base_key).alias("_b"), F.col(vector).cast("array<double>").alias("_v"))
+    widths = [r["w"] for r in q.select(F.size("_v").alias("w")).distinct().orderBy("w").collect()]   # few: vectors have fixed widths
+    if len(widths) > 1:
+        same = lambda df, w: df.where(F.size(vector) == w)
+        parts = [nearest(same(queries, w), same(base, w), k, query_key=query_key, base_key=base_key, vector=vector, metric=metric,
+                         exclude_self=exclude_self, block_rows=block_rows, broadcast_bytes=broadcast_bytes) for w in widths]
+        return reduce(DataFrame.unionByName, parts)
+    b = b.where(F.size("_v") == (widths[0] if widths else 0))
     n_queries, longest = q.agg(F.count("*"), F.max(F.size("_v"))).head()
     schema = f"_q {q.schema['_q'].dataType.simpleString()}, _b {b.schema['_b'].dataType.simpleString()}, score double"
     if n_queries == 0:

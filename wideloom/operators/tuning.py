@@ -8,13 +8,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, functions as F
 
-from wideloom.operators.models import FEATURES, KEY, LABEL, PREDICTION, SCORE, Prepared, estimator, score, train_one
+from wideloom.operators.models import FEATURES, KEY, LABEL, PREDICTION, PROBABILITIES, SCORE, Prepared, estimator, score, train_one
 
 MIN_ROWS = 500
-MAX_CONFIGS = 25
 FOLDS = 5
 MIN_LIFT = 0.05
 # The configured grids, by MLlib parameter name.
@@ -25,19 +25,22 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 
 
-def configurations(name: str, grid: Mapping[str, Sequence] | None = None, limit: int = MAX_CONFIGS) -> list[dict]:
+def configurations(name: str, grid: Mapping[str, Sequence] | None = None, limit: int | None = None) -> list[dict]:
+    """All combinations of a grid, or the first ``limit`` of them."""
     grid = GRIDS.get(name, {}) if grid is None else grid
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())][:limit]
 
 
 def grid_search(name: str, data: Prepared, grid: Mapping[str, Sequence] | None = None, *, folds: int = FOLDS,
-                parallelism: int = 4) -> tuple[CrossValidatorModel | None, DataFrame]:
-    """Cross-validated scores per configuration; tables below 500 rows are not tuned."""
+                parallelism: int = 4, min_rows: int = MIN_ROWS, limit: int | None = None) -> tuple[CrossValidatorModel | None, DataFrame]:
+    """Cross-validated scores per configuration; a table below ``min_rows`` is not tuned, which a row says."""
     spark = data.train.sparkSession
     schema = "model string, config string, score double"
     rows = data.train.count()
-    configs = configurations(name, grid)
-    if rows < MIN_ROWS or not configs:
+    configs = configurations(name, grid, limit)
+    if rows < min_rows:
+        return None, spark.createDataFrame([(name, f"not tuned: {rows} rows, {min_rows} needed", None)], schema)
+    if not configs:
         return None, spark.createDataFrame([], schema)
     model = estimator(name, data.task, max(len(data.classes), 2), rows)
     maps = [{model.getParam(k): (v / rows if name == "logistic" and k == "regParam" else v) for k, v in c.items()} for c in configs]
@@ -53,38 +56,60 @@ def grid_search(name: str, data: Prepared, grid: Mapping[str, Sequence] | None =
     return fitted, spark.createDataFrame(found, schema).orderBy(F.desc("score"))
 
 
-def vote(scored: Sequence[DataFrame]) -> DataFrame:
-    """Average of the scores of several models by row key, cut at one half."""
+def vote(scored: Sequence[DataFrame], task: str = "classification") -> DataFrame:
+    """Average of several models by row key: of the class probabilities (largest wins, the first on ties), or
+    of the predictions for a regression.  Models without probabilities, like margins, are refused.
+    """
     stacked = None
     for s in scored:
-        part = s.where(F.col(SCORE).isNotNull()).select(KEY, LABEL, SCORE)
+        part = s.select(KEY, LABEL, PREDICTION, PROBABILITIES)
         stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked.groupBy(KEY).agg(F.first(LABEL).alias(LABEL), F.avg(SCORE).alias(SCORE)).withColumn(
-        PREDICTION, (F.col(SCORE) >= 0.5).cast("double"))
+    if task == "regression":
+        return stacked.groupBy(KEY).agg(F.first(LABEL).alias(LABEL), F.avg(PREDICTION).alias(PREDICTION)).withColumn(SCORE, F.col(PREDICTION))
+    whole = F.coalesce(F.col(PROBABILITIES), F.raise_error(F.lit("a model without class probabilities cannot vote")).cast("array<double>"))
+    long = stacked.select(KEY, LABEL, F.posexplode(whole).alias("c", "p"))
+    mean = long.groupBy(KEY, "c").agg(F.first(LABEL).alias(LABEL), F.avg("p").alias("p"))
+    best = mean.groupBy(KEY).agg(F.first(LABEL).alias(LABEL), F.max(F.struct("p", (-F.col("c")).alias("c"))).alias("m"),
+                                 F.array_sort(F.collect_list(F.struct("c", "p"))).alias("all"))
+    mean_all = F.transform("all", lambda x: x["p"])
+    return best.select(KEY, LABEL, (-F.col("m.c")).cast("double").alias(PREDICTION), F.get(mean_all, F.lit(1)).alias(SCORE), mean_all.alias(PROBABILITIES))
 
 
 def stack(names: Sequence[str], data: Prepared, folds: int = FOLDS, **params) -> DataFrame:
-    """Scores of a logistic model over the out-of-fold scores of the base models."""
+    """Scores of a linear model over the out-of-fold outputs of the base models: a logistic one over all class
+    probabilities (margins where a model has only these), or least squares over predictions.
+    """
     place = F.pmod(F.xxhash64(KEY), F.lit(folds))
     train = data.train.withColumn("_fold", place).persist()
     try:
         base = [_out_of_fold(n, train, data, folds, i, params) for i, n in enumerate(names)]
-        meta_train = _wide(base)
         held = Prepared(train.drop("_fold"), data.test, data.task, data.features, data.classes)
-        meta_test = _wide([train_one(n, held, **params.get(n, {}))[1].select(KEY, LABEL, F.col(SCORE).alias(f"m{i}")) for i, n in enumerate(names)])
-        assemble = VectorAssembler(inputCols=[f"m{i}" for i in range(len(names))], outputCol=FEATURES)
-        meta = LogisticRegression(labelCol=LABEL, featuresCol=FEATURES).fit(assemble.transform(meta_train))
+        meta_train, meta_test = _wide(base), _wide([_outputs(n, held, i, params) for i, n in enumerate(names)])
+        columns = [c for c in meta_train.columns if c not in (KEY, LABEL)]
+        assemble = VectorAssembler(inputCols=columns, outputCol=FEATURES)
+        kind = LinearRegression if data.task == "regression" else LogisticRegression
+        meta = kind(labelCol=LABEL, featuresCol=FEATURES).fit(assemble.transform(meta_train))
         return score(meta, assemble.transform(meta_test))
     finally:
         train.unpersist()
 
 
+def _outputs(name: str, data: Prepared, index: int, params) -> DataFrame:
+    """What one model says of each test row: its prediction (regression) or one column per class."""
+    scored = train_one(name, data, **params.get(name, {}))[1]
+    if data.task == "regression":
+        return scored.select(KEY, LABEL, F.col(PREDICTION).alias(f"m{index}"))
+    classes = max(len(data.classes), 2)
+    said = [F.coalesce(F.get(PROBABILITIES, F.lit(c)), F.when(F.col(PREDICTION) == c, 1.0).otherwise(0.0)) for c in range(1 if classes == 2 else 0, classes)]
+    return scored.select(KEY, LABEL, *[v.alias(f"m{index}_{i}") for i, v in enumerate(said)])
+
+
 def _out_of_fold(name, train, data, folds, index, params) -> DataFrame:
     parts = None
     for k in range(folds):
         piece = Prepared(train.where(F.col("_fold") != k).drop("_fold"), train.where(F.col("_fold") == k).drop("_fold"),
                          data.task, data.features, data.classes)
-        scored = train_one(name, piece, **params.get(name, {}))[1].select(KEY, LABEL, F.col(SCORE).alias(f"m{index}"))
+        scored = _outputs(name, piece, index, params)
         parts = scored if parts is None else parts.unionByName(scored)
     return parts
 

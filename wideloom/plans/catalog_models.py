@@ -397,3 +397,10 @@ def orders_flow_log(spark, d):
     df = table(spark, d, "orders")
     out = flow.run_flow(df, "o_orderstatus", ["o_orderkey"], flow.Params(models=("naive_bayes",), split_first=False))
     return progress(flow.run_log_frame(spark, out.log)).select("session", "completed", "progress_pct")
+
+
+@query("encode_target_many", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_totalprice) - 1 AS DOUBLE) AS label FROM orders")
+def encode_target_many(spark, d):
+    """Index of a numeric target with more classes than the driver lists."""
+    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return models.encode_target(df, "o_totalprice")[0].select("o_orderkey", "label")

@@ -174,7 +174,7 @@ PART_COLUMNS = (("p_partkey", "numeric"), ("p_name", "categorical"), ("p_brand",
 
 @query("column_summary", _summary_sql("part", PART_COLUMNS))
 def column_summary(spark, d):
-    return profile.column_summary(table(spark, d, "part"), first=15)
+    return profile.column_summary(table(spark, d, "part"))
 
 
 @query("column_info", f"WITH v AS ({DIRTY.sql}) " + _summary_sql("v", (
@@ -186,7 +186,7 @@ def column_info(spark, d):
 
 @query("preview_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def preview_rows(spark, d):
-    return profile.preview(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    return profile.preview(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey"))
 
 
 @query("target_distribution", "SELECT rank, v AS value, n AS cnt FROM (SELECT event_type AS v, count(*) AS n, "
@@ -401,12 +401,22 @@ def file_checksums(spark, d):
     return store.file_checksums(spark, f"{d}/*.parquet")
 
 
-@query("table_fingerprint", "SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), "
-       "CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)), 1, 8)) AS BIGINT)) AS BIGINT) AS fingerprint FROM orders")
+def _fingerprint_sql(source: str, *names: str) -> str:
+    fields = ", ".join(f"coalesce(length(CAST({n} AS VARCHAR)) || ':' || CAST({n} AS VARCHAR), '~')" for n in names)
+    return (f"SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', {fields})), 1, 8)) AS BIGINT)) AS DECIMAL(38,0)) AS fingerprint FROM {source}")
+
+
+@query("table_fingerprint", _fingerprint_sql("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 def table_fingerprint(spark, d):
     return store.table_fingerprint(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query("fingerprint_nulls", f"WITH v AS ({DIRTY.sql}) " + _fingerprint_sql("v", "l_orderkey", "flag", "code"))
+def fingerprint_nulls(spark, d):
+    """Nulls and texts with blanks in the fingerprint."""
+    return store.table_fingerprint(DIRTY.frame(spark, d), ["l_orderkey", "flag", "code"])
+
+
 @query("ingest_record", f"WITH v AS ({DIRTY.sql}) SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns, "
        "count(*) - count(qty) AS null_qty, count(*) - count(flag) AS null_flag FROM v")
 def ingest_record(spark, d):

@@ -98,7 +98,7 @@ def ts_folds(spark, d):
 def _fold_rows(spark, d):
     orders = table(spark, d, "orders")
     bounds = ts.folds(orders, "o_orderdate").orderBy("fold").collect()
-    daily = orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    daily = orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
     return ts.assign_folds(daily, bounds)
 
 
@@ -108,15 +108,15 @@ def ts_fold_sizes(spark, d):
     return _fold_rows(spark, d).groupBy("fold", "role").agg(F.sum("n").alias("n"))
 
 
-@query("ts_errors", f"""WITH {_FOLDS}, x AS (SELECT fold, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) < train_end AS is_train, sum(o_totalprice) AS total
+@query("ts_errors", f"""WITH {_FOLDS}, x AS (SELECT fold, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) < train_end AS is_train, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
  FROM orders JOIN k ON CAST(o_orderdate AS DATE) >= train_start AND CAST(o_orderdate AS DATE) < test_end GROUP BY 1, 2, 3),
-p AS (SELECT fold, avg(total) AS p FROM x WHERE is_train GROUP BY fold), e AS (SELECT x.fold, total AS y, p FROM x JOIN p ON x.fold = p.fold WHERE NOT is_train)
+p AS (SELECT fold, CAST(sum(CAST(total AS DECIMAL(28,2))) AS DOUBLE) / count(*) AS p FROM x WHERE is_train GROUP BY fold), e AS (SELECT x.fold, total AS y, p FROM x JOIN p ON x.fold = p.fold WHERE NOT is_train)
 SELECT fold, count(*) AS n, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg(power(y - p, 2))), 4) AS rmse, round(avg(abs(y - p) / nullif(abs(y), 0)) * 100, 4) AS mape,
  round(avg(2 * abs(y - p) / nullif(abs(y) + abs(p), 0)) * 100, 4) AS smape FROM e GROUP BY fold""")
 def ts_errors(spark, d):
     """Mean forecast per walk-forward fold."""
     rows = _fold_rows(spark, d)
-    mean = rows.where("role = 'train'").groupBy("fold").agg(F.avg("total").alias("forecast"))
+    mean = rows.where("role = 'train'").groupBy("fold").agg((F.sum(F.col("total").cast("decimal(28,2)")).cast("double") / F.count("*")).alias("forecast"))
     out = ts.errors(rows.where("role = 'test'").join(mean, "fold"), "total", "forecast", ["fold"])
     return rounded(out, 4, "mae", "rmse", "mape", "smape")
 

@@ -66,7 +66,7 @@ class Outcome:
             "checks": self.checks, "issues": self.issues, "advice": self.advice,
             "cleaning": cleaning.plan_frame(self.train, self.cleaned.applied), "selection": self.selected.frame(),
             "features": features.feature_log(self.train, self.feature_ops), "leaderboard": self.board,
-            "importance": evaluate.importance_share(shares), "columns": column_summary(self.train, first=15),
+            "importance": evaluate.importance_share(shares), "columns": column_summary(self.train),
         }
 
 

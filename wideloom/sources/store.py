@@ -47,12 +47,14 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
 def table_fingerprint(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """``(n_rows, fingerprint)`` that does not depend on row order or file layout.
 
-    Sums the first 32 bits of every row's MD5, so repeated rows count as well.
+    Sums the first 32 bits of every row's MD5, so repeated rows count as well.  Fields carry their
+    length and nulls a mark of their own, so different rows never read alike.
     """
     names = list(df.columns if names is None else names)
-    text = F.concat_ws("|", *[F.coalesce(col(n).cast("string"), F.lit("")) for n in names])
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+    text = F.concat_ws("|", *[field(col(n).cast("string")) for n in names])
     return df.agg(F.count("*").alias("n_rows"),
-                  F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias("fingerprint"))
+                  F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("fingerprint"))
 
 
 def ingest_record(df: DataFrame, path: str = "") -> DataFrame:
