@@ -19,7 +19,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "😀 é ÀB 12"), (None, "some wo
 
 
 def test_chunks_bound_the_text():
-    assert list(chunks(["a" * 50, None, "b" * 500, "c"], 200)) == [(0, 2), (2, 3), (3, 4)]
+    assert list(chunks([50, 0, 500, 1], 200)) == [(0, 2), (2, 3), (3, 4)]
     assert list(chunks([], 10)) == []
 
 

@@ -9,12 +9,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wideloom.session import shared_dir, ship
 
-CHUNK_CHARS = 4_000_000  # text handled at once inside a task; a longer single text is its own chunk
+CHUNK_BYTES = 1_000_000  # text handled at once inside a task; a longer single text is its own chunk
 HASH_TOP = 2.0 ** 63
 BROADCAST_IDS = 1_000_000  # ids in a broadcast, about 32 MB; more are joined by a shuffle
 
@@ -70,24 +71,29 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[pa.RecordBa
     """``fn`` gets the columns of an Arrow batch as lists, cut into chunks of bounded text, and yields Arrow batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for lo, hi in chunks(columns["text"]):
-                yield from fn({n: v[lo:hi] for n, v in columns.items()})
+            for part in slices(batch):
+                yield from fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def chunks(items: Sequence[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts with at most ``limit`` characters, or one text."""
-    lo = size = 0
-    for i, t in enumerate(items):
-        n = len(t or "") + 32
-        if i > lo and size + n > limit:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with a bounded amount of ``text``; only one is turned into Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_pylist()
+    for lo, hi in chunks(sizes):
+        yield batch.slice(lo, hi - lo)
+
+
+def chunks(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts with at most ``limit`` bytes, or one text."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n + 32 > limit:
             yield lo, i
-            lo, size = i, 0
-        size += n
-    if lo < len(items):
-        yield lo, len(items)
+            lo, total = i, 0
+        total += n + 32
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def words(text: str | None, lower: bool = True) -> list[bytes]:

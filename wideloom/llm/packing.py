@@ -7,6 +7,8 @@ are unique within one evaluation of the result; store it before joining it with
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,39 +20,53 @@ from wideloom.llm.common import BLANKS, map_rows, texts
 
 CONTEXT = 2048
 END_ID = 1
-CACHE_WORDS = 400_000   # distinct blank-free strings whose ids a worker remembers
+CACHE_WORDS = 250_000   # distinct units whose ids a worker remembers
 CACHE_CHARS = 40        # longer ones are encoded each time
 
 _WORKER: dict = {}
 
 
+# Texts of these characters are lower-cased and cut into the vocabulary's units here; all others between blanks.
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
+UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t\n\ra-z0-9ß-öø-ſ]+")
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space before it cuts a text, so the strings between ASCII blanks are
-    encoded one by one and remembered.  The memory is emptied when it is full; results do not depend on it.
+    The vocabulary lower-cases, drops white space and never joins across its units (words, digits, runs of
+    other signs), so units are encoded one by one and remembered.  Texts with rarer characters or with the
+    strings of special tokens are cut only at ASCII blanks, which is always safe.  The memory is emptied
+    when it is full; results do not depend on it.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [[w for w in BLANKS.split(t) if w] if t else [] for t in texts]
-        wanted = set().union(*cut) if cut else set()
+        cut = [self.units(t) if t else [] for t in texts]
+        wanted = set().union(*cut)
+        if len(self.known) + len(wanted) > CACHE_WORDS:
+            self.known = {}
         missing = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known, missing = {}, list(wanted)
-        got = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, got)}
-        table = self.known | fresh if len(self.known) < len(fresh) else self.known
-        table.update(fresh)
-        out = [b"".join(map(table.__getitem__, c)) for c in cut]
-        self.known = table if len(table) <= CACHE_WORDS else {}
-        for w in [w for w in fresh if len(w) > CACHE_CHARS]:
-            self.known.pop(w, None)
+        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        for w in missing:
+            if len(w) > CACHE_CHARS:
+                self.known.pop(w, None)
         return out
 
+    @staticmethod
+    def units(text: str) -> list[str]:
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return UNITS.findall(text.lower())
+        return [w for w in BLANKS.split(text) if w]
+
 
 def encoder(path: str) -> Encoder:
     if path not in _WORKER:

@@ -12,12 +12,11 @@ from collections import Counter
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wideloom.llm import gbt
-from wideloom.llm.common import chunks, fold, kept_sample, map_rows, texts
+from wideloom.llm.common import fold, kept_sample, map_rows, slices, texts
 from wideloom.session import ship
 
 SAMPLE = 20_000    # bound on the labelled rows that the trees are fitted on
@@ -98,14 +97,13 @@ def score(docs: DataFrame, model: gbt.Trees, threshold: float = THRESHOLD) -> Da
 
 def keep_good(docs: DataFrame, model: gbt.Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with all their columns whose text the model does not reject, without a shuffle."""
+    def good(batches):
+        for batch in batches:
+            for part in slices(batch):
+                items = part.column(part.schema.get_field_index("text")).to_pylist()
+                yield part.filter(pa.array(model.probability(matrix(items)) >= threshold))
     ship(docs.sparkSession)
-
-    @F.pandas_udf("boolean")
-    def good(column: pd.Series) -> pd.Series:
-        items = [t if isinstance(t, str) else None for t in column]
-        parts = [model.probability(matrix(items[lo:hi])) >= threshold for lo, hi in chunks(items)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
-    return docs.where(good(F.col("text").cast("string")))
+    return docs.mapInArrow(good, docs.schema)
 
 
 def held_out(column: Column) -> Column:
