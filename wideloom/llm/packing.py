@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ from wideloom.llm.common import BLANKS, map_rows, texts
 
 CONTEXT = 2048
 END_ID = 1
-CACHE_WORDS = 250_000   # distinct units whose ids a worker remembers
+CACHE_WORDS = 250_000   # distinct units in each of a worker's two memories
+GROUP = 200             # unknown units encoded together
 CACHE_CHARS = 40        # longer ones are encoded each time
 
 _WORKER: dict = {}
@@ -36,31 +38,46 @@ class Encoder:
 
     The vocabulary lower-cases, drops white space and never joins across its units (words, digits, runs of
     other signs), so units are encoded one by one and remembered.  Texts with rarer characters or with the
-    strings of special tokens are cut only at ASCII blanks, which is always safe.  The memory is emptied
-    when it is full; results do not depend on it.
+    strings of special tokens are cut only at ASCII blanks, which is always safe.  When the memory is full it
+    becomes the older one, from which units in use are taken over; results do not depend on it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.units(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        if len(self.known) + len(wanted) > CACHE_WORDS:
-            self.known = {}
-        missing = [w for w in wanted if w not in self.known]
-        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.older, new = {}, self.known, set().union(*cut)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        missing = list(new.difference(again))
+        whole = [w for w in missing if UNITS.fullmatch(w) and PLAIN.fullmatch(w) and w == w.lower()]
+        for lo in range(0, len(whole), GROUP):
+            self.known.update(self.together(whole[lo:lo + GROUP]))
+        self.known.update(self.alone([w for w in missing if w not in self.known]))
         out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
         for w in missing:
             if len(w) > CACHE_CHARS:
-                self.known.pop(w, None)
+                del self.known[w]
         return out
 
+    def together(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Units that the vocabulary does not cut further, with their ids; encoded as one text."""
+        e = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
+        of, raw = np.array(e.word_ids, np.float64), array("I", e.ids).tobytes()
+        if not np.array_equal(np.unique(of), np.arange(len(units))):
+            return self.alone(units)
+        ends = (4 * np.searchsorted(of, np.arange(len(units)), "right")).tolist()
+        return zip(units, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)))
+
+    def alone(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        found = self.tokenizer.encode_batch(units, add_special_tokens=False)
+        return zip(units, (array("I", e.ids).tobytes() for e in found))
+
     @staticmethod
     def units(text: str) -> list[str]:
         if "<|" not in text and PLAIN.fullmatch(text):
