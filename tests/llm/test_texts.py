@@ -67,7 +67,18 @@ def test_packing_memory_is_bounded(monkeypatch):
     assert e.encode(texts) == packing.Encoder(catalog.tokenizer_path()).encode(texts)
     for t in texts:
         assert e.encode([t]) == packing.Encoder(catalog.tokenizer_path()).encode([t])
-        assert len(e.known) <= 5
+        assert len(e.known) <= 5 and len(e.older) <= 5
+
+
+def test_units_match_the_tokenizer():
+    """Texts of awkward signs, encoded unit by unit, against the tokenizer on the whole text."""
+    rng, e = random.Random(1), packing.Encoder(catalog.tokenizer_path())
+    plain = [*"abAB1'-.,ßÉé \n", "'s", "'ll"]
+    rare = [*plain, *"\t\xa0日本İ€×<|>_²Ⅷ\x1c\x85", "e\u0301", "<|endoftext|>"]
+    for turn in range(60):
+        batch = ["".join(rng.choices(rare if turn % 2 else plain, k=rng.randrange(40))) for _ in range(20)]
+        for text, raw in zip(batch, e.encode(batch)):
+            assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_buckets_on_disk(spark, tmp_path):

@@ -63,6 +63,8 @@ class Encoder:
         for w in missing:
             if len(w) > CACHE_CHARS:
                 del self.known[w]
+        if len(self.known) > CACHE_WORDS:   # one very long text
+            self.known, self.older = {}, {}
         return out
 
     def together(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
