@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wideloom.functions.columns import col, label_of, melt
+from wideloom.session import cut
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ENTRY_BYTES = 64
 HOT_SHARE = 1_000
+REPEATED_HASHES = 4_000_000  # 64 MB when broadcast
 
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -59,16 +61,18 @@ def _distinct(df: DataFrame, name: str, approx: bool) -> Column:
     return F.approx_count_distinct(value, 0.02) if approx else F.count_distinct(value)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, *, repeated_hashes: int = REPEATED_HASHES) -> DataFrame:
     """One row ``duplicate_rows``: rows that repeat an earlier row on all columns.
 
-    A first shuffle carries only row hashes.  Whole rows are compared just for the hashes
-    seen more than once, so a table with few copies is never shuffled at full width.
+    A first shuffle carries only row hashes.  Hashes seen more than once are counted: up to
+    ``repeated_hashes`` of them are broadcast and only their rows are compared in full, so a table
+    with few copies is never shuffled at full width.  With more, all rows are grouped.
     """
     hashed = df.withColumn("_h", F.xxhash64(*[col(c) for c in df.columns]))
-    repeated = hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
+    repeated = cut(hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h"))
+    few = repeated.count() <= repeated_hashes
     return (
-        hashed.join(repeated, "_h", "left_semi")
+        (hashed.join(F.broadcast(repeated), "_h", "left_semi") if few else df)
         .groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_n"))
         .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
     )

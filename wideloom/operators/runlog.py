@@ -104,6 +104,11 @@ def tombstones(log: DataFrame, ids: Sequence[str]) -> DataFrame:
         "deleted": F.lit(True), "timestamp": F.col("timestamp") + F.expr("INTERVAL 1 MICROSECOND"), "payload": F.lit("{}")})
 
 
+def clear(spark: SparkSession, path: str, schema: str = TEXT_SCHEMA) -> None:
+    """Empty a stored collection; later appends and reads find it as a table without rows."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 def without(log: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
     """Log without the entries listed in ``removed``."""
     return log.join(removed.select(key).distinct(), key, "left_anti")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wideloom.functions.columns import col
+from wideloom.operators.counts import BROADCAST_BYTES, lookup
+from wideloom.session import cut
 
 TEST_SHARE = 0.2
 SEED = 42
@@ -19,13 +21,16 @@ def shuffle_key(keys: Sequence[str], seed: int = SEED) -> Column:
 
 
 def with_split(df: DataFrame, keys: Sequence[str], target: str | None = None, *, test_share: float = TEST_SHARE,
-               seed: int = SEED, out: str = "is_test", cell_rows: int = CELL_ROWS) -> DataFrame:
+               seed: int = SEED, out: str = "is_test", cell_rows: int = CELL_ROWS,
+               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Mark an exact, per-class share of the rows as test rows.
 
     Rows are ordered by a hash of their keys and the first ones of each class form the test
     part; rows with equal keys stay together.  The hash prefix cuts every class into even
     cells.  Only the cell in which a class fills its quota is looked at hash by hash, to find
-    the class's last test hash.  The table itself is neither shuffled nor sorted.
+    the class's last test hash.  Both tables of one row per class are stored and measured before
+    they are looked up: while they fit in a broadcast the table itself is neither shuffled nor sorted,
+    and beyond that classes with many rows are still broadcast.
     """
     n = df.count()
     digits = 1
@@ -36,22 +41,23 @@ def with_split(df: DataFrame, keys: Sequence[str], target: str | None = None, *,
     placed = keyed.select("_y", "_o", F.substring("_o", 1, digits).alias("_cell"))
     by_class = W.partitionBy("_y")
     upto = by_class.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    quota = F.floor(F.sum("_n").over(by_class) * F.lit(test_share) + 0.5)
+    rows = F.sum("_n").over(by_class)
+    quota = F.floor(rows * F.lit(test_share) + 0.5)
     left = quota - (F.sum("_n").over(upto) - F.col("_n"))
     # At most 16^digits rows per class, then one row per class.
-    ends = (
+    ends = cut(
         placed.groupBy("_y", "_cell").agg(F.count("*").alias("_n"))
-        .select("_y", "_cell", left.alias("_left")).where("_left > 0")
-        .groupBy("_y").agg(F.max(F.struct("_cell", "_left")).alias("_end"))
-        .select("_y", "_end._cell", "_end._left")
+        .select("_y", "_cell", left.alias("_left"), rows.alias("_rows")).where("_left > 0")
+        .groupBy("_y").agg(F.max(F.struct("_cell", "_left", "_rows")).alias("_end")).select("_y", "_end", "_end._rows")
     )
     before = F.sum("_n").over(by_class.orderBy("_o").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    last = (
-        placed.join(ends, ["_y", "_cell"]).groupBy("_y", "_o", "_left").agg(F.count("*").alias("_n"))
-        .select("_y", "_o", "_left", before.alias("_before")).where("_before < _left")
-        .groupBy("_y").agg(F.max("_o").alias("_last"))
+    last = cut(
+        lookup(placed, "_y", ends, "_rows", F.lit(None), "_end", broadcast_bytes=broadcast_bytes).where("_cell = _end._cell")
+        .groupBy("_y", "_o", "_end").agg(F.count("*").alias("_n"))
+        .select("_y", "_o", "_end", before.alias("_before")).where("_before < _end._left")
+        .groupBy("_y").agg(F.max("_o").alias("_last"), F.max("_end._rows").alias("_rows"))
     )
-    return keyed.join(last, "_y", "left").select(
+    return lookup(keyed, "_y", last, "_rows", F.lit(None).cast("string"), "_last", broadcast_bytes=broadcast_bytes).select(
         *[col(c) for c in df.columns], F.coalesce(F.col("_o") <= F.col("_last"), F.lit(False)).alias(out))
 
 

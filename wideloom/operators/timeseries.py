@@ -267,6 +267,25 @@ def forecast_ar(fitted: DataFrame, series: Sequence[str], order: int = LAGS, hor
         *series, F.date_add("last_day", F.col("h") + 1).alias("day"), "forecast")
 
 
+def forecast_lags(fitted, rows: DataFrame, series: Sequence[str], value: str = "value", n_lags: int = LAGS, horizon: int = 90) -> DataFrame:
+    """``(series..., day, forecast)`` of a linear ``lag_regression``, forecasts fed back in as lags.
+
+    ``rows`` are those it was fitted on.  Series without ``n_lags`` values at their end have no forecast.
+    """
+    weights = [float(x) for x in fitted.coefficients.toArray()]
+    last = lags(rows, series, value, n_lags).groupBy(*series).agg(F.max_by(
+        F.array(*[F.col(c).cast("double") for c in [*[f"lag_{k}" for k in range(n_lags - 1, 0, -1)], value]]), "day").alias("recent"), F.max("day").alias("last_day"))
+
+    def step(acc, h):
+        day = F.date_add("last_day", h)
+        parts = [F.dayofweek(day), F.month(day), F.dayofweek(day).isin(1, 7).cast("double")]
+        inputs = [*[F.element_at(acc, -k) for k in range(1, n_lags + 1)], *parts]
+        return F.concat(acc, F.array(sum((F.lit(w) * x for w, x in zip(weights, inputs)), F.lit(float(fitted.intercept)))))
+    path = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("recent"), step), n_lags + 1, horizon)
+    return last.where(~F.exists("recent", lambda x: x.isNull())).select(*series, "last_day", F.posexplode(path).alias("h", "forecast")).select(
+        *series, F.date_add("last_day", F.col("h") + 1).alias("day"), "forecast")
+
+
 def weekly_horizon(granularity_name: str) -> int:
     """Steps to forecast: 13 for weekly data, otherwise 90."""
     return 13 if granularity_name == "weekly" else 90

@@ -169,6 +169,17 @@ def collection_size(spark, d):
     return table(spark, d, "embeddings").agg(F.count("*").alias("entries"))
 
 
+@query("collection_clear", "SELECT vec_id AS id FROM embeddings WHERE label < 5")
+def collection_clear(spark, d):
+    """A collection that is filled, cleared and filled again with a part."""
+    path, schema = _scratch(spark, "collection"), "id bigint, label int, embedding array<float>"
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    rows.write.mode("append").parquet(path)
+    runlog.clear(spark, path, schema)
+    rows.where("label < 5").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).select("id")
+
+
 # Run log ---------------------------------------------------------------------------------------
 
 @query("run_progress", f"SELECT session, count(DISTINCT CASE WHEN success THEN phase END) AS completed, count(DISTINCT CASE WHEN success THEN phase END) * 100.0 / 8 AS progress_pct, "

@@ -281,16 +281,17 @@ def class_weights(spark, d):
 def _prepared(spark, d, target: str, task: str):
     df = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        (F.col("l_quantity") * 1000 + F.col("l_discount") * 5000 > 26000).cast("int").alias("big"))
+        (F.col("l_quantity") * 1000 + F.col("l_discount") * 5000 + F.col("l_partkey") % 97 * 100 > 31000).cast("int").alias("big"),
+        (F.col("l_quantity") * 900 + F.col("l_discount") * 20000 + F.col("l_partkey") % 97 * 100).alias("cost"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax"]
-    df = df.withColumn("row_key", split.shuffle_key(keys)).select("row_key", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "big")
+    df = df.withColumn("row_key", split.shuffle_key(keys)).select("row_key", "l_quantity", "l_discount", "l_tax", "l_extendedprice", target)
     marked = cut(split.with_split(df, ["row_key"], target if task == "classification" else None))
     train, test = marked.where("NOT is_test").drop("is_test"), marked.where("is_test").drop("is_test")
     return models.prepare(train, test, target, ["row_key"], task=task)
 
 
 def _train(name: str, task: str, **params):
-    target = "big" if task == "classification" else "l_extendedprice"
+    target = "big" if task == "classification" else "cost"
 
     def run(spark, d):
         data = _prepared(spark, d, target, task)
@@ -299,11 +300,11 @@ def _train(name: str, task: str, **params):
 
 
 for _name, _model, _task, _params in (
-    ("train_logistic", "logistic", "classification", {}), ("train_forest", "forest", "classification", {"numTrees": 20}),
-    ("train_gbt", "gbt", "classification", {"maxIter": 10}), ("train_nb", "naive_bayes", "classification", {}),
-    ("train_svc", "svc", "classification", {"maxIter": 20}), ("train_linear", "linear", "regression", {}),
+    ("train_logistic", "logistic", "classification", {}), ("train_forest", "forest", "classification", {}),
+    ("train_gbt", "gbt", "classification", {}), ("train_nb", "naive_bayes", "classification", {}),
+    ("train_svc", "svc", "classification", {}), ("train_linear", "linear", "regression", {}),
     ("train_ridge", "ridge", "regression", {}), ("train_lasso", "lasso", "regression", {}),
-    ("train_forest_regressor", "forest", "regression", {"numTrees": 20}), ("train_gbt_regressor", "gbt", "regression", {"maxIter": 10}),
+    ("train_forest_regressor", "forest", "regression", {}), ("train_gbt_regressor", "gbt", "regression", {}),
 ):
     query(_name)(_train(_model, _task, **_params))
 
@@ -342,6 +343,57 @@ def linear_test_metrics(spark, d):
     return rounded(rounded(out, 6, "r2"), 3, "rmse", "mae")
 
 
+def _penalised_sql(slope: str) -> str:
+    return f"""
+WITH m AS (SELECT count(*) AS n, avg(l_discount) AS mx, avg(l_extendedprice) AS my, regr_sxx(l_extendedprice, l_discount) AS sxx,
+ regr_sxy(l_extendedprice, l_discount) AS sxy FROM lineitem WHERE l_orderkey % 5 <> 0),
+k AS (SELECT mx, my, {slope} AS b FROM m), p AS (SELECT l_discount AS x, my + b * (l_discount - mx) AS p FROM lineitem, k WHERE l_orderkey % 5 = 0)
+SELECT count(*) AS n, round(avg(p), 1) AS mean, round(min(p), 1) AS low, round(max(p), 1) AS high FROM p"""
+
+
+def _penalised(spark, d, name: str):
+    data = _manual_split(spark, d, "l_extendedprice", "regression", "l_discount")
+    scored = models.train_one(name, data)[1]
+    return scored.agg(F.count("*").alias("n"), *[F.round(f("prediction"), 1).alias(a) for f, a in ((F.avg, "mean"), (F.min, "low"), (F.max, "high"))])
+
+
+@query("ridge_predictions", _penalised_sql("sxy / (sxx + 1)"))
+def ridge_predictions(spark, d):
+    return _penalised(spark, d, "ridge")
+
+
+@query("lasso_predictions", _penalised_sql("sign(sxy) * greatest(abs(sxy) / n - 1, 0) / (sxx / n)"))
+def lasso_predictions(spark, d):
+    return _penalised(spark, d, "lasso")
+
+
+_FACTS = ("logistic", "forest", "gbt", "naive_bayes", "svc")
+
+
+@query("training_facts", "WITH t AS (SELECT l_quantity * 1000 + l_discount * 5000 > 26000 AS big FROM lineitem WHERE l_orderkey % 5 = 0) "
+       f"SELECT model, count(*) AS n, CAST(sum(CAST(big AS INT)) AS BIGINT) AS positives, true AS beats_majority FROM t, (VALUES {', '.join(f"('{m}')" for m in _FACTS)}) m(model) GROUP BY model")
+def training_facts(spark, d):
+    """Of every classifier: scored rows and positives, and that its errors are fewer than those of the larger class."""
+    data = _manual_split(spark, d, "big", "classification", "l_quantity", "l_discount", "l_tax")
+    found = None
+    for name in _FACTS:
+        scored = models.train_one(name, data)[1]
+        one = scored.agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"), F.count_if(F.col("label") != F.col("prediction")).alias("wrong"))
+        one = one.select(F.lit(name).alias("model"), "n", "positives", (F.col("wrong") < F.least("positives", F.col("n") - F.col("positives"))).alias("beats_majority"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("flow_failure_log", "SELECT 'run' AS session, 'ingestion' AS phase, false AS success FROM region HAVING count(*) < 10")
+def flow_failure_log(spark, d):
+    """A table below the smallest size is refused, and the log says so."""
+    try:
+        log = flow.run_flow(table(spark, d, "region"), "r_name", ["r_regionkey"], flow.Params(models=("naive_bayes",))).log
+    except flow.FlowFailed as failed:
+        log = failed.log
+    return flow.run_log_frame(spark, log).select("session", "phase", "success")
+
+
 @query("train_weighted")
 def train_weighted(spark, d):
     data = models.balanced(_prepared(spark, d, "big", "classification"))
@@ -351,7 +403,7 @@ def train_weighted(spark, d):
 @query("feature_importance")
 def feature_importance(spark, d):
     data = _prepared(spark, d, "big", "classification")
-    found = models.train_models(data, ["forest"], numTrees=10)[0].importances
+    found = models.train_models(data, ["forest"])[0].importances
     return evaluate.importance_share(spark.createDataFrame(list(found.items()), "feature string, importance double"))
 
 
@@ -367,7 +419,7 @@ def saved_model_scores(spark, d):
 @query("grid_search")
 def grid_search(spark, d):
     data = _prepared(spark, d, "big", "classification")
-    return tuning.grid_search("logistic", data, folds=3)[1]
+    return tuning.grid_search("logistic", data)[1]
 
 
 @query("vote_ensemble")
@@ -380,7 +432,7 @@ def vote_ensemble(spark, d):
 @query("stacked_ensemble")
 def stacked_ensemble(spark, d):
     data = _prepared(spark, d, "big", "classification")
-    return evaluate.binary_metrics(tuning.stack(["logistic", "naive_bayes"], data, folds=3))
+    return evaluate.binary_metrics(tuning.stack(["logistic", "naive_bayes"], data))
 
 
 @query("orders_flow")

@@ -385,6 +385,15 @@ def scan_csv(spark, d):
     return rounded(df.withColumn("gaps", F.col("gaps").cast("double")), 2, "o_totalprice")
 
 
+@query("scan_csv_lines", "SELECT c_custkey, c_name || chr(10) || '\"' || c_mktsegment || '\"' AS note, c_nationkey FROM customer")
+def scan_csv_lines(spark, d):
+    """Cells with line breaks and quotes."""
+    path = _scratch(spark, "notes") + ".csv"
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('"'))
+    table(spark, d, "customer").select("c_custkey", note.alias("note"), "c_nationkey").write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_table(spark, path).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
 @query("scan_parquet", "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size > 25")
 def scan_parquet(spark, d):
     return tables.read_table(spark, f"{d}/part.parquet").where("p_size > 25").select("p_partkey", "p_brand", "p_size")

@@ -177,6 +177,14 @@ def ts_forecast_ar7(spark, d):
     return _text_day(ts.forecast_ar(ts.fit_ar(_daily(spark, d), ["event_type"]), ["event_type"]))
 
 
+@query("ts_lag_forecast")
+def ts_lag_forecast(spark, d):
+    """Daily series, so 90 days ahead."""
+    rows = _daily(spark, d).na.fill(0.0, ["value"])
+    fitted, _ = ts.lag_regression(rows, ["event_type"])
+    return _text_day(ts.forecast_lags(fitted, rows, ["event_type"], horizon=ts.weekly_horizon("daily")))
+
+
 @query("ts_lag_regression")
 def ts_lag_regression(spark, d):
     fitted = ts.lag_regression(ts.fill_forward(ts.resample(table(spark, d, "events"), ["user_id"], "ts", "value"), ["user_id"])

@@ -42,6 +42,14 @@ class Params:
     seed: int = split.SEED
 
 
+class FlowFailed(ValueError):
+    """A stage failed; ``log`` has the rows of the run up to and with that stage."""
+
+    def __init__(self, message: str, log: list[tuple]):
+        super().__init__(message)
+        self.log = log
+
+
 @dataclass
 class Outcome:
     checks: DataFrame
@@ -76,10 +84,19 @@ def run_flow(df: DataFrame, target: str, keys: Sequence[str], params: Params | N
 
     With ``split_first`` (the default) everything is fitted on the training rows and replayed on
     the test rows.  Without it the table is prepared as a whole and split before training.
-    Stage ends are materialised because later stages read them several times.
+    Stage ends are materialised because later stages read them several times.  A failing stage is
+    logged as not successful before ``FlowFailed`` is raised.
     """
-    p = params or Params()
     log: list[tuple] = []
+    try:
+        return _run_stages(df, target, keys, params or Params(), session, stages, log)
+    except Exception as failure:
+        stage = STAGES[min(len(log), len(STAGES) - 1)]
+        log.append((session, stage, False, datetime.now(timezone.utc).replace(tzinfo=None), str(failure)))
+        raise FlowFailed(f"{stage}: {failure}", log) from failure
+
+
+def _run_stages(df: DataFrame, target: str, keys: Sequence[str], p: Params, session: str, stages: "Stages | None", log: list[tuple]) -> Outcome:
     row_key = "row_key"
 
     def done(stage: str, frame: DataFrame | None = None, detail: str = "") -> None:

@@ -43,21 +43,33 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
     return normalise(read_csv(spark, path, schema, **options))
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not valid UTF-8; then Latin-1, which decodes any byte.
+def csv_traits(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether some quoted cell has a line break.
 
-    The text source keeps the raw bytes of a line, so this is one splittable scan.
+    UTF-8 unless some line is not valid UTF-8; then Latin-1, which decodes any byte.  A line with an odd
+    number of quotes starts or ends a cell that goes over lines.  The text source keeps the raw bytes of a
+    line, so this is one splittable scan.
     """
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)),
+                                    F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).head()
+    return "ISO-8859-1" if row[0] else "UTF-8", row[1]
+
+
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    return csv_traits(spark, path)[0]
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, encoding: str | None = None,
-             multi_line: bool = False, infer: bool = True) -> DataFrame:
-    """Headed CSV.  Without a schema every column is typed from all of its values."""
+             multi_line: bool | None = None, infer: bool = True) -> DataFrame:
+    """Headed CSV.  Without a schema every column is typed from all of its values.
+
+    Files are split among tasks unless a cell has a line break, which is found by a scan when ``multi_line`` is None.
+    """
+    found = csv_traits(spark, path) if encoding is None or multi_line is None else None
     reader = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-        .option("encoding", encoding or csv_encoding(spark, path))
+        spark.read.option("header", True).option("escape", '"').option("multiLine", found[1] if multi_line is None else multi_line)
+        .option("encoding", encoding or found[0])
     )
     if schema is not None:
         return reader.schema(schema).csv(path)
