@@ -20,7 +20,7 @@ still allows a link.  Pairs that meet are compared on their prefixes, and those
 Equal sets are one class from the start.  Within a list, members are first compared with one hub each
 (several rounds, other hubs each time); lists whose members are all in one group are done.  The remaining
 pairs of different groups are then all compared, in blocks, so no link between different texts is lost
-and no pairs inside a group are made.
+and no pairs inside a group are made.  A pair comes out of the list of its first common grams, not of all.
 
 Null, empty and blank texts have an empty set and are linked with nothing.  Rows that repeat an
 id are one document with several texts: each has its own set size, and all their links count for the id.
@@ -45,6 +45,7 @@ PAIRS_PER_ROW = 4        # remaining pairs per list row at which the exact last
 HUB_ROUNDS = 4
 SIZE_STEP = 1.03         # ratio of the sizes in neighbouring buckets
 SKETCH = 8               # integers of a parity sketch
+FIRST_GRAMS = 24         # prefix grams at hand where pairs are made, to tell the first common ones
 BLOCK = 512              # members of a list on one side of a block of pairs
 SALT_ROWS = 2_000        # partners of one hub per salt
 
@@ -223,7 +224,6 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, hot: int
     members = rows.where("n > 0").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
     links = _links(base, classes, postings, k, percent)
     label = components(links)
-    free(postings)
     of_class = classes.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"))
     named = members.join(of_class, "rep").groupBy("doc_id").agg(F.min("label").alias("component_id"))
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(named, "doc_id", "left") \
@@ -245,6 +245,7 @@ def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, per
     both_sides = entries.groupBy("key", "bucket").agg(F.max("home").alias("waits"), F.min("home").alias("looks"), F.min("rep").alias("x"), F.max("rep").alias("y")) \
         .where("waits AND NOT looks AND x < y").select("key", "bucket")
     entries = stored(entries.join(both_sides, ["key", "bucket"]), "entries")
+    free(postings)
     open_lists, found, last = entries.withColumn("label", F.col("rep")), None, None
     for turn in range(HUB_ROUNDS):
         hubs = open_lists.where("home").groupBy("key", "bucket").agg(F.min(F.struct(
@@ -280,19 +281,22 @@ def _cross_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFram
     """All possible pairs of one list and different groups, each list cut into blocks of bounded size.
 
     The join's own condition compares sizes, places and parity sketches: sets that link differ in at most
-    ``(100 - percent) / (100 + percent)`` of the sum of their sizes.
+    ``(100 - percent) / (100 + percent)`` of the sum of their sizes.  It also leaves a pair to an earlier list
+    when the two prefixes have more than two grams in common up to the gram after the place of this one: their
+    first common gram, or first two, have a list in which the pair also meets, as it allows larger partners.
     """
-    bits = classes.select(F.col("rep").alias("of"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    bits = classes.select(F.col("rep").alias("of"), F.slice("prefix", 1, FIRST_GRAMS).alias("first"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
     blocked = lists.join(bits, F.col("rep") == F.col("of")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
 
     def side(rows: DataFrame, t: str, own: str, other: str) -> DataFrame:
         return rows.select("key", "bucket", F.col("rep").alias(t), F.col("n").alias("n" + t), F.col("pos").alias("i" + t), F.col("label").alias("l" + t),
-                           *[F.col(f"s{i}").alias(f"{t}{i}") for i in range(SKETCH)], F.col("mine").alias(own), every.alias(other))
+                           F.slice("first", F.lit(1), F.col("pos") + 1).alias("f" + t), *[F.col(f"s{i}").alias(f"{t}{i}") for i in range(SKETCH)], F.col("mine").alias(own), every.alias(other))
     left, right = side(blocked.where("home"), "a", "x", "y"), side(blocked.where("NOT home"), "b", "y", "x")
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
     return left.join(right, (left.key == right.key) & (left.bucket == right.bucket) & (left.x == right.x) & (left.y == right.y) & (F.col("la") != F.col("lb")) & (F.col("na") <= F.col("nb"))
-                     & _close(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))) \
+                     & _close(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+                     & (F.size(F.array_intersect("fa", "fb")) <= 2)) \
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
