@@ -134,8 +134,9 @@ def test_whole_flow(sales, spark, tmp_path, first):
 
 
 def test_flow_refuses_unusable_tables(sales):
-    with pytest.raises(ValueError, match="min_rows"):
+    with pytest.raises(ValueError, match="min_rows") as failed:
         run_flow(sales.limit(3), "large", ["order_no"])
+    assert [(r[1], r[2]) for r in failed.value.log] == [("ingestion", False)]
 
 
 def test_flow_overrides(sales):

@@ -35,6 +35,12 @@ def test_csv_encoding_falls_back_to_latin1(spark, tmp_path):
         assert tables.read_table(spark, str(tmp_path / f)).head()[0] == "café"
 
 
+def test_csv_cells_over_lines(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert tables.csv_traits(spark, str(tmp_path / "n.csv")) == ("UTF-8", True)
+    assert [tuple(r) for r in tables.read_table(spark, str(tmp_path / "n.csv")).collect()] == [(1, "x\ny"), (2, "z")]
+
+
 def test_csv_with_a_given_schema(spark, tmp_path):
     (tmp_path / "s.csv").write_text("a,b\n1,2\n")
     assert tables.read_table(spark, str(tmp_path / "s.csv"), schema="a int, b double").dtypes == [("a", "int"), ("b", "double")]
