@@ -352,6 +352,17 @@ def test_scores_match_the_definition(spark, order):
     assert abs(sum(p(context + (w,)) for w in words) + p(context + ("never",)) - 1) < 1e-9
 
 
+def test_the_query_sees_two_words_of_context(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("the cat dog sat on mat a b".split()) for _ in range(rng.randrange(12)))) for i in range(60)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    p, _ = _kneser_ney([t for i, t in rows if crc(i) % 7 != 2], 3)
+    text = dict(rows)
+    for r in catalog.op3_language_model(spark, str(tmp_path)).collect():
+        full = ["<s>"] * 2 + _tokens(text[r.doc_id])
+        assert abs(r.score - sum(math.log10(p(tuple(full[j:j + 3]))) for j in range(len(full) - 2))) < 1e-6
+
+
 def test_shards_change_nothing(spark, monkeypatch):
     rows = [(i, f"a{i % 7} b{i % 5} c{i % 3} d") for i in range(80)]
     one = kneser_ney.score(frame(spark, rows), kneser_ney.train(frame(spark, rows), order=3)).collect()
