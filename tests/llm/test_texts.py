@@ -190,6 +190,17 @@ def test_pages_table(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def test_pages_without_a_good_block_keep_their_text(spark):
+    nav = '<nav><a href="/">Home</a></nav><p><a href="/a">all of it is a link</a></p>'
+    pages = {1: ("<p>" * 20_000 + "x", "x"), 2: ("<body><p>Short text.", "Short text."),
+             3: (f"<body>{nav}<h1>标题</h1><p>这是一个没有空格的段落，它很长，但只算一个词。</p><footer>f</footer></body>", "标题\n这是一个没有空格的段落，它很长，但只算一个词。"),
+             4: (f"<body>{nav}<p>Dit is een lange tekst op een bladzijde zonder enig gemarkeerd artikel, helemaal geschreven door mensen.</p><div class=menu>m</div>",
+                 "Dit is een lange tekst op een bladzijde zonder enig gemarkeerd artikel, helemaal geschreven door mensen."),
+             5: (f"<body>{nav}</body>", "")}
+    table = spark.createDataFrame([(i, "u", page) for i, (page, _) in pages.items()], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(table).collect()} == {i: text for i, (_, text) in pages.items()}
+
+
 # Language
 
 def test_codewords_are_apart():

@@ -5,8 +5,9 @@ comments and the like are bad; of the others, a block of mostly links is bad, a
 words is good, one with neither is undecided.  Second pass: undecided blocks take the label of the nearest
 decided neighbours before and after within the same part of the page, of the nearer one if they differ; a
 heading takes the label of what follows it.
-If the page marks its article (``article``, ``main`` or the matching role), that is a part of its own whose
-undecided blocks are good when it has no decided one, and what lies outside of it is bad.
+If the page marks its article (``article``, ``main`` or the matching role), that is a part of its own, and
+what lies outside of it is bad.  A part without a good block, such as a page in another language, in a script
+without blanks or of short blocks, keeps its undecided blocks: the bad ones say nothing about them.
 
 Kept blocks are joined in page order: references decoded, white space turned into single spaces, trimmed.
 Null, empty and cut-off pages are read as far as they go (an open script, style or comment ends the page);
@@ -150,6 +151,10 @@ def second_pass(found: list[Block], label: list[bool | None]) -> list[bool]:
         own = [i for i, b in enumerate(found) if (b.article and not b.boiler) == part]
         if marked and not part:
             continue
+        if not any(label[i] for i in own):
+            for i in own:
+                keep[i] = label[i] is None
+            continue
         before: list[tuple[int, bool] | None] = []
         last = None
         for j, i in enumerate(own):
