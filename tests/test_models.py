@@ -62,6 +62,18 @@ def test_classifiers_beat_guessing(prepared, name, params):
     assert set(got.importances) <= set(prepared.features)
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_forests_tell_many_cells_apart(spark, task):
+    """Every cell of a 16 x 16 board has a label of its own, more than the 32 leaves of depth 5 can tell."""
+    df = spark.range(4096).select("id", (F.col("id") % 16 * 1.0).alias("a"), (F.floor(F.col("id") / 16) % 16 * 1.0).alias("b"))
+    df = df.withColumn("y", F.pmod(F.xxhash64("a", "b"), F.lit(2)).cast("int"))
+    data = models.prepare(*split.train_test(df, ["id"]), "y", ["id"], task=task)
+    scored = models.train_one("forest", data, numTrees=20, featureSubsetStrategy="all")[1]
+    wrong = scored.where(F.abs(F.col("label") - F.col("prediction")) > 0.4).count()
+    assert wrong < 0.1 * scored.count()
+    assert tuning.GRIDS["forest"]["maxDepth"] == [30, 10, 20]
+
+
 def test_regressors_recover_a_line(spark):
     df = spark.range(300).select("id", (F.col("id") % 17 * 1.0).alias("a"), (F.col("id") % 23 * 1.0).alias("b"))
     df = df.withColumn("y", 3 * F.col("a") - 2 * F.col("b") + 5)

@@ -28,6 +28,7 @@ CLASSIFIERS = ("logistic", "forest", "gbt", "knn", "naive_bayes", "svc")
 REGRESSORS = ("linear", "ridge", "lasso", "forest", "gbt")
 SEED = 42
 TREES = 100
+DEPTH = 30   # MLlib's largest; the configured forests have no limit
 LABEL, FEATURES, PREDICTION, SCORE, KEY = "label", "features", "prediction", "score", "row_key"
 PROBABILITIES = "probabilities"
 INDEX_LIMIT = 10_000
@@ -157,7 +158,7 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std:
         if name == "logistic":
             return LogisticRegression(**cols, **weighted, **{"maxIter": 1000, "regParam": 1.0 / rows, "standardization": False, **params})
         if name == "forest":
-            return RandomForestClassifier(**cols, **weighted, **{"numTrees": TREES, "seed": SEED, **params})
+            return RandomForestClassifier(**cols, **weighted, **{"numTrees": TREES, "maxDepth": DEPTH, "seed": SEED, **params})
         if name == "gbt":
             one = GBTClassifier(**cols, **weighted, **{"maxIter": TREES, "maxDepth": 3, "stepSize": 0.1, "seed": SEED, **params})
             return one if classes <= 2 else OneVsRest(classifier=one, **cols, **weighted)
@@ -168,7 +169,7 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std:
             return one if classes <= 2 else OneVsRest(classifier=one, **cols, **weighted)
     else:
         if name == "forest":
-            return RandomForestRegressor(**cols, **{"numTrees": TREES, "seed": SEED, **params})
+            return RandomForestRegressor(**cols, **{"numTrees": TREES, "maxDepth": DEPTH, "seed": SEED, **params})
         if name == "gbt":
             return GBTRegressor(**cols, **{"maxIter": TREES, "maxDepth": 3, "stepSize": 0.1, "seed": SEED, **params})
         if name in ("linear", "ridge", "lasso"):

@@ -297,6 +297,6 @@ def lag_regression(df: DataFrame, series: Sequence[str], value: str = "value", n
     names = [f"lag_{k}" for k in range(1, n_lags + 1)]
     full = rows.dropna(subset=names).withColumn("weekend", F.col("is_weekend").cast("double"))
     vectors = VectorAssembler(inputCols=[*names, "day_of_week", "month", "weekend"], outputCol="features").transform(full)
-    make = LinearRegression(labelCol=value, regParam=1e-3) if model == "linear" else GBTRegressor(labelCol=value, maxIter=30, seed=42)
+    make = LinearRegression(labelCol=value, regParam=1e-3) if model == "linear" else GBTRegressor(labelCol=value, maxIter=100, seed=42)
     fitted = make.fit(vectors)
     return fitted, fitted.transform(vectors).select(*series, "day", F.col(value).alias("actual"), "prediction")
