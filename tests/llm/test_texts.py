@@ -136,6 +136,12 @@ def test_wide_candidates_are_voted_on(spark):
     assert {s.m for i in range(60) for s in found[2 * i + 1].spans} <= {"joe (at) example (dot) com"} | {f"988-555-2{i:03d}" for i in range(60)}
 
 
+def test_spelled_out_addresses_in_upper_case(spark):
+    text = "JOE (AT) EXAMPLE (DOT) COM"
+    rows = pii.candidates(pii.base_spans(frame(spark, [(1, text), (2, f"{text} at home")]).select("doc_id", "text"))).collect()
+    assert [[(s.start, s.kind, s.end, s.m) for s in r.wide] for r in rows] == [[(0, 0, len(text), text)]] * 2
+
+
 def test_reliabilities_follow_the_votes():
     table = []
     for truth in (0, 1):   # the first two labelers mostly right, the third a coin, the last abstains

@@ -126,7 +126,7 @@ def base_spans(df: DataFrame) -> DataFrame:
 
 def candidates(df: DataFrame) -> DataFrame:
     """Add ``wide``: spans of the wider patterns that overlap no base span, with the kind their shape suggests."""
-    df = located(df, WIDE, {"at": "at"})
+    df = located(df, WIDE, {})
     n = lambda s: F.length(digits(s["m"]))
     dotted = lambda s: s["m"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
     kind = lambda s: F.when(n(s).between(13, 19), F.lit(2)).otherwise(F.lit(3))
