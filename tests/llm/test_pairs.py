@@ -167,3 +167,9 @@ def test_lines_match_brute_force(spark):
         gone = {w[1] for w in want if w[0] == r.doc_id}
         assert r.text == "\n".join(u for j, u in enumerate(dict(docs[:40])[r.doc_id].split("\n")) if j not in gone)
     assert line_dedup.repeats(frame(spark, [])).collect() == []
+
+
+def test_long_lines_without_blanks_count(spark):
+    line = "这是一个没有空格的段落它很长但只算一个词所以从前总是留下"
+    got = line_dedup.repeats(frame(spark, [(1, f"{line}\n短行"), (2, f"短行\n{line}。")])).collect()
+    assert [tuple(r) for r in got] == [(2, 1, 3, 3 + len(line) + 1, 1, 0)]

@@ -1,7 +1,8 @@
 """Substring dedup by lines or paragraphs: the earliest occurrence of a unit stays, the others are cut out.
 
 A unit is normalised (lower case, runs of anything but letters and digits to one blank, trimmed); units with
-fewer than ``min_words`` words are never removed.  Equal normal forms are grouped by a 128-bit digest over
+fewer than ``min_words`` words and fewer than ``min_chars`` characters are never removed, so that a long line
+counts in a script without blanks too.  Equal normal forms are grouped by a 128-bit digest over
 all documents; the occurrence with the smallest (document id, place) is kept.  The smallest place is found
 by a grouped minimum that combines inside the map tasks, so a line in a third of all documents costs one
 row per task; removed places keep the offsets they had in the original text.
@@ -19,32 +20,33 @@ from wideloom.llm.common import texts
 from wideloom.llm.pii import _running
 
 MIN_WORDS = 5
+MIN_CHARS = 20
 
 
 def normal(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "))
 
 
-def units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, unit, start, end, digest)`` of every unit that is long enough, without a shuffle."""
     rows = texts(docs).where("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.split("text", separator, -1).alias("parts"))
     rows = rows.select("doc_id", "parts", _running(F.transform("parts", lambda p: F.length(p) + len(separator))).alias("starts"))
     rows = rows.select("doc_id", F.posexplode(F.arrays_zip("parts", "starts")).alias("unit", "u"))
     rows = rows.select("doc_id", "unit", F.col("u.starts").alias("start"), (F.col("u.starts") + F.length("u.parts")).alias("end"), normal(F.col("u.parts")).alias("plain"))
-    return rows.where(F.size(F.split("plain", " ")) >= min_words).where("plain <> ''").select("doc_id", "unit", "start", "end", F.unhex(F.md5("plain")).alias("digest"))
+    return rows.where((F.size(F.split("plain", " ")) >= min_words) | (F.length("plain") >= min_chars)).where("plain <> ''").select("doc_id", "unit", "start", "end", F.unhex(F.md5("plain")).alias("digest"))
 
 
-def repeats(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, unit, start, end, kept_doc_id, kept_unit)`` for every unit to remove."""
-    found = units(docs, separator, min_words)
+    found = units(docs, separator, min_words, min_chars)
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
     return found.join(first, "digest").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("unit") != F.col("kept.unit"))) \
         .select("doc_id", "unit", "start", "end", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")).distinct()
 
 
-def remove(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
+def remove(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated units cut out of ``text``, and ``removed``: their numbers and original spans."""
-    gone = repeats(docs, separator, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end"))).alias("removed"))
+    gone = repeats(docs, separator, min_words, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end"))).alias("removed"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbers = F.transform("removed", lambda r: r["unit"])
     rest = F.filter(F.split("text", separator, -1), lambda p, i: ~F.array_contains(numbers, i))
