@@ -67,12 +67,16 @@ def shared_path(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` gets the columns of an Arrow batch as lists, cut into chunks of bounded text, and yields Arrow batches."""
+def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[pa.RecordBatch]], schema: str, per_task: bool = False) -> DataFrame:
+    """``fn`` gets the columns of an Arrow batch as lists, cut into chunks of bounded text, and yields Arrow batches.
+
+    With ``per_task``, ``fn()`` makes that function once in every task, so what it remembers ends with the task.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = fn() if per_task else fn
         for batch in batches:
             for part in slices(batch):
-                yield from fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                yield from each({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
