@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wideloom.llm import decontaminate, html_text, kneser_ney, language, line_dedup, ngram_join, packing, pii, quality, rules, token_counts
+from wideloom.llm import decontaminate, html_text, kneser_ney, language, line_dedup, ngram_join, packing, pii, quality, rules, token_align, token_counts
 from wideloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op13_token_counts(spark, sf_dir):
     """Tokens of every document, and the longest prefix within the limit."""
     return token_counts.count(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024).select(
         "doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two vocabularies."""
+    return token_align.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import regex
@@ -23,12 +24,21 @@ PART = 200_000                # characters of a long text that are handled toget
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"   # fixed by the vocabulary
 SPACE = r"\p{White_Space}"
 RUN = rf"\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+"
-# A unit, or blanks together with the unit behind them: how blanks are cut depends on what follows.
-COMPOUNDS = regex.compile(rf"{CONTRACTIONS}| ?(?:{RUN})|{SPACE}+(?:(?<! )(?:{CONTRACTIONS})|{RUN})?")
-UNITS = regex.compile(rf"{CONTRACTIONS}| ?(?:{RUN})|{SPACE}+(?!\S)|{SPACE}+".replace(r"\S", rf"[^{SPACE}]"))
-PLAIN = regex.compile("[\x00-\u0557]*")    # signs that every Unicode version sorts alike
+UNITS = regex.compile(rf"{CONTRACTIONS}| ?(?:{RUN})|{SPACE}+(?![^{SPACE}])|{SPACE}+")
 BLANK = regex.compile(rf"{SPACE}*")
-WORDS = regex.compile(" +[^ ]*|^[^ ]+")    # runs of spaces with what follows
+# Signs that every Unicode version sorts alike, and their kinds.
+PLAIN_END = 0x558
+PLAIN = re.compile(rf"[\x00-{chr(PLAIN_END - 1)}]*")
+
+
+def _kind(pattern: str) -> str:
+    return "".join(rf"\u{c:04x}" for c in range(PLAIN_END) if regex.fullmatch(pattern, chr(c)))
+
+
+# A unit, or blanks together with the unit behind them: how blanks are cut depends on what follows.
+_S, _L, _N = _kind(SPACE), _kind(r"\p{L}"), _kind(r"\p{N}")
+_RUN = rf"[{_L}]+|[{_N}]+|[^{_S}{_L}{_N}]+"
+COMPOUNDS = re.compile(rf"{CONTRACTIONS}| ?(?:{_RUN})|[{_S}]+(?:(?<! )(?:{CONTRACTIONS})|{_RUN})?")
 SAFE_CUT = regex.compile(r"(?<=[!-~]) (?=[A-Za-z0-9])")
 
 
@@ -131,15 +141,3 @@ class Memory:
                 self.known[u] = v
                 self.held += 3 * len(u) + (len(v)) + 150
 
-
-def slabs(texts: Iterable[tuple], limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
-    """Rows ``(..., text)`` in lists of bounded text."""
-    out, total = [], 0
-    for row in texts:
-        out.append(row)
-        total += len(row[-1] or "")
-        if total > limit:
-            yield out
-            out, total = [], 0
-    if out:
-        yield out
