@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wideloom.llm import decontaminate, html_text, kneser_ney, language, line_dedup, ngram_join, packing, pii, quality, rules, token_align, token_counts
+from wideloom.llm import conversations, conversations_sql, decontaminate, html_text, kneser_ney, language, line_dedup, ngram_join, packing, pii, quality, rules, token_align, token_counts
 from wideloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_conversation_repair": conversations_sql.REPAIR}
 
 
 def query(fn):
@@ -110,3 +110,9 @@ def op13_token_counts(spark, sf_dir):
 def op12_token_alignment(spark, sf_dir):
     """Groups and links between the tokens of two vocabularies."""
     return token_align.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """Faults, cheapest repair and digest of every damaged conversation."""
+    return conversations.repair_damaged(read(spark, sf_dir, "conversations"))
