@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from operator import sub
 
 import ahocorasick
@@ -44,15 +45,18 @@ class Chains:
         for entry, token in v.id_of.items():
             self.ends.add_word(entry.decode("latin-1"), (len(entry), token))
         self.ends.make_automaton()
-        self.before, self.last, self.count = b"", [-1], [0]
+        self.before, self.last, self.count, self.steps = b"", [-1], [0], array("h")
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.merges: dict[int, dict[int, int]] = {}
+        for (x, y), rank in v.rank.items():
+            self.merges.setdefault(x, {})[y] = rank
         self.cutter = Cutter(path)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols that stand at one edge while a token is built, each with the rank of the merge that ends it."""
-        memo = self.left if side == 0 else self.right
+        memo = self.right if side else self.left
         if token not in memo:
             out, until = [(token, 1 << 62)], token
             while until in self.vocabulary.halves:
@@ -64,27 +68,31 @@ class Chains:
 
     def fit(self, a: int, b: int) -> bool:
         """Whether ``b`` stays apart behind ``a``: no merge over the border wins.  Of equal ranks the left one goes first."""
-        known = self.fits.get((a, b))
-        if known is None:
-            rank = self.vocabulary.rank.get
-            starts = self.edge(b, 0)
-            known = not any((r := rank((x, y))) is not None and r < ends_x and r <= ends_y
-                            for x, ends_x in self.edge(a, 1) for y, ends_y in starts)
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            self.fits[a, b] = known
+        known, starts = True, self.edge(b, 0)
+        for x, ends_x in self.edge(a, 1):
+            merges = self.merges.get(x)
+            if merges:
+                for y, ends_y in starts:
+                    rank = merges.get(y)
+                    if rank is not None and rank < ends_x and rank <= ends_y:
+                        known = False
+                        break
+                if not known:
+                    break
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        self.fits[a, b] = known
         return known
 
-    def counts(self, raw: bytes) -> list[int]:
-        """Tokens of every prefix of one unit, from the empty one on.  What it shares with the unit before is kept."""
-        fits, fit, last, count = self.fits, self.fit, self.last, self.count
-        same = 0
+    def work(self, raw: bytes) -> None:
+        """Leave tokens, and changes of the count, of every prefix of a unit; what it shares with the one before is kept."""
+        fits, fit, last, count, steps = self.fits, self.fit, self.last, self.count, self.steps
+        now = 0
         for x, y in zip(raw, self.before):
             if x != y:
                 break
-            same += 1
-        del last[same + 1:], count[same + 1:]
-        now = same
+            now += 1
+        del last[now + 1:], count[now + 1:], steps[now:]
         for at, (n, token) in self.ends.iter(raw.decode("latin-1")):   # longest first at every place
             if at < now:
                 continue
@@ -93,11 +101,29 @@ class Chains:
                 known = fits.get(key)
                 if not (fit(*key) if known is None else known):
                     continue
+            tokens = count[at + 1 - n] + 1
+            steps.append(tokens - count[at])
             last.append(token)
-            count.append(count[at + 1 - n] + 1)
+            count.append(tokens)
             now = at + 1
         self.before = raw
-        return count[:]
+
+    def counts(self, raw: bytes) -> list[int]:
+        """Tokens of every prefix of one unit in bytes, from the empty one on."""
+        self.work(raw)
+        return self.count[:]
+
+    def changes(self, text: str) -> bytes:
+        """Changes of the count from character to character of a unit with the blanks before it, as 16-bit numbers."""
+        first = text[1:2] if text[0] == " " else text[0]
+        if first and not first.isspace() and text not in SHORT:   # no blanks but one space: a single unit
+            self.work(text.encode())
+            if len(self.steps) == len(text):
+                return self.steps.tobytes()
+            counts = [self.count[end] for end in accumulate(len(c.encode()) for c in text)]
+            return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
+        counts = self.compound(text)
+        return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
     def unit(self, text: str) -> list[int]:
         """Tokens of every prefix in characters, from one character on."""
@@ -143,13 +169,7 @@ class Counter:
         self.chains = chains(path)
         special = self.chains.vocabulary.special
         self.special = sorted(special, key=lambda s: (-len(s), s))
-        self.memory = Memory(self.steps)
-
-    def steps(self, units: list[str]) -> Iterator[bytes]:
-        """Changes of the count from character to character of every unit."""
-        for unit in units:   # sorted, so neighbours share their beginnings
-            counts = self.chains.compound(unit)
-            yield array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
+        self.memory = Memory(lambda units: map(self.chains.changes, units))   # sorted, so neighbours share their beginnings
 
     def segments(self, text: str) -> Iterator[tuple[str, str]]:
         """Stretches of plain text, each with the special string behind it."""
