@@ -55,7 +55,7 @@ def test_class_weights_balance(prepared):
     assert models.train_models(models.balanced(prepared), ["logistic"], weight="weight")[0].error == ""
 
 
-@pytest.mark.parametrize("name,params", [("logistic", {}), ("forest", {"numTrees": 10}), ("gbt", {"maxIter": 5}), ("knn", {}), ("naive_bayes", {}), ("svc", {"maxIter": 10})])
+@pytest.mark.parametrize("name,params", [("logistic", {}), ("forest", {"trees": 10}), ("gbt", {"maxIter": 5}), ("knn", {}), ("naive_bayes", {}), ("svc", {"maxIter": 10})])
 def test_classifiers_beat_guessing(prepared, name, params):
     got = models.train_models(prepared, [name], **params)[0]
     assert got.error == "" and got.metrics["accuracy"] > 0.6
@@ -68,10 +68,10 @@ def test_forests_tell_many_cells_apart(spark, task):
     df = spark.range(4096).select("id", (F.col("id") % 16 * 1.0).alias("a"), (F.floor(F.col("id") / 16) % 16 * 1.0).alias("b"))
     df = df.withColumn("y", F.pmod(F.xxhash64("a", "b"), F.lit(2)).cast("int"))
     data = models.prepare(*split.train_test(df, ["id"]), "y", ["id"], task=task)
-    scored = models.train_one("forest", data, numTrees=20, featureSubsetStrategy="all")[1]
+    scored = models.train_one("forest", data, trees=20, features="all")[1]
     wrong = scored.where(F.abs(F.col("label") - F.col("prediction")) > 0.4).count()
     assert wrong < 0.1 * scored.count()
-    assert tuning.GRIDS["forest"]["maxDepth"] == [30, 10, 20]
+    assert tuning.GRIDS["forest"]["max_depth"] == [None, 10, 20]
 
 
 def test_regressors_recover_a_line(spark):

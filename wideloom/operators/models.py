@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
+    GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from wideloom.operators import forest
 from wideloom.functions.columns import col, families, melt, number
 from wideloom.functions.rules import Rule, fired
 from wideloom.operators.counts import lookup
@@ -28,7 +29,6 @@ CLASSIFIERS = ("logistic", "forest", "gbt", "knn", "naive_bayes", "svc")
 REGRESSORS = ("linear", "ridge", "lasso", "forest", "gbt")
 SEED = 42
 TREES = 100
-DEPTH = 30   # MLlib's largest; the configured forests have no limit
 LABEL, FEATURES, PREDICTION, SCORE, KEY = "label", "features", "prediction", "score", "row_key"
 PROBABILITIES = "probabilities"
 INDEX_LIMIT = 10_000
@@ -146,7 +146,7 @@ def balanced(data: Prepared, out: str = "weight") -> Prepared:
 
 
 def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std: float = 1.0, weight: str | None = None, **params):
-    """The MLlib estimator behind a configured model name.
+    """The MLlib estimator behind a configured model name; forests have their own trainer, ``fit_forest``.
 
     MLlib averages the loss over the ``rows`` training rows, so penalties stated for a summed
     loss are divided by that number.  It also scales the label, which a squared penalty has to
@@ -157,8 +157,6 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std:
     if task == "classification":
         if name == "logistic":
             return LogisticRegression(**cols, **weighted, **{"maxIter": 1000, "regParam": 1.0 / rows, "standardization": False, **params})
-        if name == "forest":
-            return RandomForestClassifier(**cols, **weighted, **{"numTrees": TREES, "maxDepth": DEPTH, "seed": SEED, **params})
         if name == "gbt":
             one = GBTClassifier(**cols, **weighted, **{"maxIter": TREES, "maxDepth": 3, "stepSize": 0.1, "seed": SEED, **params})
             return one if classes <= 2 else OneVsRest(classifier=one, **cols, **weighted)
@@ -168,13 +166,11 @@ def estimator(name: str, task: str, classes: int = 2, rows: int = 1, label_std:
             one = LinearSVC(**cols, **weighted, **{"maxIter": 100, "regParam": 0.01, **params})
             return one if classes <= 2 else OneVsRest(classifier=one, **cols, **weighted)
     else:
-        if name == "forest":
-            return RandomForestRegressor(**cols, **{"numTrees": TREES, "maxDepth": DEPTH, "seed": SEED, **params})
         if name == "gbt":
-            return GBTRegressor(**cols, **{"maxIter": TREES, "maxDepth": 3, "stepSize": 0.1, "seed": SEED, **params})
+            return GBTRegressor(**cols, **weighted, **{"maxIter": TREES, "maxDepth": 3, "stepSize": 0.1, "seed": SEED, **params})
         if name in ("linear", "ridge", "lasso"):
             penalty, mix = {"linear": (0.0, 0.0), "ridge": (label_std / rows, 0.0), "lasso": (1.0, 1.0)}[name]
-            return LinearRegression(**cols, **{"regParam": penalty, "elasticNetParam": mix, "standardization": False, **params})
+            return LinearRegression(**cols, **weighted, **{"regParam": penalty, "elasticNetParam": mix, "standardization": False, **params})
     raise ValueError(f"no {task} model named {name}")
 
 
@@ -218,8 +214,19 @@ def feature_importance(model: Model, names: Sequence[str]) -> dict[str, float]:
     return {}
 
 
-def train_one(name: str, data: Prepared, **params) -> tuple[PipelineModel | None, DataFrame]:
+def fit_forest(data: Prepared, *, weight: str | None = None, trees: int = TREES, features: str | int | None = None, seed: int = SEED,
+               **params) -> forest.ForestModel:
+    """A forest without a limit of depth: the root of the features are tried at a node of a classifier, all for a regression."""
+    classify = data.task == "classification"
+    spec = forest.Spec(trees=trees, features=features or ("sqrt" if classify else "all"), seed=seed, **params)
+    return forest.fit(data.train, max(len(data.classes), 2) if classify else 0, len(data.features), spec, weight)
+
+
+def train_one(name: str, data: Prepared, **params) -> tuple[PipelineModel | forest.ForestModel | None, DataFrame]:
     """Fit one model and score the test rows."""
+    if name == "forest":
+        fitted = fit_forest(data, **params)
+        return fitted, score(fitted, data.test)
     if name == "knn":
         vectors = lambda d: d.select(F.col(KEY), F.col(LABEL), vector_to_array(FEATURES).alias("embedding"))
         test = vectors(data.test)
@@ -258,7 +265,7 @@ def train_models(data: Prepared, names: Sequence[str] | None = None, **params) -
             try:
                 fitted, scored = train_one(name, held, **params)
                 metrics = metrics_of(scored, data.task, len(data.classes))
-                last = fitted.stages[-1] if fitted is not None else None
+                last = fitted.stages[-1] if isinstance(fitted, PipelineModel) else fitted
                 out.append(Trained(name, fitted, metrics, time.monotonic() - start,
                                    feature_importance(last, data.features) if last is not None else {}))
             except Exception as problem:  # one failing model must not stop the others
@@ -328,10 +335,14 @@ def model_advice(ranked: DataFrame, task: str) -> DataFrame:
     ])
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | forest.ForestModel, path: str) -> str:
+    if isinstance(model, forest.ForestModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, kind: str = "") -> PipelineModel | forest.ForestModel:
+    """A saved model; ``kind="forest"`` for forests, which have a format of their own."""
+    return forest.ForestModel.load(SparkSession.active(), path) if kind == "forest" else PipelineModel.load(path)

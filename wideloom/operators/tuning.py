@@ -12,14 +12,14 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, functions as F
 
-from wideloom.operators.models import DEPTH, FEATURES, KEY, LABEL, PREDICTION, PROBABILITIES, SCORE, Prepared, estimator, score, train_one
+from wideloom.operators.models import FEATURES, KEY, LABEL, PREDICTION, PROBABILITIES, SCORE, Prepared, estimator, score, train_one
 
 MIN_ROWS = 500
 FOLDS = 5
 MIN_LIFT = 0.05
 # The configured grids, by MLlib parameter name.
 GRIDS: dict[str, dict[str, list]] = {
-    "forest": {"numTrees": [50, 100, 200], "maxDepth": [DEPTH, 10, 20]},
+    "forest": {"trees": [50, 100, 200], "max_depth": [None, 10, 20], "min_split": [2, 5, 10]},
     "gbt": {"maxIter": [50, 100, 200], "maxDepth": [3, 6, 10], "stepSize": [0.01, 0.1, 0.2]},
     "logistic": {"regParam": [10.0, 1.0, 0.1]},
 }
