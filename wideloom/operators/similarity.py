@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from collections.abc import Iterator, Sequence
 
@@ -10,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wideloom.operators.cells import BLOCK_ROWS, nearest_by_cells
+
 TOP_K = 5
 NEIGHBOURS = 5
-BLOCK_ROWS = 20_000
 SLAB_CELLS = 4_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -51,7 +51,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, *, query_key: str = "qu
     No pair table is built.  A task holds one block of queries and one block of base rows,
     scores them with a matrix product and emits only its k best per query; a second step ranks
     those few candidates.  Query sets measured below ``broadcast_bytes`` are sent to the base
-    partitions, so the base is not shuffled.  Larger ones meet the base on a grid of blocks.
+    partitions, so the base is not shuffled.  Larger ones search the cells of the base that can hold a neighbour.
     Only vectors of equal length are compared.
     Scores: cosine similarity, or negative squared distance for ``metric="euclidean"``.
     """
@@ -72,7 +72,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, *, query_key: str = "qu
     if n_queries * (longest or 0) * 8 <= broadcast_bytes:
         found = _against_broadcast(q, b, k, metric, exclude_self, schema)
     else:
-        found = _on_grid(q, b, k, metric, exclude_self, schema, n_queries, block_rows)
+        score = block_score(k, metric, exclude_self, schema)
+        found, _ = nearest_by_cells(q, b, k, metric == "cosine", score, schema, exclude_self=exclude_self, n_base=b.count(), block_rows=block_rows)
     order = W.partitionBy("_q").orderBy(F.desc("score"), "_b")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -99,21 +100,15 @@ def _against_broadcast(q, b, k, metric, exclude_self, schema):
     return b.mapInArrow(score, schema)
 
 
-def _on_grid(q, b, k, metric, exclude_self, schema, n_queries, block_rows):
-    n_base = b.count()
-    q_blocks, b_blocks = (max(1, math.ceil(n / block_rows)) for n in (n_queries, n_base))
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q_grid = q.withColumn("_i", place("_q", q_blocks)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(b_blocks - 1))))
-    b_grid = b.withColumn("_j", place("_b", b_blocks)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
+def block_score(k: int, metric: str, exclude_self: bool, schema: str):
+    """The k best rows of a block for each query that visits it."""
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _candidates(np.array([]), None, schema, table=True)
         keys, ids = (np.asarray(t.column(n).to_pylist()) for t, n in ((left, "_q"), (right, "_b")))
         x, y = (_matrix(t.column("_v").combine_chunks()) for t in (left, right))
         return _candidates(keys, _best(keys, x, ids, y, k, metric, exclude_self), schema, table=True)
-
-    return q_grid.groupBy("_i", "_j").cogroup(b_grid.groupBy("_i", "_j")).applyInArrow(score, schema)
+    return score
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -173,10 +168,10 @@ def _candidates(keys, best, schema, table=False):
 
 
 def knn_vote(queries: DataFrame, train: DataFrame, label: str, k: int = NEIGHBOURS, *, query_key: str = "query_id",
-             base_key: str = "id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
+             base_key: str = "id", vector: str = "embedding", exclude_self: bool = False, **sizes: int) -> DataFrame:
     """``(query_id, prediction, votes)``: majority label of the k nearest, smallest label on ties."""
     near = nearest(queries, train, k, query_key=query_key, base_key=base_key, vector=vector, metric="euclidean",
-                   exclude_self=exclude_self)
+                   exclude_self=exclude_self, **sizes)
     labels = train.select(F.col(base_key), F.col(label).alias("_label"))
     votes = near.join(labels, base_key).groupBy(query_key, "_label").agg(F.count("*").alias("votes"))
     return votes.groupBy(query_key).agg(

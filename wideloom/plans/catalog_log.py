@@ -144,19 +144,30 @@ def _all(df, **kw):
 
 @query("similar_all_grid", _ALL_PAIRS)
 def similar_all_grid(spark, d):
-    """The same through the block grid, as for query sets too large to broadcast."""
+    """The same through cells, as for query sets too large to broadcast."""
     return _all(table(spark, d, "embeddings"), broadcast_bytes=0, block_rows=200)
 
 
-@query("knn_vote", """WITH n AS (SELECT q.vec_id AS query_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+_VOTES = """WITH n AS (SELECT q.vec_id AS query_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY
  round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 10), e.vec_id) AS rank FROM embeddings e, embeddings q WHERE e.vec_id <> q.vec_id),
 c AS (SELECT query_id, label, count(*) AS votes FROM n WHERE rank <= 5 GROUP BY query_id, label)
-SELECT query_id, prediction, votes FROM (SELECT query_id, label AS prediction, votes, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS k FROM c) t WHERE k = 1""")
+SELECT query_id, prediction, votes FROM (SELECT query_id, label AS prediction, votes, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS k FROM c) t WHERE k = 1"""
+
+
+@query("knn_vote", _VOTES)
 def knn_vote(spark, d):
     df = table(spark, d, "embeddings")
     return similarity.knn_vote(df.withColumnRenamed("vec_id", "query_id"), df.withColumnRenamed("vec_id", "id"), "label", exclude_self=True)
 
 
+@query("knn_vote_cells", _VOTES)
+def knn_vote_cells(spark, d):
+    """The same vote through cells."""
+    df = table(spark, d, "embeddings")
+    return similarity.knn_vote(df.withColumnRenamed("vec_id", "query_id"), df.withColumnRenamed("vec_id", "id"), "label", exclude_self=True,
+                               broadcast_bytes=0, block_rows=200)
+
+
 @query("canned_search", f"SELECT vec_id FROM (SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 5) t WHERE label % 2 = 0")
 def canned_search(spark, d):
     tags = F.when(F.col("label") % 2 == 0, F.array(F.lit("model_performance"))).otherwise(F.array(F.lit("dataset_profile")))
