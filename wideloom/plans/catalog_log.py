@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wideloom.operators import cleaning, runlog, similarity
+from wideloom.operators import cleaning, runlog, similarity, textsearch
 from wideloom.plans import flow
 from wideloom.plans.catalog_profile import _scratch
 from wideloom.plans.inputs import LOG, RUNS
@@ -168,6 +168,26 @@ def knn_vote_cells(spark, d):
                                broadcast_bytes=0, block_rows=200)
 
 
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+@query("similar_text", f"""
+WITH c AS (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id, unnest({_WORDS}) AS term FROM documents) t GROUP BY ALL),
+i AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (count(*) + 1)) + 1 AS idf FROM c GROUP BY term),
+w AS (SELECT id, term, (1 + ln(n)) * idf AS raw FROM c JOIN i USING (term)),
+d AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM w),
+qc AS (SELECT id, term, count(*) AS n FROM (SELECT item_id AS id, unnest({_WORDS}) AS term FROM benchmark) t GROUP BY ALL),
+qw AS (SELECT id, term, (1 + ln(n)) * idf AS raw FROM qc JOIN i USING (term)),
+q AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM qw),
+s AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.weight * d.weight), 9) AS score FROM q JOIN d USING (term) GROUP BY ALL)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) t WHERE rank <= 5""")
+def similar_text(spark, d):
+    """The five documents nearest to the text of every benchmark item."""
+    index = textsearch.build(table(spark, d, "documents"), "doc_id", "text")
+    found = textsearch.search(index, table(spark, d, "benchmark"), 5, key="item_id", text="text").withColumnRenamed("id", "doc_id")
+    return rounded(found, 6, "score")
+
+
 @query("canned_search", f"SELECT vec_id FROM (SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 5) t WHERE label % 2 = 0")
 def canned_search(spark, d):
     tags = F.when(F.col("label") % 2 == 0, F.array(F.lit("model_performance"))).otherwise(F.array(F.lit("dataset_profile")))
