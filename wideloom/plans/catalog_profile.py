@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wideloom.operators import profile, quality, relations
 from wideloom.operators.counts import duplicate_rows
+from wideloom.operators.neighbour_information import neighbour_information
 from wideloom.plans.inputs import COPIES, DIRTY, RELATED
 from wideloom.plans.registry import query, rounded, table, union_sql
 from wideloom.session import shared_dir
@@ -252,6 +253,36 @@ def mi_binned(spark, d):
     return rounded(relations.mutual_information(li, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linenumber"]), 6, "mi_binned")
 
 
+_PSI = "(ln({n} + 6) - 1 / (2 * ({n} + 6)) - 1 / (12 * power({n} + 6, 2)) + 1 / (120 * power({n} + 6, 4)) - 1 / (252 * power({n} + 6, 6))" + "".join(
+    f" - 1 / ({{n}} + {i})" for i in range(6)) + ")"
+
+
+def _psi(n: str) -> str:
+    return _PSI.format(n=f"CAST({n} AS DOUBLE)")
+
+
+def _neighbours_sql(names, target: str, source: str) -> str:
+    """Per column: distances to the three rows of the class on either side, then counts by order."""
+    near = ", ".join(f"abs(x - {side}(x, {i}) OVER w)" for side in ("lag", "lead") for i in (1, 2, 3))
+    return union_sql([f"""SELECT * FROM (
+WITH t AS (SELECT CAST({c} AS DOUBLE) AS x, {target} AS y, count(*) OVER (PARTITION BY {target}) AS size FROM {source}),
+r AS (SELECT x, y, size, list_sort(list_filter([{near}], lambda v: v IS NOT NULL)) AS d, count(*) OVER (PARTITION BY y, x) AS same
+  FROM t WHERE size > 1 WINDOW w AS (PARTITION BY y ORDER BY x)),
+f AS (SELECT x, size, d[least(3, len(d))] AS far, CASE WHEN d[least(3, len(d))] = 0 THEN same - 1 ELSE least(3, size - 1) END AS k FROM r),
+c AS (SELECT x, sum(count(*)) OVER (ORDER BY x) AS upto, count(*) AS own FROM f GROUP BY x),
+m AS (SELECT f.*, CASE WHEN far = 0 THEN s.own ELSE coalesce(a.upto, 0) - coalesce(b.upto, 0) END AS m
+  FROM f JOIN c s ON s.x = f.x ASOF LEFT JOIN c a ON f.x + f.far > a.x ASOF LEFT JOIN c b ON f.x - f.far >= b.x)
+SELECT '{c}' AS "column", round(greatest({_psi('count(*)')} + avg({_psi('k')}) - avg({_psi('size')}) - avg({_psi('m')}), 0), 6) AS mi FROM m) t"""
+                      for c in names])
+
+
+@query("mi_neighbours", _neighbours_sql(("o_totalprice", "o_custkey", "o_orderkey"), "o_orderstatus", "orders"))
+def mi_neighbours(spark, d):
+    """Information of order columns about the status, estimated by neighbours."""
+    found = neighbour_information(table(spark, d, "orders"), "o_orderstatus", ["o_totalprice", "o_custkey", "o_orderkey"], range_rows=5000)
+    return rounded(found, 6, "mi")
+
+
 @query("mi_binned_regression", _mi_sql(("l_quantity", "l_discount", "l_tax"), "l_extendedprice", "lineitem", cut_target=True))
 def mi_binned_regression(spark, d):
     return rounded(relations.mutual_information(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 6, "mi_binned")
