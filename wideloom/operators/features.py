@@ -77,12 +77,17 @@ def row_aggregate(values: Sequence[Column], how: str) -> Column:
 
 def plan_features(df: DataFrame, target: str | None = None, *, max_new_ratio: float | None = MAX_NEW_RATIO,
                   per_kind: int | None = PER_KIND_COLUMNS, partners: int | None = RATIO_PARTNERS, interactions: int | None = INTERACTION_COLUMNS,
-                  skip: Sequence[str] = (), skip_types: Sequence[str] = ()) -> list[FeatureOp]:
+                  skip: Sequence[str] = (), skip_types: Sequence[str] = (), left_out: list[FeatureOp] | None = None) -> list[FeatureOp]:
     """Fixed order ratio, bin, log, interaction, frequency, aggregate; then capped by width.
 
     Each limit is a parameter and None lifts it: columns per kind, columns that ratios pair with, columns
-    that interact, and new columns as a share of the old ones.
+    that interact, and new columns as a share of the old ones.  What the limits cut is added to ``left_out``.
     """
+    if left_out is not None:
+        every = plan_features(df, target, max_new_ratio=None, per_kind=None, partners=None, interactions=None, skip=skip, skip_types=skip_types)
+        kept = plan_features(df, target, max_new_ratio=max_new_ratio, per_kind=per_kind, partners=partners, interactions=interactions, skip=skip, skip_types=skip_types)
+        left_out += [o for o in every if (o.op_type, o.name, o.sources) not in {(k.op_type, k.name, k.sources) for k in kept}]
+        return kept
     numeric = [c for c in families(df).numeric if c != target]
     text = [c for c in families(df).categorical if c != target]
     ops: list[FeatureOp] = []

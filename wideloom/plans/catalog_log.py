@@ -8,7 +8,7 @@ from wideloom.operators import cleaning, runlog, similarity, textsearch
 from wideloom.plans import flow
 from wideloom.plans.catalog_profile import _scratch
 from wideloom.plans.inputs import LOG, RUNS
-from wideloom.plans.registry import query, rounded, table
+from wideloom.plans.registry import query, rounded, table, union_sql
 
 _LATEST = f"""v AS ({LOG.sql}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY timestamp DESC, event_id DESC) AS k FROM v),
 l AS (SELECT * FROM r WHERE k = 1)"""
@@ -243,7 +243,8 @@ def common_ops(spark, d):
     return runlog.common_ops(table(spark, d, "events").select(F.col("event_type").alias("column"), op.alias("op_type")))
 
 
-@query("common_ops_of_plans", "SELECT c AS \"column\", 'impute_numeric' AS op_type, CAST(2 AS BIGINT) AS uses FROM (VALUES ('qty')) t(c), (SELECT count(*) AS n FROM lineitem) m WHERE n > 0")
+@query("common_ops_of_plans", "SELECT 'qty' AS \"column\", 'impute_numeric' AS op_type, count(*) AS uses FROM (" + union_sql(
+    f"SELECT count(*) FILTER (l_orderkey % {rest} = 0) * 1.0 / count(*) AS missing FROM lineitem" for rest in (5, 7)) + ") t WHERE missing > 0 AND missing <= 0.5 HAVING count(*) > 0")
 def common_ops_of_plans(spark, d):
     """Plans of two deliveries of lineitem, stored and counted."""
     li = table(spark, d, "lineitem")

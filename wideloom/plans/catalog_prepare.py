@@ -174,7 +174,14 @@ def corr_filter(spark, d):
     return selection.select_features(df, "gross", methods=["correlation"]).frame().where("NOT kept").select("feature")
 
 
-@query("corr_filter_no_target", "SELECT 'l_extendedprice' AS feature WHERE 1 = 0 UNION ALL SELECT 'net' FROM lineitem HAVING count(*) > 0")
+def _flagged_sql(names, source: str) -> str:
+    """Later columns of pairs above the limit, the first half of them in column order."""
+    pairs = union_sql(f"SELECT {j} AS place, '{b}' AS feature, corr({a}, {b}) AS r FROM v" for j, b in enumerate(names) for a in names[:j])
+    return (f"WITH v AS ({source}), f AS (SELECT DISTINCT place, feature FROM ({pairs}) p WHERE abs(r) > 0.95) "
+            "SELECT feature FROM (SELECT feature, row_number() OVER (ORDER BY place) AS k, count(*) OVER () AS n FROM f) t WHERE k <= n // 2")
+
+
+@query("corr_filter_no_target", _flagged_sql(("l_extendedprice", "net", "gross", "l_tax"), RELATED.sql))
 def corr_filter_no_target(spark, d):
     df = RELATED.frame(spark, d).select("l_extendedprice", "net", "gross", "l_tax")
     return selection.select_features(df, methods=["correlation"]).frame().where("NOT kept").select("feature")
@@ -226,19 +233,30 @@ def select_all_methods(spark, d):
     return rounded(selection.select_features(SELECTABLE.frame(spark, d), "y").frame(), 3, "score")
 
 
-@query("selection_summary", "SELECT CAST(5 AS BIGINT) AS features_before, CAST(3 AS BIGINT) AS features_after, CAST(2 AS BIGINT) AS removed, "
-       "40.0 AS reduction_pct, CAST(1 AS BIGINT) AS n_methods FROM lineitem HAVING var_pop(l_tax) <= 0.01 AND var_pop(l_discount) <= 0.01")
+_SELECTED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")
+_SUMMARY = f"""WITH v AS ({SELECTABLE.sql}), s AS (SELECT CAST({len(_SELECTED)} AS BIGINT) AS features_before, CAST(count(*) FILTER (x <= 0.01) AS BIGINT) AS removed
+ FROM ({union_sql(f"SELECT var_pop({c}) AS x FROM v" for c in _SELECTED)}) t),
+r AS (SELECT features_before, features_before - removed AS features_after, removed, removed * 100.0 / features_before AS reduction_pct,
+ CAST(CASE WHEN removed > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_methods FROM s)"""
+
+
+def _low_variance(spark, d):
+    return selection.select_features(SELECTABLE.frame(spark, d).select(*_SELECTED, "y"), "y", methods=["variance"])
+
+
+@query("selection_summary", f"{_SUMMARY} SELECT * FROM r")
 def selection_summary(spark, d):
-    df = SELECTABLE.frame(spark, d).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "y")
-    return selection.selection_summary(selection.select_features(df, "y", methods=["variance"])).drop("methods")
+    return selection.selection_summary(_low_variance(spark, d)).drop("methods")
 
 
-@query("selection_advice", "SELECT 'suggestion' AS kind, 'single_method' AS code, 1.0 AS value FROM lineitem HAVING var_pop(l_tax) <= 0.01 "
-       "UNION ALL SELECT 'suggestion', 'few_features', 3.0 FROM lineitem HAVING var_pop(l_discount) <= 0.01")
+@query("selection_advice", f"""{_SUMMARY} SELECT kind, code, value FROM (
+ SELECT 'warning' AS kind, 'very_large_reduction' AS code, reduction_pct AS value, reduction_pct > 70 AS fires FROM r
+ UNION ALL SELECT 'suggestion', 'large_reduction', reduction_pct, reduction_pct > 60 FROM r
+ UNION ALL SELECT 'suggestion', 'single_method', n_methods, n_methods = 1 FROM r
+ UNION ALL SELECT 'suggestion', 'few_features', features_after, features_after < 5 FROM r
+ UNION ALL SELECT 'review', 'needs_review', 1.0, reduction_pct > 50 FROM r) t WHERE fires""")
 def selection_advice(spark, d):
-    df = SELECTABLE.frame(spark, d).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "y")
-    result = selection.select_features(df, "y", methods=["variance"])
-    return selection.selection_advice(selection.selection_summary(result)).drop("ordinal")
+    return selection.selection_advice(selection.selection_summary(_low_variance(spark, d))).drop("ordinal")
 
 
 # Encoding --------------------------------------------------------------------------------------
@@ -362,12 +380,40 @@ def feat_row_agg(spark, d):
     return rounded(_features(DIRTY.frame(spark, d), *ops).select("l_orderkey", "l_linenumber", *names), 6, *names)
 
 
-@query("feature_plan", "SELECT CAST(ordinal AS INTEGER) AS ordinal, op_type, name FROM (VALUES "
-       "(0, 'ratio', 'p_partkey_to_p_size_ratio'), (1, 'ratio', 'p_partkey_to_p_retailprice_ratio'), (2, 'ratio', 'p_size_to_p_retailprice_ratio'), "
-       "(3, 'binning', 'p_partkey_binned'), (4, 'binning', 'p_size_binned')) t(ordinal, op_type, name), (SELECT count(*) AS n FROM part) c WHERE n > 0")
+# A column that is skewed and one that is not, a text with many values and one with two.
+_PLANNED = """SELECT p_size, p_retailprice, CASE WHEN p_partkey % 40 = 0 THEN p_retailprice * 100 ELSE p_retailprice END AS peaked,
+ p_brand, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS kind FROM part"""
+_NUMBERS, _TEXTS = ("p_size", "p_retailprice", "peaked"), ("p_brand", "kind")
+
+
+def _plan_sql() -> str:
+    """The operations of an unlimited plan: which logs and frequencies it has follows from the rows."""
+    fixed = [("ratio", f"{a}_to_{b}_ratio") for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1:]] + [("binning", f"{c}_binned") for c in _NUMBERS]
+    parts = [f"SELECT {i} AS place, '{kind}' AS op_type, '{name}' AS name, 1 AS adds" for i, (kind, name) in enumerate(fixed)]
+    parts += [f"SELECT {20 + i}, 'log_transform', '{c}_log', 1 FROM v HAVING min({c}) > 0 AND abs(skewness({c})) > 1" for i, c in enumerate(_NUMBERS)]
+    parts += ["SELECT 30, 'polynomial', 'polynomial_features', 3"]
+    parts += [f"SELECT {40 + i}, 'frequency_encoding', '{c}_frequency', 1 FROM v HAVING count(DISTINCT {c}) > 2" for i, c in enumerate(_TEXTS)]
+    parts += [f"SELECT {50 + i}, 'aggregation', 'numeric_{how}', 1" for i, how in enumerate(("sum", "mean"))]
+    return f"WITH v AS ({_PLANNED}), p AS ({union_sql(parts)})"
+
+
+def _planned(spark, d, **limits):
+    df = spark.sql(_PLANNED.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    return df, features.plan_features(df, **({"max_new_ratio": None} | limits))
+
+
+@query("feature_plan", f"{_plan_sql()} SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS ordinal, op_type, name FROM p")
 def feature_plan(spark, d):
-    df = table(spark, d, "part")
-    return features.feature_log(df, features.plan_features(df)).select("ordinal", "op_type", "name")
+    df, ops = _planned(spark, d)
+    return features.feature_log(df, ops).select("ordinal", "op_type", "name")
+
+
+@query("feature_plan_left_out", f"{_plan_sql()} SELECT op_type, name FROM (SELECT *, row_number() OVER (ORDER BY place) AS k FROM p) t WHERE k > 5")
+def feature_plan_left_out(spark, d):
+    """What the limit of the width cuts from the plan."""
+    left_out: list[FeatureOp] = []
+    df, _ = _planned(spark, d, max_new_ratio=0.5, left_out=left_out)
+    return features.feature_log(df, left_out).select("op_type", "name")
 
 
 @query("feature_plan_wide")
@@ -376,11 +422,9 @@ def feature_plan_wide(spark, d):
     return features.feature_log(df, features.plan_features(df, max_new_ratio=5.0)).select("ordinal", "op_type", "name")
 
 
-@query("skip_feature_ops", "SELECT op_type, name FROM (VALUES ('ratio', 'p_partkey_to_p_size_ratio'), ('ratio', 'p_size_to_p_retailprice_ratio')) t(op_type, name), "
-       "(SELECT count(*) AS n FROM part) c WHERE n > 0")
+@query("skip_feature_ops", f"{_plan_sql()} SELECT op_type, name FROM p WHERE op_type <> 'binning' AND name <> 'p_size_to_peaked_ratio'")
 def skip_feature_ops(spark, d):
-    df = table(spark, d, "part")
-    ops = features.plan_features(df, skip=["ratio: p_partkey_to_p_retailprice_ratio"], skip_types=["binning"])
+    df, ops = _planned(spark, d, skip=["ratio: p_size_to_peaked_ratio"], skip_types=["binning"])
     return features.feature_log(df, ops).select("op_type", "name")
 
 
@@ -390,21 +434,31 @@ def feature_hook(spark, d):
     return rounded(out.select("p_partkey", "unit_price"), 6, "unit_price")
 
 
-@query("feature_summary", "SELECT CAST(6 AS BIGINT) AS columns_before, CAST(8 AS BIGINT) AS columns_after, CAST(2 AS BIGINT) AS features_added, "
-       "CAST(2 AS BIGINT) AS succeeded, CAST(1 AS BIGINT) AS failed, CAST(2 AS BIGINT) AS op_types FROM part HAVING count(*) > 0")
-def feature_summary(spark, d):
-    df = table(spark, d, "part")
-    out, done = features.apply_features(df, [FeatureOp("log_transform", "size_log", ("p_size",)), FeatureOp("log_transform", "bad", ("p_name",)),
-                                             FeatureOp("ratio", "r", ("p_size", "p_retailprice"))])
+_APPLIED = f"""{_plan_sql()}, s AS (SELECT CAST(5 AS BIGINT) AS columns_before, CAST(5 + sum(adds) AS BIGINT) AS columns_after, CAST(sum(adds) AS BIGINT) AS features_added,
+ count(*) AS succeeded, CAST(1 AS BIGINT) AS failed, count(DISTINCT op_type) AS op_types FROM p)"""
+
+
+def _applied(spark, d):
+    """The whole plan, and one operation that a text column cannot have."""
+    df, ops = _planned(spark, d)
+    out, done = features.apply_features(df, [*ops, FeatureOp("log_transform", "bad", ("p_brand",))])
     return features.feature_summary(df, out, done)
 
 
-@query("feature_advice", "SELECT 'suggestion' AS kind, 'failed_operations' AS code, 1.0 AS value FROM part HAVING count(*) > 0 "
-       "UNION ALL SELECT 'suggestion', 'little_variety', 1.0 FROM part HAVING count(*) > 0")
+@query("feature_summary", f"{_APPLIED} SELECT * FROM s")
+def feature_summary(spark, d):
+    return _applied(spark, d)
+
+
+@query("feature_advice", f"""{_APPLIED} SELECT kind, code, CAST(value AS DOUBLE) AS value FROM (
+ SELECT 'suggestion' AS kind, 'failed_operations' AS code, failed AS value, failed > 0 AS fires FROM s
+ UNION ALL SELECT 'suggestion', 'many_features', features_added, features_added > 20 FROM s
+ UNION ALL SELECT 'suggestion', 'no_features', features_added, features_added = 0 FROM s
+ UNION ALL SELECT 'suggestion', 'little_variety', op_types, op_types < 3 FROM s
+ UNION ALL SELECT 'review', 'needs_review', features_added, features_added > 10 FROM s
+ UNION ALL SELECT 'warning', 'wide_growth', features_added, features_added > columns_before * 0.3 FROM s) t WHERE fires""")
 def feature_advice(spark, d):
-    df = table(spark, d, "part")
-    out, done = features.apply_features(df, [FeatureOp("log_transform", "size_log", ("p_size",)), FeatureOp("log_transform", "bad", ("p_name",))])
-    return features.feature_advice(features.feature_summary(df, out, done)).drop("ordinal")
+    return features.feature_advice(_applied(spark, d)).drop("ordinal")
 
 
 @query("zscore", "SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice_z FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) t")

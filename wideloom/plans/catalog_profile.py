@@ -155,9 +155,9 @@ def memory_estimate(spark, d):
     return rounded(profile.memory_estimate(table(spark, d, "customer")), 6, "memory_mb")
 
 
-@query("dtype_counts", union_sql(
-    f"SELECT '{f}' AS family, CAST({n} AS BIGINT) AS n_columns, count(*) AS n_rows FROM lineitem"
-    for f, n in (("numeric", 8), ("categorical", 2), ("datetime", 1))))
+@query("dtype_counts", """SELECT CASE WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'numeric'
+  WHEN column_type = 'VARCHAR' THEN 'categorical' WHEN column_type = 'DATE' OR column_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE column_type END AS family,
+  count(*) AS n_columns, (SELECT count(*) FROM lineitem) AS n_rows FROM (DESCRIBE SELECT * FROM lineitem) GROUP BY family""")
 def dtype_counts(spark, d):
     return profile.dtype_counts(table(spark, d, "lineitem"))
 
