@@ -5,13 +5,14 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from wideloom.operators import quantiles
 from wideloom.operators.quantiles import exact_quantiles, iqr_fences
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
 def narrow(df, names, probs=PROBS, **kw):
-    return exact_quantiles(df, names, probs, small_table=0, bucket_rows=kw.pop("bucket_rows", 5), bins=kw.pop("bins", 4), **kw)
+    return exact_quantiles(df, names, probs, bucket_rows=kw.pop("bucket_rows", 5), bins=kw.pop("bins", 4), **kw)
 
 
 def frame(spark, values):
@@ -29,6 +30,20 @@ def test_rounds_agree_with_numpy(spark, values):
     assert got == pytest.approx(list(want), rel=1e-12)
 
 
+@pytest.mark.parametrize("shape", ["spread", "tied", "steep", "infinite", "uniform"])
+def test_two_scans_agree_with_numpy(spark, monkeypatch, shape):
+    """Steps of an octave are enough; no histogram round is needed."""
+    rng = np.random.default_rng(len(shape))
+    x = {"spread": rng.normal(size=3000), "tied": rng.integers(0, 5, 3000).astype(float), "steep": np.exp(rng.normal(size=3000) * 9),
+         "uniform": rng.random(3000) * 1e5 - 3e4, "infinite": np.concatenate([np.full(400, -math.inf), rng.normal(size=2000), np.full(600, math.inf)])}[shape]
+    monkeypatch.setattr(quantiles, "_histogram", None)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": -x[::-1]})).repartition(7)
+    got = exact_quantiles(df, ["x", "y"], PROBS, bucket_rows=400)
+    for name, v in (("x", np.sort(x)), ("y", np.sort(-x))):
+        places = [(2999 * p, v[math.floor(2999 * p)], v[math.ceil(2999 * p)]) for p in PROBS]
+        assert got[name] == pytest.approx([a if a == b else a + (b - a) * (at - math.floor(at)) for at, a, b in places], rel=1e-12)
+
+
 def test_infinities_sort_to_the_ends(spark):
     got = narrow(frame(spark, [math.inf, -math.inf, *range(9)]), ["x"], [0.0, 0.5, 1.0])["x"]
     assert got == [-math.inf, 4.0, math.inf]
@@ -40,8 +55,8 @@ def test_nan_is_missing(spark):
 
 def test_several_columns_and_all_null(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": range(60), "b c": [v % 3 for v in range(60)]})).selectExpr("*", "cast(null as double) AS `n.x`")
-    for small in (0, 10 ** 6):
-        got = exact_quantiles(df, ["a", "b c", "n.x"], [0.25, 0.5], small_table=small, bucket_rows=4, bins=5)
+    for rows in (4, 10 ** 6):
+        got = exact_quantiles(df, ["a", "b c", "n.x"], [0.25, 0.5], bucket_rows=rows, bins=5)
         assert got == {"a": [14.75, 29.5], "b c": [0.0, 1.0], "n.x": [None, None]}
 
 

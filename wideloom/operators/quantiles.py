@@ -1,9 +1,10 @@
 """Exact quantiles of many columns without gathering a column in one task.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer.  That is
-used only for tables whose row count is known to be small.  Above that, histogram rounds
-narrow each wanted rank down to a bucket that is small enough (or holds a single value),
-and only the rows of those buckets are shuffled and sorted.
+Two scans do for most tables.  The first counts the values by the logarithm of their size, in steps of a
+256th of an octave: a mergeable sketch of a few thousand counts per column that needs no bounds beforehand
+and tells which step every wanted rank lies in, and how many rows lie before it.  The second gathers the
+values of these steps only, equal ones as one row.  Steps with too many rows are cut by histogram rounds
+first, until they are small or hold a single value.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wideloom.functions.columns import melt, number
 
-SMALL_TABLE = 200_000
 BUCKET_ROWS = 2_000_000
 BINS = 512
+STEPS = 256              # of an octave
+LOWEST = 1100 * STEPS    # below the step of the smallest double
 FILTER_SPANS = 64
 
 
@@ -41,7 +43,6 @@ def exact_quantiles(
     names: Sequence[str],
     probs: Sequence[float],
     *,
-    small_table: int = SMALL_TABLE,
     bucket_rows: int = BUCKET_ROWS,
     bins: int = BINS,
 ) -> dict[str, list[float | None]]:
@@ -50,57 +51,57 @@ def exact_quantiles(
     if not names:
         return {}
     values = [number(df, n) for n in names]
-    long = melt(df, [[v] for v in values], ["x"]).where("x IS NOT NULL")
-    finite = F.when(F.abs("x") < math.inf, F.col("x"))
-    stats = {
-        r["ci"]: r
-        for r in long.groupBy("ci")
-        .agg(F.count("x").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
-        .collect()
-    }
     out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    if not stats:
-        return out
-    if max(r["n"] for r in stats.values()) <= small_table:
-        rows = long.groupBy("ci").agg(F.percentile("x", F.array(*map(F.lit, probs))).alias("q")).collect()
-        for r in rows:
-            out[names[r["ci"]]] = list(r["q"])
-        return out
-
-    wanted = {ci: _ranks(r["n"], probs) for ci, r in stats.items()}
+    sizes, first = _steps(df, values, probs)
     found: dict[tuple[int, int], float] = {}
-    active = {
-        ci: [_Span(r["lo"] if r["lo"] is not None else 0.0, r["hi"] if r["hi"] is not None else 0.0,
-                   0, r["n"], set(wanted[ci]))]
-        for ci, r in stats.items()
-    }
+    active: dict[int, list[_Span]] = {}
     settled: dict[int, list[_Span]] = {}
-    outermost = True
+
+    def place(ci: int, piece: _Span, more: dict[int, list[_Span]]) -> None:
+        if piece.low == piece.high:
+            found.update({(ci, k): piece.low for k in piece.ranks})
+        else:
+            (settled if piece.rows <= bucket_rows else more).setdefault(ci, []).append(piece)
+    for ci, pieces in first.items():
+        for piece in pieces:
+            place(ci, piece, active)
     while active:
-        counts = _histogram(df, values, active, bins, outermost)
+        counts = _histogram(df, values, active, bins)
         nxt: dict[int, list[_Span]] = {}
         for ci, spans in active.items():
             for index, span in enumerate(spans):
                 for piece in _narrow(span, counts.get((ci, index), []), bool(span.log_scale)):
-                    if piece.low == piece.high:
-                        found.update({(ci, k): piece.low for k in piece.ranks})
-                    elif piece.rows <= bucket_rows:
-                        settled.setdefault(ci, []).append(piece)
-                    else:
-                        nxt.setdefault(ci, []).append(piece)
-        active, outermost = nxt, False
+                    place(ci, piece, nxt)
+        active = nxt
     if settled:
         found.update(_values_at(df, values, settled))
-    for ci, r in stats.items():
+    for ci, n in sizes.items():
         for j, p in enumerate(probs):
-            position = (r["n"] - 1) * p
+            position = (n - 1) * p
             low, high = found[(ci, math.floor(position))], found[(ci, math.ceil(position))]
             out[names[ci]][j] = low if low == high else low + (high - low) * (position - math.floor(position))
     return out
 
 
-def _ranks(n: int, probs: Sequence[float]) -> set[int]:
-    return {f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)}
+def _steps(df: DataFrame, values: Sequence[Column], probs: Sequence[float]) -> tuple[dict[int, int], dict[int, list[_Span]]]:
+    """Rows per column, and the steps that hold a wanted rank.  Steps are contiguous as the logarithm is monotonic."""
+    x, size = F.col("x"), F.abs("x")
+    step = F.when(size == 0, 0).when(size == math.inf, 2 ** 30).otherwise(F.floor(F.log2(size) * STEPS) + LOWEST)
+    long = melt(df, [[v] for v in values], ["x"]).where("x IS NOT NULL")
+    steps = long.groupBy("ci", F.when(x < 0, -step).otherwise(step).cast("int").alias("step")).agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    column = W.partitionBy("ci")   # one row per step
+    before = F.coalesce(F.sum("n").over(column.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = [f((F.col("total") - 1) * F.lit(float(p))).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
+    held = (
+        steps.withColumns({"total": F.sum("n").over(column), "before": before})
+        .withColumn("ranks", F.filter(F.array_distinct(F.array(*place)), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))))
+        .where(F.size("ranks") > 0).collect()
+    )
+    spans: dict[int, list[_Span]] = {}
+    for r in sorted(held, key=lambda r: (r["ci"], r["before"])):
+        spans.setdefault(r["ci"], []).append(_Span(r["lo"], r["hi"], r["before"], r["n"], set(r["ranks"])))
+    return {r["ci"]: r["total"] for r in held}, spans
 
 
 def _slots(spans: Sequence[_Span], width: int) -> list[Column]:
@@ -112,19 +113,17 @@ def _slots(spans: Sequence[_Span], width: int) -> list[Column]:
     return cells
 
 
-def _spans_long(df: DataFrame, values: Sequence[Column], spans: dict[int, list[_Span]], everything: bool = False) -> DataFrame:
+def _spans_long(df: DataFrame, values: Sequence[Column], spans: dict[int, list[_Span]]) -> DataFrame:
     """Rows ``(ci, x, iv, lo, hi, log)`` of the values that lie in one of their column's spans.
 
     The bounds travel as constants next to each value, so the code that picks a span is
     compiled once and not once per column.
     """
     width = max(len(s) for s in spans.values())
-    if not everything and sum(len(s) for s in spans.values()) <= FILTER_SPANS:
+    if sum(len(s) for s in spans.values()) <= FILTER_SPANS:
         df = df.where(reduce(or_, [values[ci].between(s.low, s.high) for ci, ss in spans.items() for s in ss]))
     names = [f"{part}{i}" for i in range(width) for part in ("lo", "hi", "log")]
     long = melt(df, [[values[ci], *_slots(s, width)] for ci, s in spans.items()], ["x", *names]).where("x IS NOT NULL")
-    if everything:
-        return long.select("ci", "x", F.lit(0).alias("iv"), F.col("lo0").alias("lo"), F.col("hi0").alias("hi"), F.col("log0").alias("log"))
     pick = lambda part: _first_match(width, [F.col(f"{part}{i}") for i in range(width)])
     return long.select(
         "ci", "x", _first_match(width, [F.lit(i) for i in range(width)]).alias("iv"),
@@ -139,8 +138,8 @@ def _first_match(width: int, results: Sequence[Column]) -> Column:
     return found
 
 
-def _histogram(df, values, active, bins, outermost):
-    """Row count, minimum and maximum per span and bin; infinities land in bins -1 and ``bins``."""
+def _histogram(df, values, active, bins):
+    """Row count, minimum and maximum per span and bin."""
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
     scale = lambda v: F.when(F.col("log"), F.signum(v) * F.log1p(F.abs(v))).otherwise(v)
     if any(s.log_scale for spans in active.values() for s in spans):
@@ -149,9 +148,9 @@ def _histogram(df, values, active, bins, outermost):
         share = (x - lo) / (hi - lo)
     # An overflowing range gives NaN or 0 shares; its two ends still fall into different bins.
     step = F.when(x >= hi, bins - 1).otherwise(F.least(F.greatest(F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * bins), F.lit(0)), F.lit(bins - 1)))
-    b = F.when(x < lo, -1).when(x > hi, bins).when(lo >= hi, 0).otherwise(step).cast("int")
+    b = F.when(lo >= hi, 0).otherwise(step).cast("int")
     rows = (
-        _spans_long(df, values, active, outermost)
+        _spans_long(df, values, active)
         .groupBy("ci", "iv", b.alias("b"))
         .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .collect()
