@@ -184,6 +184,21 @@ def test_cleaning_invariants(edge, spark):
     assert again.data.exceptAll(done.data).count() == 0
 
 
+def test_facts_spare_the_fits_and_change_nothing(edge, spark, monkeypatch):
+    df = edge.drop("list")
+    facts = profile.table_facts(df)
+    plan = [o for o in cleaning.plan_cleaning(df, facts=facts) if o.op_type != "remove_duplicates"]
+    assert "impute_numeric" in {o.op_type for o in plan}
+    plain = cleaning.apply_cleaning(df, plan)
+    spared = cleaning.apply_cleaning(df, plan, facts=facts)
+    assert spared.applied == plain.applied and spared.nulls_filled == plain.nulls_filled
+    assert spared.data.exceptAll(plain.data).count() == 0
+    scans = []
+    monkeypatch.setattr(cleaning, "exact_quantiles", lambda df, names, probs: scans.append(list(names)) or {})
+    cleaning.apply_cleaning(df, [o for o in plan if o.op_type == "impute_numeric"], facts=facts)
+    assert scans == [[]]
+
+
 def test_imputation_comes_before_copies(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "a"), (1.0, None)], "x double, t string")
     ops = [CleaningOp("impute_numeric", "x", {"strategy": "median"}), CleaningOp("impute_categorical", "t"), CleaningOp("remove_duplicates", "all")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import groupby
 
@@ -12,7 +12,7 @@ from wideloom.functions.columns import between_or_null, col, families, known, me
 from wideloom.functions.numbers import strip_symbols, to_number
 from wideloom.functions.rules import Rule, fired
 from wideloom.operators.counts import modes
-from wideloom.operators.profile import TableFacts, table_facts
+from wideloom.operators.profile import ColumnFacts, TableFacts, table_facts
 from wideloom.operators.quantiles import exact_quantiles, iqr_fences
 from wideloom.session import cut
 
@@ -108,9 +108,13 @@ def apply_cleaning(
     *,
     strip: bool = False,
     keep: Sequence[str] = (),
+    facts: TableFacts | None = None,
 ) -> Cleaned:
     """Apply the plan in order.
 
+    ``facts`` of this very table spare the scans for its medians, quartiles and null counts; columns that a step
+    has changed, and all after copies are removed, are fitted anew.
+
     Runs of equal operations share one fit and one ``select``.  Fitted values are written into
     the returned ``applied`` plan, so replaying that plan on another table (a test split, the
     next delivery) reuses them instead of fitting again.  Rows after de-duplication are
@@ -121,32 +125,35 @@ def apply_cleaning(
     failed: list[CleaningOp] = []
     filled = 0
     runs = [(kind, list(run)) for kind, run in groupby(ops, key=lambda o: o.op_type)]
+    column_facts = dict(facts.columns) if facts else {}
     for position, (kind, run) in enumerate(runs):
         done: list[CleaningOp] = []
         if kind == "remove_column":
             done = [o for o in run if o.column in df.columns]
             df = df.drop(*[o.column for o in done])
         elif kind == "remove_duplicates":
-            df, done = _distinct_rows(df, keep), run
+            df, done, column_facts = _distinct_rows(df, keep), run, {}
             refit = any(o.op_type.startswith(("handle", "impute")) and not {"low", "value"} & set(o.params)
                         for _, later in runs[position + 1:] for o in later)
             df = cut(df) if refit else df
         elif kind == "impute_numeric":
-            done = _fit_numeric(df, run)
-            filled += _nulls(df, done)
+            done = _fit_numeric(df, run, column_facts)
+            filled += _nulls(df, done, column_facts)
             fills = {o.column: F.coalesce(number(df, o.column), F.lit(float(o.params["value"]))) for o in done}
             df = _with(df, fills)
         elif kind == "impute_categorical":
             done = _fit_modes(df, run)
-            filled += _nulls(df, done)
+            filled += _nulls(df, done, column_facts)
             df = _with(df, {o.column: F.coalesce(col(o.column), F.lit(o.params["value"])) for o in done})
         elif kind == "handle_outliers":
-            done = _fit_fences(df, run)
+            done = _fit_fences(df, run, column_facts)
             df = _with(df, {o.column: between_or_null(number(df, o.column), float(o.params["low"]), float(o.params["high"]))
                             for o in done})
         elif kind == "convert_type":
             done = [o for o in run if o.column in families(df).categorical]
             df = _with(df, {o.column: to_number(strip_symbols(col(o.column)) if strip else col(o.column)) for o in done})
+        for o in done:
+            column_facts.pop(o.column, None)
         applied += done
         worked = {o.column for o in done}
         failed += [o for o in run if o.column not in worked and o.column in df.columns]
@@ -168,17 +175,22 @@ def _with(df: DataFrame, changes: dict) -> DataFrame:
     return df.select(*[changes[c].alias(c) if c in changes else col(c) for c in df.columns])
 
 
-def _nulls(df: DataFrame, ops: Sequence[CleaningOp]) -> int:
-    if not ops:
-        return 0
-    one = [F.count("*") - F.count(number(df, o.column) if o.op_type == "impute_numeric" else col(o.column)) for o in ops]
-    return df.agg(sum(one, F.lit(0)).alias("n")).head()[0]
+def _nulls(df: DataFrame, ops: Sequence[CleaningOp], column_facts: Mapping[str, ColumnFacts]) -> int:
+    counted = sum(column_facts[o.column].nulls for o in ops if o.column in column_facts)
+    one = [F.count("*") - F.count(number(df, o.column) if o.op_type == "impute_numeric" else col(o.column)) for o in ops if o.column not in column_facts]
+    return counted + (df.agg(sum(one, F.lit(0)).alias("n")).head()[0] if one else 0)
+
+
+def _quantiles(df: DataFrame, names: Sequence[str], stats: Mapping[str, float], column_facts: Mapping[str, ColumnFacts]) -> dict[str, list]:
+    """Quantiles by column; ``stats`` names those that the facts may already hold."""
+    held = {c: [column_facts[c].stats.get(s) for s in stats] for c in names if c in column_facts and column_facts[c].stats}
+    return held | exact_quantiles(df, [c for c in names if c not in held], list(stats.values()))
 
 
-def _fit_numeric(df: DataFrame, run: Sequence[CleaningOp]) -> list[CleaningOp]:
+def _fit_numeric(df: DataFrame, run: Sequence[CleaningOp], column_facts: Mapping[str, ColumnFacts]) -> list[CleaningOp]:
     usable = [o for o in run if o.column in families(df).numeric]
     open_ops = [o for o in usable if "value" not in o.params]
-    medians = exact_quantiles(df, [o.column for o in open_ops if o.params.get("strategy", "median") == "median"], [0.5])
+    medians = _quantiles(df, [o.column for o in open_ops if o.params.get("strategy", "median") == "median"], {"median": 0.5}, column_facts)
     means = [o.column for o in open_ops if o.params.get("strategy") == "mean"]
     mean_row = df.agg(*[F.avg(number(df, c)).alias(str(i)) for i, c in enumerate(means)]).head() if means else []
     values = {c: v[0] for c, v in medians.items()} | dict(zip(means, mean_row))
@@ -203,9 +215,9 @@ def _fit_modes(df: DataFrame, run: Sequence[CleaningOp]) -> list[CleaningOp]:
     return out
 
 
-def _fit_fences(df: DataFrame, run: Sequence[CleaningOp]) -> list[CleaningOp]:
+def _fit_fences(df: DataFrame, run: Sequence[CleaningOp], column_facts: Mapping[str, ColumnFacts]) -> list[CleaningOp]:
     usable = [o for o in run if o.column in families(df).numeric and o.params.get("method", "clip") == "clip"]
-    quartiles = exact_quantiles(df, [o.column for o in usable if "low" not in o.params], [0.25, 0.75])
+    quartiles = _quantiles(df, [o.column for o in usable if "low" not in o.params], {"q25": 0.25, "q75": 0.75}, column_facts)
     out = []
     for o in usable:
         low, high = (o.params["low"], o.params["high"]) if "low" in o.params else iqr_fences(quartiles[o.column])

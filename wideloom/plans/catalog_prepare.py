@@ -102,7 +102,8 @@ SELECT l_orderkey, l_linenumber, qty, round(least(greatest(disc, a - 1.5 * (b -
 """)
 def clean_by_plan(spark, d):
     df = DIRTY.frame(spark, d)
-    return rounded(_clean(df, *cleaning.plan_cleaning(df)), 6, "disc")
+    facts = profile.table_facts(df)
+    return rounded(_clean(df, *cleaning.plan_cleaning(df, facts=facts), facts=facts), 6, "disc")
 
 
 @query("cleaning_summary", f"""

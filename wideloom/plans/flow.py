@@ -124,7 +124,7 @@ def _run_stages(df: DataFrame, target: str, keys: Sequence[str], p: Params, sess
     done("profiling")
 
     ops = cleaning.skip_types(cleaning.plan_cleaning(train.drop(row_key), target, facts), p.skip_cleaning)
-    cleaned = cleaning.apply_cleaning(train, ops, p.transforms, keep=[row_key])
+    cleaned = cleaning.apply_cleaning(train, ops, p.transforms, keep=[row_key], facts=facts)
     train = cut(cleaned.data)
     if test is not None:
         replay = [o for o in cleaned.applied if o.op_type != "remove_duplicates"]
