@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wideloom.operators import forest, models, split
+from wideloom.operators import forest, models, split, tuning
 
 
 def plain(x, y, w, classes, spec, seed, depth=0):
@@ -127,3 +127,17 @@ def test_split_keeps_keys_apart(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(1500), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": (x[:, 0] * x[:, 1] > 0).astype(int)}))
     data = models.prepare(*split.train_test(df, ["id"]), "y", ["id"], task="classification")
     assert models.train_models(data, ["forest"], trees=30)[0].metrics["accuracy"] > 0.9
+
+
+def test_grid_shares_fits_between_numbers_of_trees(spark, monkeypatch):
+    data, _, _ = table(spark, 600)
+    fits, fit = [], tuning.fit_forest
+    monkeypatch.setattr(tuning, "fit_forest", lambda d, **kw: fits.append(kw) or fit(d, **kw))
+    grid = {"trees": [2, 6], "max_depth": [None, 1], "min_split": [2, 40]}
+    best, board = tuning.grid_search("forest", data, grid, folds=2)
+    rows = board.collect()
+    assert len(rows) == 8 and len(fits) == 2 * 4 + 1 and all(0.3 < r["score"] <= 1 for r in rows)
+    assert rows[0]["score"] == max(r["score"] for r in rows) and best.spec.trees in (2, 6)
+    few, many = fit(data, trees=2), fit(data, trees=6)
+    assert models.score(many, data.test, trees=2).exceptAll(models.score(few, data.test)).count() == 0
+    assert len(tuning.configurations("forest")) == 27

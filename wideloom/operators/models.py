@@ -179,9 +179,9 @@ def shortlist(task: str, wanted: Sequence[str] | None = None, limit: int | None
     return list(wanted or (CLASSIFIERS if task == "classification" else REGRESSORS))[:limit]
 
 
-def score(model: Model, df: DataFrame) -> DataFrame:
+def score(model: Model | forest.ForestModel, df: DataFrame, **params) -> DataFrame:
     """``(row_key, label, prediction, score, probabilities)``; score is P(class 1) where the model has one."""
-    out = model.transform(df)
+    out = model.transform(df, **params)
     every = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
     if "probability" in out.columns:
         value = vector_to_array("probability")[1]

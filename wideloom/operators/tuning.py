@@ -12,12 +12,15 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, functions as F
 
-from wideloom.operators.models import FEATURES, KEY, LABEL, PREDICTION, PROBABILITIES, SCORE, Prepared, estimator, score, train_one
+from wideloom.operators.forest import ForestModel
+from wideloom.operators.models import (
+    FEATURES, KEY, LABEL, PREDICTION, PROBABILITIES, SCORE, TREES, Prepared, estimator, fit_forest, metrics_of, score, train_one,
+)
 
 MIN_ROWS = 500
 FOLDS = 5
 MIN_LIFT = 0.05
-# The configured grids, by MLlib parameter name.
+# The configured grids, by parameter name.
 GRIDS: dict[str, dict[str, list]] = {
     "forest": {"trees": [50, 100, 200], "max_depth": [None, 10, 20], "min_split": [2, 5, 10]},
     "gbt": {"maxIter": [50, 100, 200], "maxDepth": [3, 6, 10], "stepSize": [0.01, 0.1, 0.2]},
@@ -32,7 +35,7 @@ def configurations(name: str, grid: Mapping[str, Sequence] | None = None, limit:
 
 
 def grid_search(name: str, data: Prepared, grid: Mapping[str, Sequence] | None = None, *, folds: int = FOLDS,
-                parallelism: int = 4, min_rows: int = MIN_ROWS, limit: int | None = None) -> tuple[CrossValidatorModel | None, DataFrame]:
+                parallelism: int = 4, min_rows: int = MIN_ROWS, limit: int | None = None) -> tuple[CrossValidatorModel | ForestModel | None, DataFrame]:
     """Cross-validated scores per configuration; a table below ``min_rows`` is not tuned, which a row says."""
     spark = data.train.sparkSession
     schema = "model string, config string, score double"
@@ -42,6 +45,8 @@ def grid_search(name: str, data: Prepared, grid: Mapping[str, Sequence] | None =
         return None, spark.createDataFrame([(name, f"not tuned: {rows} rows, {min_rows} needed", None)], schema)
     if not configs:
         return None, spark.createDataFrame([], schema)
+    if name == "forest":
+        return _forest_grid(data, configs, folds)
     model = estimator(name, data.task, max(len(data.classes), 2), rows)
     maps = [{model.getParam(k): (v / rows if name == "logistic" and k == "regParam" else v) for k, v in c.items()} for c in configs]
     if data.task == "regression":
@@ -56,6 +61,33 @@ def grid_search(name: str, data: Prepared, grid: Mapping[str, Sequence] | None =
     return fitted, spark.createDataFrame(found, schema).orderBy(F.desc("score"))
 
 
+def _forest_grid(data: Prepared, configs: Sequence[dict], folds: int) -> tuple[ForestModel, DataFrame]:
+    """Scores of forest configurations: those that differ by the number of trees share one fit per fold, the largest, and
+    are scored on its first trees.  A tree does not depend on how many there are, so each score is that of its own fit."""
+    metric = "r2" if data.task == "regression" else "roc_auc" if len(data.classes) == 2 else "f1"
+    train = data.train.withColumn("_fold", F.pmod(F.xxhash64(KEY), F.lit(folds))).persist()
+    groups: dict[tuple, list[dict]] = {}
+    for c in configs:
+        groups.setdefault(tuple(sorted((k, v) for k, v in c.items() if k != "trees")), []).append(c)
+    sums: dict[int, list[float]] = {i: [] for i in range(len(configs))}
+    try:
+        for same, members in groups.items():
+            for fold in range(folds):
+                held = Prepared(train.where(F.col("_fold") != fold).drop("_fold"), train.where(F.col("_fold") == fold).drop("_fold"),
+                                data.task, data.features, data.classes)
+                fitted = fit_forest(held, **dict(same), trees=max(c.get("trees", TREES) for c in members))
+                for c in members:
+                    found = metrics_of(score(fitted, held.test, trees=c.get("trees", TREES)), data.task, len(data.classes)).get(metric)
+                    if found is not None:
+                        sums[configs.index(c)].append(found)
+    finally:
+        train.unpersist()
+    rows = [("forest", ", ".join(f"{k}={v}" for k, v in c.items()), sum(v) / len(v) if (v := sums[i]) else None) for i, c in enumerate(configs)]
+    best = max(range(len(rows)), key=lambda i: (rows[i][2] is not None, rows[i][2] or 0.0, -i))
+    board = data.train.sparkSession.createDataFrame(rows, "model string, config string, score double")
+    return fit_forest(data, **configs[best]), board.orderBy(F.desc_nulls_last("score"))
+
+
 def vote(scored: Sequence[DataFrame], task: str = "classification") -> DataFrame:
     """Average of several models by row key: of the class probabilities (largest wins, the first on ties), or
     of the predictions for a regression.  Models without probabilities, like margins, are refused.
