@@ -144,32 +144,67 @@ def test_decontamination_is_native(spark):
 
 # Lines
 
-def test_lines_match_brute_force(spark):
+def _units(text, breaks):
+    out, at, norm = [], 0, lambda u: " ".join(re.findall(r"[^\W_]+", u.lower()))
+    for part in re.findall(f"(?s).*?(?:{breaks})|.+", text or ""):
+        if norm(part):
+            out.append((len(out), at, at + len(part), norm(part)))
+        at += len(part)
+    return out
+
+
+def _repeats(docs, breaks, min_run, min_docs=2, min_words=5, min_chars=20):
+    rows = [(d, *u) for d, t in sorted({x for x in docs if x[0] is not None}, key=lambda x: x[0]) for u in _units(t, breaks)]
+    if not min_run:
+        rows = [r for r in rows if len(r[4].split()) >= min_words or len(r[4]) >= min_chars]
+    places = {}
+    for r in rows:
+        places.setdefault(r[4], []).append(r[:2])
+    again = [r for r in rows if len(places[r[4]]) > 1 and (min_docs < 2 or len({d for d, _ in places[r[4]]}) > 1)]
+    held = {r[:2]: max(len(r[4].split()), len(r[4]) // 8) for r in again}
+    out = []
+    for r in again:
+        lo = hi = r[1]
+        while (r[0], lo - 1) in held:
+            lo -= 1
+        while (r[0], hi + 1) in held:
+            hi += 1
+        if not min_run or sum(held[r[0], i] for i in range(lo, hi + 1)) >= min_run:
+            first = places[r[4]][0]
+            out.append((*r[:4], first == r[:2], *first))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("breaks,min_run,min_docs", [(line_dedup.SENTENCES, 12, 2), (line_dedup.LINES, 0, 1), (line_dedup.PARAGRAPHS, 9, 1), (line_dedup.SENTENCES, 0, 2)])
+def test_passages_match_brute_force(spark, breaks, min_run, min_docs):
     rng = random.Random(2)
-    lines = ["Lorem ipsum dolor sit amet.", "lorem  IPSUM, dolor sit amet", "one two three four", "ä ö ü ß é", "😀 a b c d e"] + [f"own {i} a b c d" for i in range(30)]
-    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(6)))) for i in range(40)] + [(50, None), (51, ""), (52, "\n\n"), (None, lines[0])]
-    docs.append(docs[3])
-    norm = lambda u: " ".join(re.findall(r"[^\W_]+", u.lower()))
-    first, want = {}, set()
-    for d, t in sorted({x for x in docs if x[0] is not None}, key=lambda x: x[0]):
-        at = 0
-        for j, u in enumerate((t or "").split("\n")):
-            n = norm(u)
-            if len(n.split()) >= 5:
-                kept = first.setdefault(n, (d, j))
-                if kept != (d, j):
-                    want.add((d, j, at, at + len(u), *kept))
-            at += len(u) + 1
-    got = line_dedup.repeats(clashing(frame(spark, docs))).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-    cut = line_dedup.remove(frame(spark, docs[:40])).collect()
-    for r in cut:
-        gone = {w[1] for w in want if w[0] == r.doc_id}
-        assert r.text == "\n".join(u for j, u in enumerate(dict(docs[:40])[r.doc_id].split("\n")) if j not in gone)
+    lines = ["Lorem ipsum dolor sit amet. ", "lorem  IPSUM, dolor sit amet\n", "one two three four\n", "ä ö ü ß é!\n\n", "😀 a b c d e? ", "...\n", "3.5 is not. An end\n"]
+    lines += [f"own {i} a b c d.\r\n" for i in range(40)]
+    docs = [(i, "".join(rng.choice(lines) for _ in range(rng.randrange(9)))) for i in range(40)] + [(50, None), (51, ""), (52, "\n\n"), (None, lines[0])]
+    docs += [docs[3], docs[3], (60, "".join(lines * 20) + "only here it says so. " * 3), (61, "x" * 3000 + "\n" + "".join(lines[:3]))]
+    want = _repeats(docs, breaks, min_run, min_docs)
+    got = line_dedup.repeats(clashing(frame(spark, docs)), breaks, min_run, min_docs).collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 10
+    for r in line_dedup.remove(clashing(frame(spark, docs[:44])), breaks, min_run, min_docs).collect():
+        gone = [w for w in _repeats(docs[:44], breaks, min_run, min_docs) if w[0] == r.doc_id and not w[4]]
+        text = dict(docs[:44])[r.doc_id]
+        assert r.text == (text and "".join(ch for i, ch in enumerate(text) if not any(w[2] <= i < w[3] for w in gone)))
+        assert [tuple(x) for x in r.removed or []] == [w[1:4] for w in gone]
+
+
+def test_heavy_digests_change_nothing(spark, monkeypatch):
+    docs = [(i, f"same line of five words\nown {i} line of six words\n{'second same line. ' * (i % 3)}") for i in range(50)]
+    want = sorted(map(tuple, line_dedup.repeats(frame(spark, docs), min_run=5).collect()))
+    monkeypatch.setattr(line_dedup, "HOT_PARTS", 1)
+    assert sorted(map(tuple, line_dedup.repeats(frame(spark, docs), min_run=5).collect())) == want == _repeats(docs, line_dedup.SENTENCES, 5)
+
+
+def test_passages_of_an_empty_table(spark):
     assert line_dedup.repeats(frame(spark, [])).collect() == []
+    assert line_dedup.remove(frame(spark, [])).collect() == []
 
 
 def test_long_lines_without_blanks_count(spark):
     line = "这是一个没有空格的段落它很长但只算一个词所以从前总是留下"
-    got = line_dedup.repeats(frame(spark, [(1, f"{line}\n短行"), (2, f"短行\n{line}。")])).collect()
-    assert [tuple(r) for r in got] == [(2, 1, 3, 3 + len(line) + 1, 1, 0)]
+    got = line_dedup.repeats(frame(spark, [(1, f"{line}\n短行"), (2, f"短行\n{line}。")]), line_dedup.LINES, 0).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, len(line) + 1, True, 1, 0), (2, 1, 3, 3 + len(line) + 1, False, 1, 0)]

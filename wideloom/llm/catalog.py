@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wideloom.llm import conversations, conversations_sql, decontaminate, html_text, kneser_ney, language, line_dedup, ngram_join, packing, pii, quality, rules, token_align, token_counts
+from wideloom.llm import conversations, conversations_sql, decontaminate, html_text, kneser_ney, language, line_dedup, line_dedup_sql, ngram_join, packing, pii, quality, rules, token_align, token_counts
 from wideloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op11_conversation_repair": conversations_sql.REPAIR}
+ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup_sql.LINE_REPEATS, "op11_conversation_repair": conversations_sql.REPAIR}
 
 
 def query(fn):
@@ -89,7 +89,7 @@ def op5_quality_rules(spark, sf_dir):
 
 @query
 def op6_line_dedup(spark, sf_dir):
-    """Lines to remove from documents, with their original offsets and the occurrence that stays."""
+    """Passages that repeat in documents: every occurrence by unit, with original offsets and the one that stays."""
     return line_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
