@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wideloom.llm import catalog, decontaminate, ngram_join, packing, pii, quality
-from wideloom.llm.common import stored
+from wideloom.llm.common import free, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document in pieces of binary length, one per sequence."""
-    return packing.pack(docs, catalog.tokenizer_path())
+    """Token ids of every document in pieces of binary length, one per sequence; the encoder's memory ends with its task."""
+    return packing.pack(docs, catalog.tokenizer_path(), keep_units=False)
 
 
 STAGES = [
@@ -52,10 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each stored in the shared folder before the next."""
-    docs = catalog.read(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``, each stored in the shared folder before the next and freed after it."""
+    docs, last = catalog.read(spark, sf_dir, "documents"), len(STAGES) - 1
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if i < last:
             docs = stored(docs, "stage")
+            if i:
+                free(before)
     return docs

@@ -19,6 +19,8 @@ def test_stages_keep_the_columns(spark):
         docs, n = spark.createDataFrame(rows, out.schema), len(rows)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {p.doc_id for p in pieces} == {r.doc_id for r in docs.collect()}
+    key = lambda p: (p.doc_id, p.start, p.length, bytes(p.ids))
+    assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, pieces))
 
 
 def test_pipeline_of_an_empty_table(spark):

@@ -55,6 +55,8 @@ def test_packing_round_trip(spark):
         pieces = sorted(by[doc], key=lambda r: r.start)[::copies]
         assert b"".join(bytes(p.ids) for p in pieces) == np.array(ids, "<u4").tobytes()
         assert all(p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(bytes(p.ids)) for p in pieces)
+    assert sorted(packing.pack(frame(spark, docs), path, context=64, keep_units=False).drop("sequence_id").collect(), key=str) == \
+        sorted((r for r in packing.pack(frame(spark, docs), path, context=64).drop("sequence_id").collect()), key=str)
     assert packing.pack(frame(spark, []), path).collect() == []
     with pytest.raises(ValueError):
         packing.pack(frame(spark, []), path, context=100)

@@ -102,19 +102,26 @@ def lengths(n: int, context: int) -> Iterator[int]:
             yield 1 << level
 
 
-def pack(docs: DataFrame, tokenizer: str, *, context: int = CONTEXT, end_id: int | None = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, context: int = CONTEXT, end_id: int | None = END_ID, with_ids: bool = True,
+         keep_units: bool = True) -> DataFrame:
     """One row per piece: its place in the document, its bucket (a power of two), its sequence, and its ids.
 
     Runs inside the map tasks without a shuffle.  ``sequence_id`` carries the bucket in its upper bits, so
     the sequences of a bucket have neighbouring ids.  ``write_buckets`` lays the pieces out by bucket.
+    Workers remember units from task to task; without ``keep_units`` they start every task afresh and drop
+    them at its end, which leaves their memory to the other stages of a long session and costs CPU time.
     """
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    def cut(c):
+    def start():
+        mine = encoder(tokenizer) if keep_units else Encoder(tokenizer)
+        return lambda c: cut(mine, c)
+
+    def cut(mine, c):
         rows: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        for doc, raw in zip(c["doc_id"], encoder(tokenizer).encode(c["text"])):
+        for doc, raw in zip(c["doc_id"], mine.encode(c["text"])):
             raw += tail
             total, at = len(raw) // 4, 0
             for size in lengths(total, context):
@@ -128,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, *, context: int = CONTEXT, end_id: int
                 at += size
         kinds = [pa.int64()] * 5 + [pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
-    pieces = map_rows(texts(docs), cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary")
+    pieces = map_rows(texts(docs), start, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary", per_task=True)
     level = (F.length(F.bin("length")) - 1).cast("bigint")
     out = pieces.withColumn("sequence_id", level * F.lit(1 << 58) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     return out if with_ids else out.drop("ids")
