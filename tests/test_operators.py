@@ -338,6 +338,20 @@ def test_leakage_by_auc(spark):
     assert rows(scaling.leakage_risk(df, "y"), "column") == [("tell",)]
 
 
+@pytest.mark.parametrize("range_rows", [500_000, 7])
+def test_areas_of_many_columns(spark, monkeypatch, range_rows):
+    """Equal to one run per column, with groups that span several ranges, nulls, ties and a column without values."""
+    monkeypatch.setattr(evaluate, "running_totals_by", lambda *a: running.running_totals_by(*a, range_rows=range_rows))
+    df = spark.range(300).select((F.hash("id") % 2 == 0).cast("int").alias("y"), F.col("id").cast("double").alias("a"), (F.col("id") % 3).alias("b"),
+                                 F.when(F.col("id") % 5 > 0, -F.col("id") / 7).alias("c"), F.lit(4).alias("d"), F.lit(None).cast("double").alias("e"))
+    names = ["a", "b", "c", "d", "e"]
+    got = {r[0]: r[1] for r in evaluate.roc_auc_many(df, "y", names).collect()}
+    assert set(got) == set("abcd")
+    for n in "abcd":
+        assert got[n] == pytest.approx(brute_auc([(r[0], r[1]) for r in df.select("y", n).collect() if r[1] is not None]))
+    assert evaluate.roc_auc_many(df.limit(0), "y", names).collect() == []
+
+
 # Evaluation ------------------------------------------------------------------------------------
 
 def test_known_binary_and_regression_values(spark):

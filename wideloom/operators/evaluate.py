@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+from wideloom.functions.columns import label_of, melt, number
 from wideloom.functions.rules import Rule, fired
 from wideloom.operators.quantiles import exact_quantiles
-from wideloom.operators.running import running_totals, split_points
+from wideloom.operators.running import running_totals, running_totals_by, split_points
 
 
 
@@ -105,6 +106,19 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     return s.agg(F.try_divide(F.sum(F.col("pos") * below), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
+def roc_auc_many(df: DataFrame, label: str, names: Sequence[str]) -> DataFrame:
+    """``(column, roc_auc)`` of every column as a score of a 0/1 label; the table is read once, whatever their number.
+
+    A column has no area if its scored rows are of one class or none.
+    """
+    long = melt(df, [[number(df, n), number(df, label)] for n in names], ["score", "y"]).where("score IS NOT NULL AND y IS NOT NULL")
+    grouped = long.groupBy("ci", "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    s = running_totals_by(grouped, "ci", "score", ["neg"])
+    below = F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0
+    area = F.try_divide(F.sum(F.col("pos") * below), F.sum("pos").cast("double") * F.sum("neg"))
+    return s.groupBy("ci").agg(area.alias("roc_auc")).select(label_of(names, F.col("ci")).alias("column"), "roc_auc")
+
+
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """``(threshold, fpr, tpr)`` for every distinct score, highest first; starts after (0, 0)."""
     s = _sweep(df, label, score, descending=True)

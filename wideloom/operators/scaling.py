@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from wideloom.functions.columns import col, families, melt, number
+from wideloom.functions.columns import families, melt, number
 from wideloom.operators.relations import pairwise_r
 
 
@@ -28,18 +28,17 @@ def zscore(df: DataFrame, names: Sequence[str], suffix: str = "_z") -> DataFrame
 def leakage_risk(df: DataFrame, target: str, names: Sequence[str] | None = None, above: float = 0.99) -> DataFrame:
     """``(column, strength)`` of features that give the target away.
 
-    Strength is |r| with the target, and for a 0/1 target also the single-feature AUC, from one
+    Strength is |r| with the target, and for a 0/1 target also the single-feature AUC, all from one
     value-count pass and distributed ranks.
     """
-    from wideloom.operators.evaluate import roc_auc
+    from wideloom.operators.evaluate import roc_auc_many
 
     names = [n for n in (families(df).numeric if names is None else names) if n != target]
     found = pairwise_r(df, [(n, target) for n in names]).select(F.col("a").alias("column"), F.abs("r").alias("strength"))
     ends = df.agg(F.min(number(df, target)), F.max(number(df, target)), F.count_if(~number(df, target).isin(0.0, 1.0))).head()
     if ends[0] == 0 and ends[1] == 1 and ends[2] == 0:
-        for n in names:
-            area = roc_auc(df.select(col(target).alias("label"), number(df, n).alias("score")))
-            found = found.unionByName(area.select(F.lit(n).alias("column"), F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("strength")))
+        areas = roc_auc_many(df, target, names)
+        found = found.unionByName(areas.select("column", F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("strength")))
     return found.where(F.col("strength") > above).groupBy("column").agg(F.max("strength").alias("strength"))
 
 
