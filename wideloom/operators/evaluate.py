@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from wideloom.functions.columns import label_of, melt, number
 from wideloom.functions.rules import Rule, fired
 from wideloom.operators.quantiles import exact_quantiles
-from wideloom.operators.running import running_totals, running_totals_by, split_points
+from wideloom.operators.running import running_totals_by
+from wideloom.session import cut
 
 
 
@@ -84,24 +85,21 @@ def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "pre
         pick("weighted avg", "recall").alias("recall"), pick("weighted avg", "f1").alias("f1"))
 
 
-def _sweep(df: DataFrame, label: str, score: str, descending: bool) -> DataFrame:
-    """One row per distinct score with its positives and negatives and their running totals."""
+def _sweep(df: DataFrame, label: str, score: str, descending: bool) -> tuple[DataFrame, Column, Column]:
+    """One row per distinct score with its positives, negatives and running totals; and both class totals.
+
+    The input is read once; all the rest reads the stored counts by score.
+    """
     scored = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         F.col(score).cast("double").alias("score"), (F.col(label) == 1).cast("bigint").alias("y"))
-    points = split_points(scored, "score")
-    grouped = scored.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    return running_totals(grouped, "score", ["pos", "neg"], points, descending=descending)
-
-
-def _class_totals(df: DataFrame, label: str, score: str) -> tuple[Column, Column]:
-    """Positives and negatives among the scored rows, as scalar subqueries."""
-    scored = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return (scored.agg(F.count_if(F.col(label) == 1)).scalar(), scored.agg(F.count_if(F.col(label) != 1)).scalar())
+    grouped = cut(scored.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("_all", F.lit(0)))
+    p, n = (grouped.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in ("pos", "neg"))
+    return running_totals_by(grouped, "_all", "score", ["pos", "neg"], descending=descending), p, n
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve with average ranks for tied scores."""
-    s = _sweep(df, label, score, descending=False)
+    s, _, _ = _sweep(df, label, score, descending=False)
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0
     return s.agg(F.try_divide(F.sum(F.col("pos") * below), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
@@ -113,7 +111,7 @@ def roc_auc_many(df: DataFrame, label: str, names: Sequence[str]) -> DataFrame:
     """
     long = melt(df, [[number(df, n), number(df, label)] for n in names], ["score", "y"]).where("score IS NOT NULL AND y IS NOT NULL")
     grouped = long.groupBy("ci", "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    s = running_totals_by(grouped, "ci", "score", ["neg"])
+    s = running_totals_by(cut(grouped), "ci", "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0
     area = F.try_divide(F.sum(F.col("pos") * below), F.sum("pos").cast("double") * F.sum("neg"))
     return s.groupBy("ci").agg(area.alias("roc_auc")).select(label_of(names, F.col("ci")).alias("column"), "roc_auc")
@@ -121,16 +119,14 @@ def roc_auc_many(df: DataFrame, label: str, names: Sequence[str]) -> DataFrame:
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """``(threshold, fpr, tpr)`` for every distinct score, highest first; starts after (0, 0)."""
-    s = _sweep(df, label, score, descending=True)
-    p, n = _class_totals(df, label, score)
+    s, p, n = _sweep(df, label, score, descending=True)
     return s.select(
         F.col("score").alias("threshold"), _share(F.col("cum_neg"), n).alias("fpr"), _share(F.col("cum_pos"), p).alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """``(threshold, precision, recall)`` for every distinct score."""
-    s = _sweep(df, label, score, descending=True)
-    p, _ = _class_totals(df, label, score)
+    s, p, _ = _sweep(df, label, score, descending=True)
     return s.select(
         F.col("score").alias("threshold"), _share(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
         _share(F.col("cum_pos"), p).alias("recall"))
@@ -138,7 +134,7 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataF
 
 def curve_areas(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Trapezoid areas of both curves.  Each point knows its predecessor from its own counts."""
-    s = _sweep(df, label, score, descending=True)
+    s, _, _ = _sweep(df, label, score, descending=True)
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     tp0, fp0 = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
     roc = F.sum(F.col("neg").cast("double") * (tp0 + F.col("cum_pos")) / 2.0)
@@ -150,8 +146,7 @@ def curve_areas(df: DataFrame, label: str = "label", score: str = "score") -> Da
 
 def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """The thresholds with the best F1 and the best Youden index; the higher one on ties."""
-    s = _sweep(df, label, score, descending=True)
-    p, n = _class_totals(df, label, score)
+    s, p, n = _sweep(df, label, score, descending=True)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     points = s.select("score", _share(2 * tp, tp + fp + p).alias("f1"), (_share(tp, p) - _share(fp, n)).alias("youden"))
     best = lambda m: F.max(F.struct(F.round(m, 12).alias("v"), F.col("score").alias("t")))

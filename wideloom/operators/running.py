@@ -1,8 +1,9 @@
 """Running totals over a globally ordered column, spread over many tasks.
 
 A window without partition keys sorts the whole table in one task.  Here the ordered column
-is cut into value ranges; totals per range give each range its starting offset, and the
-window runs inside a range only.
+is cut into value ranges by a range partitioning of a stored table; totals per range give each
+range its starting offset, and the window runs inside a range only.  The number of ranges follows
+the rows without a limit, and no cut point becomes part of a plan.
 """
 
 from __future__ import annotations
@@ -10,99 +11,48 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wideloom.session import cut
 
 RANGE_ROWS = 500_000
-MAX_RANGES = 8192
 
 
-def split_points(df: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> list[float]:
-    """Ascending cut points giving ranges of about ``range_rows`` rows.
+def running_totals_by(df: DataFrame, by: str, order: str, sums: Sequence[str], *, descending: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``cum_<name>`` (inclusive) for each of ``sums`` inside every ``by``, all groups in one pass.
 
-    The points only balance the work; any points give the same totals.
+    ``df`` must hold one row per (``by``, ``order``); group first, so that a value shared by a large part of a table is
+    a single row here, and store it with ``cut``, as it is read more than once.  Large tables are dealt by ranges of
+    (``by``, ``order``): a group may span any number of tasks and a task may hold many groups.
     """
-    n = df.select(order).count()
-    ranges = min(MAX_RANGES, math.ceil(n / range_rows))
-    if ranges <= 1:
-        return []
-    probs = [i / ranges for i in range(1, ranges)]
-    points = df.agg(F.approx_percentile(order, probs, max(10_000, 4 * ranges))).head()[0] or []
-    return sorted({float(p) for p in points if p is not None and math.isfinite(p)})
-
-
-def running_totals(
-    df: DataFrame,
-    order: str,
-    sums: Sequence[str],
-    points: Sequence[float],
-    *,
-    descending: bool = False,
-) -> DataFrame:
-    """Add ``cum_<name>`` (inclusive) for each of ``sums``.
-
-    ``df`` must hold one row per value of the double column ``order``; group first, so that a
-    value shared by a large part of the table is a single row here.
-    """
-    direction = F.col(order).desc() if descending else F.col(order).asc()
-    if not points:
-        window = W.orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
-    cutter = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol=order, outputCol="_range",
-                        handleInvalid="keep")
-    ranged = cutter.transform(df)
-    totals = ranged.groupBy("_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    range_order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = W.orderBy(range_order).rowsBetween(W.unboundedPreceding, -1)
-    # At most MAX_RANGES rows, hence the unpartitioned window and the broadcast.
-    offsets = totals.select(
-        "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums]
-    )
-    inside = W.partitionBy("_range").orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .select(*df.columns, *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
-    )
-
-
-def running_totals_by(df: DataFrame, by: str, order: str, sums: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``cum_<name>`` (inclusive, ascending) for each of ``sums`` inside every ``by``, all groups in one pass.
-
-    ``df`` must hold one row per (``by``, ``order``); it is stored first, as it is read again.  Large tables are dealt
-    by ranges of (``by``, ``order``), so a group may span any number of tasks and a task may hold many groups; the
-    number of ranges has no limit, and no cut point comes to the driver's plan.
-    """
-    df = cut(df)
+    along = F.col(order).desc() if descending else F.col(order).asc()
     ranges = math.ceil(df.count() / range_rows)
     if ranges <= 1:
-        inside = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        inside = W.partitionBy(by).orderBy(along).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.sum(s).over(inside).alias(f"cum_{s}") for s in sums])
-    ranged = cut(df.repartitionByRange(ranges, by, order).withColumn("_range", F.spark_partition_id()))
+    ranged = _ranged(df, ranges, F.col(by), along)
     before = W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = ranged.groupBy(by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums]).select(
         by, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = W.partitionBy(by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(by, "_range").orderBy(along).rowsBetween(W.unboundedPreceding, 0)
     return ranged.join(offsets, [by, "_range"]).select(
         *df.columns, *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
 
 
+def _ranged(df: DataFrame, ranges: int, *order: Column) -> DataFrame:
+    """``df`` stored with the number of its range, ascending along ``order``; the numbers are fixed by storing them."""
+    return cut(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def sorted_index(df: DataFrame, key: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add the 0-based position of every row by ``key``, whose values must be distinct.
 
-    Small tables use one window.  Larger ones are cut at sampled keys; the sample only decides
-    where the ranges start, and is fixed before the ranges are counted.
+    Small tables use one window.  Larger ones are dealt by ranges of the key.
     """
-    n = df.count()
-    ranges = min(MAX_RANGES, math.ceil(n / range_rows))
+    ranges = math.ceil(df.count() / range_rows)
     if ranges <= 1:
         return df.withColumn(out, F.row_number().over(W.orderBy(key)).cast("bigint") - 1)
-    share = min(1.0, 20.0 * ranges / n)
-    sample = sorted(r[0] for r in df.select(key).sample(share, seed=42).collect())
-    points = sorted(set(sample[:: max(1, len(sample) // ranges)]))
-    cuts = F.array(*[F.lit(p) for p in points])
-    ranged = df.withColumn("_range", F.size(F.filter(cuts, lambda p: p <= F.col(key))))
+    ranged = _ranged(df, ranges, F.col(key))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
         "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))

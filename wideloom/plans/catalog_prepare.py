@@ -479,11 +479,11 @@ _LEAK = ("l_quantity", "l_extendedprice", "l_tax", "days", "l_linenumber")
 @query("leakage_risk_binary", "WITH v AS (SELECT *, CAST(l_returnflag = 'N' AS INTEGER) AS y, datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS days FROM lineitem), areas AS (" + union_sql(
     f"SELECT '{c}' AS \"column\", sum(pos * (below - neg + neg / 2.0)) / (sum(pos) * sum(neg)) AS a, (SELECT abs(corr({c}, y)) FROM v) AS r FROM "
     f"(SELECT *, CAST(sum(neg) OVER (ORDER BY x) AS DOUBLE) AS below FROM (SELECT {c} AS x, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM v "
-    f"WHERE {c} IS NOT NULL AND y IS NOT NULL GROUP BY 1)) g" for c in _LEAK) + ") SELECT \"column\", round(greatest(a, 1 - a, r), 6) AS strength FROM areas WHERE greatest(a, 1 - a, r) > 0.501")
+    f"WHERE {c} IS NOT NULL AND y IS NOT NULL GROUP BY 1)) g" for c in _LEAK) + ") SELECT \"column\", round(greatest(a, 1 - a, r), 6) AS strength FROM areas WHERE greatest(a, 1 - a, r) > 0.5")
 def leakage_risk_binary(spark, d):
     """How far each column alone tells rows apart, for a 0/1 target; all curves in one pass."""
     rows = table(spark, d, "lineitem").selectExpr("int(l_returnflag = 'N') AS y", *[c for c in _LEAK if c != "days"], "datediff(l_shipdate, DATE '1992-01-01') AS days")
-    return rounded(scaling.leakage_risk(rows, "y", list(_LEAK), above=0.501), 6, "strength")
+    return rounded(scaling.leakage_risk(rows, "y", list(_LEAK), above=0.5), 6, "strength")
 
 
 @query("data_sufficiency", "SELECT 'rows' AS \"check\", CAST(count(*) AS DOUBLE) AS value, count(*) >= 500 AS passed FROM part "
