@@ -65,3 +65,17 @@ def test_most_cells_are_not_visited(spark):
     assert all(top[i] == {j[0]} for i, j in best(x, y, 1, "euclidean", False).items())
     assert visits.count() < 300 * 60 / 8
     assert visits.distinct().count() == visits.count()
+
+
+def test_candidates_do_not_grow_with_the_cells(spark):
+    """Without clusters every cell is possible; still a query keeps k rows, not k for every block that it is compared with."""
+    y = np.random.default_rng(3).normal(size=(1500, 16))
+    q, b = (d.withColumnsRenamed({"query_id": "_q", "id": "_b", "embedding": "_v"}) for d in frames(spark, y, y))
+    schema = "_q bigint, _b bigint, score double"
+    got, visits = cells.nearest_by_cells(q, b, 5, True, similarity.block_score(5, "cosine", True, schema), schema, exclude_self=True, n_base=1500, block_rows=20)
+    assert visits.count() > 1500 * 60      # nearly every block of every cell
+    assert got.count() == 1500 * 5
+    top = {}
+    for r in sorted(got.collect(), key=lambda r: (r["_q"], -r["score"], r["_b"])):
+        top.setdefault(r["_q"], []).append(r["_b"])
+    assert top == best(y, y, 5, "cosine", True)
