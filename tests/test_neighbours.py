@@ -79,3 +79,16 @@ def test_candidates_do_not_grow_with_the_cells(spark):
     for r in sorted(got.collect(), key=lambda r: (r["_q"], -r["score"], r["_b"])):
         top.setdefault(r["_q"], []).append(r["_b"])
     assert top == best(y, y, 5, "cosine", True)
+
+
+def test_votes_through_cells_write_no_pairs(spark):
+    """The same for distances: vectors and candidates are the only tables written."""
+    y = np.round(np.random.default_rng(4).normal(size=(1200, 12)), 3)
+    q, b = (d.withColumnsRenamed({"query_id": "_q", "id": "_b", "embedding": "_v"}) for d in frames(spark, y, y))
+    schema = "_q bigint, _b bigint, score double"
+    got, _ = cells.nearest_by_cells(q, b, 5, False, similarity.block_score(5, "euclidean", True, schema), schema, exclude_self=True, n_base=1200, block_rows=20)
+    assert got.count() == 1200 * 5
+    q, b = frames(spark, y, y)
+    b = b.withColumn("label", F.col("id") % 3)
+    few = similarity.knn_vote(q, b, "label", exclude_self=True, broadcast_bytes=0, block_rows=20)
+    assert sorted(few.collect()) == sorted(similarity.knn_vote(q, b, "label", exclude_self=True).collect())
