@@ -141,3 +141,17 @@ def test_grid_shares_fits_between_numbers_of_trees(spark, monkeypatch):
     few, many = fit(data, trees=2), fit(data, trees=6)
     assert models.score(many, data.test, trees=2).exceptAll(models.score(few, data.test)).count() == 0
     assert len(tuning.configurations("forest")) == 27
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_a_large_forest_stays_out_of_the_driver(spark, monkeypatch, classes):
+    """Rows to score go to the subtrees: nothing of a forest above PIECE_BYTES is collected, and the votes are the same to the last bit."""
+    data, _, _ = table(spark, 700, classes=classes)
+    model = models.fit_forest(data, trees=7, task_rows=80, bins=16)
+    small = models.score(model, data.test).cache()
+    assert small.count() == 700
+    monkeypatch.setattr(forest, "PIECE_BYTES", 0)
+    monkeypatch.setattr(model, "_add", None)
+    large = models.score(model, data.test)
+    assert large.exceptAll(small).count() == 0 and large.count() == 700
+    assert models.score(model, data.test, trees=3).count() == 700
