@@ -70,3 +70,19 @@ def test_collections_and_empty_tables(spark):
     assert [r["id"] for r in textsearch.search_texts(texts, "random forest model").orderBy(F.desc("score")).collect()] == ["e0", "e2"]
     assert [r["id"] for r in textsearch.search_texts(texts, "forest", tags=["feature_engineering"]).collect()] == ["e2"]
     assert textsearch.search_texts(texts.limit(0), "forest").count() == 0
+
+
+def test_frequent_terms_are_not_shuffled(spark, monkeypatch):
+    """Broadcast limits change the plan only; few terms of queries and frequent ones of entries need no shuffle of the lists."""
+    rows = [(i, " ".join(["all", f"even{i % 2}", f"w{i % 7}", f"only{i}"] * (1 + i % 3))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "id long, content string")
+    asked = spark.createDataFrame([(0, "even1 w3 only17"), (1, "all w5"), (2, "nothing")], "query_id long, content string")
+    found = []
+    for limit in (0, 12, 200_000):      # none, the most frequent, all
+        monkeypatch.setattr(textsearch, "SMALL_ROWS", limit)
+        index = textsearch.build(texts)
+        found.append(sorted(textsearch.search(index, asked, 4).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 8
+    counts = textsearch.term_counts(texts, "id", "content")
+    plan = textsearch._joined(counts, index.lists.select("term", "idf"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -5,6 +5,9 @@ what they can add at most.  The list of the first gives a score that the k-th be
 together cannot reach it are optional: an entry found only there is never looked at.  The entries in the other lists are
 summed up, those that cannot reach the bound any more are dropped, and only the rest is looked up in optional lists.
 
+The terms of the queries are broadcast if they are few, so that the lists are read where they are stored; an entry's rows
+are stored together, so its sums are complete within a task.
+
 Weights are ``(1 + ln n) * (ln((1 + N) / (1 + df)) + 1)``, scaled to length one per entry; a score is the sum over the
 query's terms, scaled alike, so it is the cosine.  Null and empty texts have no terms and are never found.
 """
@@ -19,6 +22,7 @@ from wideloom.session import cut
 
 WORD = r"[\p{L}\p{N}]+"
 DIGITS = 9     # scores are rounded to these before they are ranked, so equal ones tie
+SMALL_ROWS = 200_000   # terms that are broadcast, counted first; more are joined by a shuffle
 
 
 @dataclass(frozen=True)
@@ -34,11 +38,34 @@ def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(key).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
+def _small(terms: DataFrame) -> DataFrame:
+    """A stored table of terms, marked for a broadcast if it is short."""
+    return F.broadcast(terms) if terms.count() <= SMALL_ROWS else terms
+
+
+def _joined(counts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Counts with their term's columns: up to ``SMALL_ROWS`` of the most frequent terms are broadcast, only the rows of rare ones are shuffled."""
+    room, limit = SMALL_ROWS, None
+    for r in lists.groupBy("idf").count().orderBy("idf").collect():   # one row per number of entries that hold a term
+        room -= r["count"]
+        if room < 0:
+            break
+        limit = r["idf"]
+    if limit is None:
+        return counts.join(lists, "term")
+    common = F.broadcast(lists.where(F.col("idf") <= limit))
+    found = counts.join(common, "term")
+    if room >= 0:
+        return found
+    rare = counts.join(common.select("term"), "term", "left_anti").join(lists.where(F.col("idf") > limit), "term")
+    return found.unionByName(rare)
+
+
 def _scaled(counts: DataFrame, lists: DataFrame, *keep: str) -> DataFrame:
-    """Weights of length one per id; terms that no entry has are left out."""
-    raw = counts.join(lists.select("term", "idf", *keep), "term").withColumn("raw", (1 + F.log("n")) * F.col("idf"))
-    norm = raw.groupBy(F.col("id").alias("_id")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, F.col("id").eqNullSafe(F.col("_id"))).select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"), *keep)
+    """Weights of length one per id; terms that no entry has are left out.  The rows of an id come out together."""
+    raw = _joined(counts, lists.select("term", "idf", *keep)).withColumn("raw", (1 + F.log("n")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("id")))
+    return raw.select("id", "term", (F.col("raw") / norm).alias("weight"), *keep)
 
 
 def build(texts: DataFrame, key: str = "id", text: str = "content") -> TextIndex:
@@ -70,7 +97,7 @@ def candidates(index: TextIndex, queries: DataFrame, k: int, key: str, text: str
     order = W.partitionBy("q").orderBy(F.desc("bound"), "term")
     asked = cut(asked.withColumn("bound", bound).withColumn("nth", F.row_number().over(order)).withColumn(
         "rest", F.sum("bound").over(order.rowsBetween(0, W.unboundedFollowing))).withColumnRenamed("weight", "asked"))
-    found = lambda terms: terms.join(index.postings, "term").withColumn("part", F.col("asked") * F.col("weight"))
+    found = lambda terms: index.postings.join(_small(terms), "term").withColumn("part", F.col("asked") * F.col("weight"))
     first = found(asked.where("nth = 1").select("q", "term", "asked"))
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("part")))
     least = first.withColumn("place", place).where(F.col("place") == k).select("q", (F.col("part") - 10.0 ** -DIGITS).alias("least"))
@@ -81,7 +108,7 @@ def candidates(index: TextIndex, queries: DataFrame, k: int, key: str, text: str
     left = cut(summed.join(open_, "q").where(able).select("q", "id", "part"))
     optional = judged.where("optional").select(F.col("q").alias("_q"), "term", "asked")
     wanted = left.join(optional, F.col("q") == F.col("_q")).select("q", "id", "term", "asked")
-    lists = index.postings.join(optional.select("term").distinct(), "term", "left_semi")
+    lists = index.postings.join(_small(optional.select("term").distinct()), "term", "left_semi")
     added = wanted.join(lists, ["term", "id"]).select("q", "id", (F.col("asked") * F.col("weight")).alias("part"))
     return left.unionByName(added).groupBy("q", "id").agg(F.sum("part").alias("score"))
 
