@@ -1,9 +1,10 @@
 """The pipeline and the queries on the smallest tables."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
-from wideloom.llm import catalog
+from wideloom.llm import catalog, common
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +24,13 @@ def test_stages_keep_the_columns(spark):
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, pieces))
 
 
+def test_texts_reach_python_in_batches_of_bounded_size(spark):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 4000) AS text")
+    common.map_rows(docs, lambda c: [], "n bigint").collect()
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n bigint, size bigint").collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r["size"] for r in sizes) < 2 * common.BATCH_BYTES
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = catalog.read(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wideloom.llm import gbt
-from wideloom.llm.common import fold, kept_sample, map_rows, slices, texts
-from wideloom.session import ship
+from wideloom.llm.common import fold, kept_sample, map_rows, prepared, slices, texts
 
 SAMPLE = 20_000    # bound on the labelled rows that the trees are fitted on
 THRESHOLD = 0.3
@@ -102,7 +101,7 @@ def keep_good(docs: DataFrame, model: gbt.Trees, threshold: float = THRESHOLD) -
             for part in slices(batch):
                 items = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array(model.probability(matrix(items)) >= threshold))
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     return docs.mapInArrow(good, docs.schema)
 
 
