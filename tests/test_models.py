@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from wideloom.operators import evaluate, models, split, tuning
@@ -176,3 +177,25 @@ def test_features_without_limits(spark):
     df = spark.createDataFrame([tuple(float(i * j + 1) for j in range(8)) for i in range(30)], ", ".join(f"c{j} double" for j in range(8)))
     every = plan_features(df, max_new_ratio=None, per_kind=None, partners=None, interactions=None)
     assert sum(o.op_type == "ratio" for o in every) == 28 and sum(o.op_type == "binning" for o in every) == 8
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_boosting_on_cells_is_boosting_on_rows(spark, monkeypatch, task):
+    """Few bins: MLlib sees each cell once, and the trees are those of the rows; many cells: the rows themselves."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr(
+        "CAST(id AS STRING) AS row_key", "CAST(xxhash64(id) % 7 AS DOUBLE) AS a", "CAST(xxhash64(id, 1) % 9 AS DOUBLE) / 4 AS b", "CAST(xxhash64(id, 2) % 5 AS DOUBLE) AS e")
+    label = F.expr("CAST(a * b + e > 1 AS DOUBLE)" if task == "classification" else "a * b + e")
+    part = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.withColumn("label", label)).cache()
+    data = models.Prepared(part, part, task, ["a", "b"], ["0", "1"] if task == "classification" else [])
+    counted = []
+    cells = models.boosting_cells
+    monkeypatch.setattr(models, "boosting_cells", lambda *args: counted.append(cells(*args)) or counted[-1])
+    got = models.score(models.fit_boosted(data, 4000, maxIter=8), part)
+    assert len(counted) == 1 and counted[0].count() <= 13 * 17 * 2
+    assert counted[0].agg(F.sum("_weight")).head()[0] == 4000
+    plain = models.score(models.estimator("gbt", task, 2, 4000, maxIter=8).fit(part), part)
+    value = "score" if task == "classification" else "prediction"
+    apart = got.select("row_key", F.col(value).alias("x")).join(plain.select("row_key", F.col(value).alias("y")), "row_key")
+    assert apart.count() == 4000 and apart.agg(F.max(F.abs(F.col("x") - F.col("y")))).head()[0] < 1e-9
+    models.fit_boosted(data, 300, maxIter=1)   # more cells than half of that many rows
+    assert len(counted) == 1
