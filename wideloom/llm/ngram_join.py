@@ -17,9 +17,9 @@ documents do not become lists.  Which grams count as hot changes the cost only,
 Lists are divided by set size, and a set enters only the divisions where the place of the gram in its prefix
 still allows a link.  Pairs that meet are compared on their prefixes, and those left on their whole sets.
 
-Equal sets are one class from the start.  Within a list, members are first compared with one hub each
-(several rounds, other hubs each time); lists whose members are all in one group are done.  The remaining
-pairs of different groups are then all compared, in blocks, so no link between different texts is lost
+Equal sets are one class from the start.  Within a list, members are first compared with one hub, then in
+several rounds with a few others of small random parts of it; lists whose members are all in one group are done.  The
+remaining pairs of different groups are then all compared, in blocks, so no link between different texts is lost
 and no pairs inside a group are made.  A pair comes out of the list of its first common grams, not of all.
 
 Null, empty and blank texts have an empty set and are linked with nothing.  Rows that repeat an
@@ -35,19 +35,23 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wideloom.llm.common import coded, components, free, hashes, map_rows, mix, only, stored, texts, without, words
 
 HOT_LIST = 8             # a gram in more lists goes last in the order
 HOT_GRAMS = 1_000_000    # bound on the broadcast hot grams (8 MB); the limit above rises to keep it
 PAIRS_PER_ROW = 4        # remaining pairs per list row at which the exact last step starts
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2           # the first with hubs, the others with parts of lists
 SIZE_STEP = 1.03         # ratio of the sizes in neighbouring buckets
 SKETCH = 8               # integers of a parity sketch
 FIRST_GRAMS = 24         # prefix grams at hand where pairs are made, to tell the first common ones
 BLOCK = 512              # members of a list on one side of a block of pairs
 SALT_ROWS = 2_000        # partners of one hub per salt
+FEW = 4                  # pairs of a set that a round compares
+NEAR = 16                # members of a part of a list in a round
+PASSES = 2               # parts in which lists and large sets of pairs are worked off, as less is on disk at once
+PASS_PAIRS = 5_000
 
 
 def gram_sets(items: list[str | None], k: int) -> list[np.ndarray]:
@@ -173,6 +177,15 @@ def _entries(postings: DataFrame, percent: int) -> DataFrame:
     return postings.select("key", "rep", "n", "pos", F.explode(F.concat(waits, looks)).alias("e")).select("key", "e.bucket", "e.home", "rep", "n", "pos")
 
 
+def _shared_entries(keys: DataFrame, percent: int) -> DataFrame:
+    """The entries of the lists in which a set waits and another one looks.  One shuffle by key serves both counts."""
+    lists, parts = W.partitionBy("key"), W.partitionBy("key", "bucket")
+    postings = keys.withColumn("c", F.count("*").over(lists)).where("c > 1")
+    seen = _entries(postings, percent).select("*", F.max("home").over(parts).alias("waits"), F.min("home").over(parts).alias("looks"),
+                                              F.min("rep").over(parts).alias("x"), F.max("rep").over(parts).alias("y"))
+    return seen.where("waits AND NOT looks AND x < y").drop("waits", "looks", "x", "y")
+
+
 def _close(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> Column:
     """Whether sets of these sizes that first meet at these places can reach the overlap."""
     return F.least(na - ia, nb - ib) + 1 >= F.ceil((na + nb) * percent / (100 + percent))
@@ -216,13 +229,14 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, hot: int
     wide = _prefixes(base, k, percent, none, True)
     frequent, mean = hot_grams(wide.select(F.explode("prefix").alias("g")), hot)
     light = boundary(mean, percent)
-    rows = stored(_prefixes(base, k, percent, frequent, False), "prefixes")
-    classes = stored(_classes(rows), "classes")
-    keys = _keys(classes, light, percent)
-    lists = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    postings = stored(keys.join(lists, "key"), "lists")
+    made = stored(_prefixes(base, k, percent, frequent, False), "prefixes")
+    classes = stored(_classes(made), "classes")
+    rows = stored(made.select("doc_id", "n", "digest"), "rows")
+    free(made)
     members = rows.where("n > 0").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
-    links = _links(base, classes, postings, k, percent)
+    keys = _keys(classes, light, percent)
+    entries = [stored(_shared_entries(keys.where(F.pmod("key", F.lit(PASSES)) == i), percent), "entries") for i in range(PASSES)]
+    links = _links(base, classes, entries, k, percent)
     label = components(links)
     of_class = classes.select("rep").join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"))
     named = members.join(of_class, "rep").groupBy("doc_id").agg(F.min("label").alias("component_id"))
@@ -230,28 +244,35 @@ def jaccard_classes(docs: DataFrame, *, k: int = 5, percent: int = 80, hot: int
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, made: list[DataFrame], k: int, percent: int) -> DataFrame:
     """Verified links between classes, enough of them to connect every group."""
     def check(pairs: DataFrame) -> DataFrame:
-        """Prefixes first; only sets in a pair that this leaves are made again from the texts and compared."""
-        able = stored(_possible(pairs, classes, percent), "pairs")
-        wanted = only(docs, able.select(F.explode(F.array("a", "b"))))
-        sets = stored(map_rows(wanted, lambda c: _set_batch(c["doc_id"], gram_sets(c["text"], k)), "rep bigint, n int, grams array<bigint>"), "sets")
-        links = stored(_verified(able, sets, percent).distinct(), "links")
-        free(able, sets)
-        return links
-
-    entries = _entries(postings, percent)
-    both_sides = entries.groupBy("key", "bucket").agg(F.max("home").alias("waits"), F.min("home").alias("looks"), F.min("rep").alias("x"), F.max("rep").alias("y")) \
-        .where("waits AND NOT looks AND x < y").select("key", "bucket")
-    entries = stored(entries.join(both_sides, ["key", "bucket"]), "entries")
-    free(postings)
+        """Prefixes of the sets in a pair first; only sets in a pair that this leaves are made again from the texts and compared."""
+        pairs = stored(pairs, "tried")
+        heads = classes.select(F.col("rep").alias("doc_id"), "n", "prefix")
+        heads = only(heads, pairs.select(F.explode(F.array("a", "b")))).withColumnRenamed("doc_id", "rep")
+        able = stored(_possible(pairs, heads, percent), "pairs")
+        free(pairs)
+        passes, links = PASSES if able.count() > PASS_PAIRS else 1, []
+        for i in range(passes):
+            now = able.where(F.pmod(F.xxhash64("b"), F.lit(passes)) == i)
+            wanted = only(docs, now.select(F.explode(F.array("a", "b"))))
+            sets = stored(map_rows(wanted, lambda c: _set_batch(c["doc_id"], gram_sets(c["text"], k)), "rep bigint, n int, grams array<bigint>"), "sets")
+            links.append(stored(_verified(now, sets, percent).distinct(), "links"))
+            free(sets)
+        free(able)
+        return reduce(DataFrame.unionByName, links)
+
+    entries = reduce(DataFrame.unionByName, made)
     open_lists, found, last = entries.withColumn("label", F.col("rep")), None, None
     for turn in range(HUB_ROUNDS):
-        hubs = open_lists.where("home").groupBy("key", "bucket").agg(F.min(F.struct(
-            F.xxhash64("label", F.lit(turn)), F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))).alias("h"))
-        pairs = open_lists.join(hubs, ["key", "bucket"]).where(F.col("label") != F.col("h.hub_label")) \
-            .where(_close(F.col("n"), F.col("pos"), F.col("h.hub_n"), F.col("h.hub_pos"), percent)).select(F.col("rep").alias("a"), F.col("h.hub").alias("b")).distinct()
+        if turn:
+            pairs = _near_pairs(open_lists, classes, percent, turn)
+        else:
+            hubs = open_lists.where("home").groupBy("key", "bucket").agg(F.min(F.struct(
+                F.xxhash64("label"), F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))).alias("h"))
+            pairs = open_lists.join(hubs, ["key", "bucket"]).where(F.col("label") != F.col("h.hub_label")) \
+                .where(_close(F.col("n"), F.col("pos"), F.col("h.hub_n"), F.col("h.hub_pos"), percent)).select(F.col("rep").alias("a"), F.col("h.hub").alias("b")).distinct()
         fresh = check(pairs)
         found = fresh if found is None else found.unionByName(fresh)
         label = components(found)
@@ -269,7 +290,7 @@ def _links(docs: DataFrame, classes: DataFrame, postings: DataFrame, k: int, per
         last = cross
     if n:
         found = found.unionByName(check(_cross_pairs(open_lists, classes, percent)))
-    free(open_lists, entries)
+    free(open_lists, *made)
     return found
 
 
@@ -280,24 +301,43 @@ def _set_batch(ids: list, sets: list[np.ndarray]) -> list[pa.RecordBatch]:
 def _cross_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All possible pairs of one list and different groups, each list cut into blocks of bounded size.
 
-    The join's own condition compares sizes, places and parity sketches: sets that link differ in at most
-    ``(100 - percent) / (100 + percent)`` of the sum of their sizes.  It also leaves a pair to an earlier list
-    when the two prefixes have more than two grams in common up to the gram after the place of this one: their
-    first common gram, or first two, have a list in which the pair also meets, as it allows larger partners.
+    It leaves a pair to an earlier list when the two prefixes have more than two grams in common up to the gram after
+    the place of this one: their first common gram, or first two, have a list in which the pair also meets, as it
+    allows larger partners.
     """
-    bits = classes.select(F.col("rep").alias("of"), F.slice("prefix", 1, FIRST_GRAMS).alias("first"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
-    blocked = lists.join(bits, F.col("rep") == F.col("of")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocked = _sketched(lists, classes, BLOCK, "rep")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left, right = _side(blocked.where("home"), "a", F.col("mine").alias("x"), every.alias("y")), _side(blocked.where("NOT home"), "b", F.col("mine").alias("y"), every.alias("x"))
+    return _met(left, right, percent, F.size(F.array_intersect("fa", "fb")) <= 2).distinct()
+
+
+def _near_pairs(lists: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Possible pairs inside small random parts of the lists, other parts every turn; of every set those that meet most often."""
+    parts = _sketched(lists, classes, NEAR, "rep", F.lit(turn)).withColumn("y", F.lit(0))
+    left, right = (_side(parts.where(which), t, F.col("mine").alias("x"), F.col("y")) for which, t in (("home", "a"), ("NOT home", "b")))
+    pairs = _met(left, right, percent, F.lit(True)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("rank") <= FEW).select("a", "b")
 
-    def side(rows: DataFrame, t: str, own: str, other: str) -> DataFrame:
-        return rows.select("key", "bucket", F.col("rep").alias(t), F.col("n").alias("n" + t), F.col("pos").alias("i" + t), F.col("label").alias("l" + t),
-                           F.slice("first", F.lit(1), F.col("pos") + 1).alias("f" + t), *[F.col(f"s{i}").alias(f"{t}{i}") for i in range(SKETCH)], F.col("mine").alias(own), every.alias(other))
-    left, right = side(blocked.where("home"), "a", "x", "y"), side(blocked.where("NOT home"), "b", "y", "x")
+
+def _sketched(lists: DataFrame, classes: DataFrame, size: int, *by) -> DataFrame:
+    """The lists with the sketches and first grams of their sets; ``mine`` is one of ``blocks`` parts of about ``size`` members."""
+    bits = classes.select(F.col("rep").alias("of"), F.slice("prefix", 1, FIRST_GRAMS).alias("first"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    return lists.join(bits, F.col("rep") == F.col("of")).withColumn("blocks", F.ceil(F.col("rows") / size).cast("int")).withColumn("mine", F.pmod(F.xxhash64(*by), F.col("blocks")).cast("int"))
+
+
+def _side(rows: DataFrame, t: str, *places: Column) -> DataFrame:
+    return rows.select("key", "bucket", F.col("rep").alias(t), F.col("n").alias("n" + t), F.col("pos").alias("i" + t), F.col("label").alias("l" + t),
+                       F.slice("first", F.lit(1), F.col("pos") + 1).alias("f" + t), *[F.col(f"s{i}").alias(f"{t}{i}") for i in range(SKETCH)], *places)
+
+
+def _met(left: DataFrame, right: DataFrame, percent: int, also: Column) -> DataFrame:
+    """Pairs of different groups that meet in a part.  The join's own condition compares sizes, places and parity
+    sketches: sets that link differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes.
+    """
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
     return left.join(right, (left.key == right.key) & (left.bucket == right.bucket) & (left.x == right.x) & (left.y == right.y) & (F.col("la") != F.col("lb")) & (F.col("na") <= F.col("nb"))
-                     & _close(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-                     & (F.size(F.array_intersect("fa", "fb")) <= 2)) \
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+                     & _close(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & also) \
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def drop_near_copies(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
