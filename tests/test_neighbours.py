@@ -1,10 +1,13 @@
 """Cells: exact neighbours, and most cells are not visited."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wideloom.operators import cells, similarity
+from wideloom.session import shared_dir
 
 
 def best(x, y, k, metric, exclude):
@@ -92,3 +95,15 @@ def test_votes_through_cells_write_no_pairs(spark):
     b = b.withColumn("label", F.col("id") % 3)
     few = similarity.knn_vote(q, b, "label", exclude_self=True, broadcast_bytes=0, block_rows=20)
     assert sorted(few.collect()) == sorted(similarity.knn_vote(q, b, "label", exclude_self=True).collect())
+
+
+def test_vectors_are_stored_as_narrow_as_they_come(spark):
+    """Floats stay floats in the shared folder, and a query is stored once, not once for every cell that it glances at."""
+    y = np.random.default_rng(5).normal(size=(3000, 64)).astype("float32")
+    q, b = (d.withColumn("_v", F.col("_v").cast("array<float>")) for d in (d.withColumnsRenamed({"query_id": "_q", "id": "_b", "embedding": "_v"}) for d in frames(spark, y, y)))
+    schema = "_q bigint, _b bigint, score double"
+    stored = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("part-*"))
+    before = stored()
+    got, _ = cells.nearest_by_cells(q, b, 5, False, similarity.block_score(5, "euclidean", True, schema), schema, exclude_self=True, n_base=3000, block_rows=200)
+    assert got.count() == 3000 * 5
+    assert 3 * y.nbytes < stored() - before < 6 * y.nbytes
