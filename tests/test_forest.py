@@ -155,3 +155,24 @@ def test_a_large_forest_stays_out_of_the_driver(spark, monkeypatch, classes):
     large = models.score(model, data.test)
     assert large.exceptAll(small).count() == 0 and large.count() == 700
     assert models.score(model, data.test, trees=3).count() == 700
+
+
+def test_equal_rows_are_one_row_of_a_tree(spark, monkeypatch):
+    """A table with few different rows needs no pass by level, and gives the trees of the rows themselves."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 5, (3000, 3)).astype(float)
+    y = (x.sum(1) + rng.integers(0, 2, 3000) > 6).astype(int)
+    df = pd.DataFrame(x, columns=["f0", "f1", "f2"])
+    df["id"], df["y"] = range(3000), y
+    frame = spark.createDataFrame(df).repartition(3)
+    data = models.prepare(frame, frame, "y", ["id"], task="classification")
+    whole = models.fit_forest(data, trees=3)
+
+    def levels(*_):
+        raise AssertionError("a pass over the rows by level")
+    monkeypatch.setattr(forest, "_grow_tops", levels)
+    few = models.fit_forest(data, trees=3, task_rows=1500)
+    trees = lambda model: [[list(r[c]) for c in ("feature", "threshold", "left", "right", "value", "importance")] for r in model.parts.orderBy("tree").collect()]
+    assert trees(few) == trees(whole)
+    with pytest.raises(AssertionError, match="by level"):   # counts of rows matter
+        models.fit_forest(data, trees=3, task_rows=1500, min_leaf=4)
