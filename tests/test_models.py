@@ -199,3 +199,22 @@ def test_boosting_on_cells_is_boosting_on_rows(spark, monkeypatch, task):
     assert apart.count() == 4000 and apart.agg(F.max(F.abs(F.col("x") - F.col("y")))).head()[0] < 1e-9
     models.fit_boosted(data, 300, maxIter=1)   # more cells than half of that many rows
     assert len(counted) == 1
+
+
+def test_test_rows_are_scored_once(spark, prepared, monkeypatch):
+    """All metrics of a model look at the same scores."""
+    scored_rows = spark.sparkContext.accumulator(0)
+    fit = models.train_one
+
+    def counted(name, data, **params):
+        fitted, scored = fit(name, data, **params)
+
+        def count(batches):
+            for batch in batches:
+                scored_rows.add(batch.num_rows)
+                yield batch
+        return fitted, scored.mapInArrow(count, scored.schema)
+    monkeypatch.setattr(models, "train_one", counted)
+    done = models.train_models(prepared, ["naive_bayes"])[0]
+    assert not done.error and "roc_auc" in done.metrics
+    assert scored_rows.value == prepared.test.count()
