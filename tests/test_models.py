@@ -5,6 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from wideloom.operators import evaluate, models, split, tuning
+from wideloom.plans import catalog_models
 from wideloom.plans.flow import Params, Stages, run_flow, run_log_frame
 from wideloom.operators.runlog import completion_summary
 
@@ -103,6 +104,17 @@ def test_failing_model_is_tolerated(prepared, spark):
     assert models.best_model(board, "classification").head()["model"] == "naive_bayes"
 
 
+def test_a_failure_is_no_result(prepared, spark, monkeypatch):
+    """Where the only model fails, the query fails with it, instead of giving no rows; a failure without a text is one as well."""
+    def fails(data, **_):
+        raise MemoryError
+    monkeypatch.setattr(models, "fit_forest", fails)
+    with pytest.raises(RuntimeError, match="forest") as failed:
+        catalog_models.feature_importance(spark, "/root/testdata/sf0.001")
+    assert isinstance(failed.value.__cause__, MemoryError)
+    assert [bool(t.error) for t in models.train_models(prepared, ["forest", "naive_bayes"])] == [True, False]
+
+
 def test_primary_metric_order(spark):
     board = spark.createDataFrame([("a", 0.8, 0.75, 0.85, None, None), ("b", 0.9, 0.95, None, None, None), ("c", None, None, None, 0.7, 0.2)],
                                   "model string, accuracy double, f1 double, roc_auc double, r2 double, mae double")
