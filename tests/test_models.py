@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wideloom.operators import evaluate, models, split, tuning
 from wideloom.plans import catalog_models
+from wideloom.plans.catalog import ORACLES
 from wideloom.plans.flow import Params, Stages, run_flow, run_log_frame
 from wideloom.operators.runlog import completion_summary
 
@@ -230,3 +231,38 @@ def test_test_rows_are_scored_once(spark, prepared, monkeypatch):
     done = models.train_models(prepared, ["naive_bayes"])[0]
     assert not done.error and "roc_auc" in done.metrics
     assert scored_rows.value == prepared.test.count()
+
+
+def test_neighbours_of_equal_rows(spark):
+    """Repeated features and repeated keys: every test row is scored once, as by looking at all pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (500, 2)).astype(float)
+    keys, y = [str(k) for k in rng.integers(0, 300, 500)], rng.integers(0, 2, 500).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"row_key": keys, "label": y, "a": x[:, 0], "b": x[:, 1], "at": range(500)}))
+    part = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.repartition(5))
+    data = models.Prepared(part.where("at < 350 AND a <> 5"), part.where("at >= 350"), "classification", ["a", "b"], ["0", "1"])
+    scored = models.train_one("knn", data)[1]
+    assert scored.count() == 150
+    train = [i for i in range(350) if x[i, 0] != 5]
+    said = {}
+    for q in range(350, 500):
+        d = {i: ((x[i] - x[q]) ** 2).sum() for i in train}
+        order = sorted(train, key=lambda i: (d[i], keys[i], *x[i]))
+        near = order[:5]
+        # Rows of one key at one distance may come in any order: only queries without such a tie at the border are told apart.
+        if d[order[4]] != d[order[5]] or keys[order[4]] != keys[order[5]]:
+            votes = y[near].sum()
+            said[keys[q], tuple(x[q])] = float(votes > 2)
+    found = {}
+    for r in scored.join(data.test.select(F.col("row_key").alias("k"), "a", "b", F.col("label").alias("l")), (F.col("k") == F.col("row_key")) & (F.col("l") == F.col("label"))).collect():
+        found.setdefault((r["row_key"], (r["a"], r["b"])), set()).add(r["prediction"])
+    assert len(said) > 100 and all(v in found[k] for k, v in said.items())
+
+
+def test_facts_and_bins_leave_nothing_out(spark):
+    """Every classifier has its facts, and the bins know a value that one row of many has."""
+    assert set(catalog_models._FACTS) == set(models.CLASSIFIERS)
+    assert "('knn')" in ORACLES["training_facts"]
+    rows = spark.range(0, 60_000, 1, 3).selectExpr("CAST(id % 9 AS DOUBLE) + CAST(id = 777 AS DOUBLE) / 2 AS a", "CAST(id AS DOUBLE) AS b")
+    few, many = models.bin_values(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows))
+    assert set(few) == {*range(9), 777 % 9 + 0.5} and len(many) == 32 and abs(many[15] - 60_000 * 15.5 / 32) < 20
