@@ -48,6 +48,20 @@ def test_grown_trees_equal_plain_ones():
         assert nested(forest.grow(x, y, w, classes, spec, 99), max(classes, 1)) == plain(x, y, w, classes, spec, 99), case
 
 
+@pytest.mark.parametrize("classes", [0, 2])
+def test_columns_are_sorted_once_per_tree(monkeypatch, classes):
+    """Below the root, rows keep their order inside a kid and are not sorted again."""
+    rng = np.random.default_rng(3)
+    x, w = rng.integers(0, 300, (2000, 4)).astype(float), rng.integers(1, 4, 2000).astype(float)
+    y = (x[:, 0] * 7 + x[:, 1] + rng.integers(0, 900, 2000)) // (1000 if classes else 1)
+    y, sorted_, sort = np.minimum(y, classes - 1) if classes else y, [], np.argsort
+    monkeypatch.setattr(forest.np, "argsort", lambda *a, **k: sorted_.append(1) or sort(*a, **k))
+    tree = forest.grow(x, y, w, classes, forest.Spec(features="all"), 5)
+    assert len(sorted_) == 4 and len(tree["feature"]) > 100
+    spec = forest.Spec(features="all", max_depth=9)
+    assert nested(forest.grow(x, y, w, classes, spec, 5), max(classes, 1)) == plain(x, y, w, classes, spec, 5)
+
+
 def table(spark, n=900, d=4, classes=2, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.integers(0, 60, (n, d)).astype(float)
