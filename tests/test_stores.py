@@ -239,3 +239,46 @@ def test_large_counts_do_not_overflow(spark):
     assert evaluate.curve_areas(s).count() == 1
     big = spark.sql("SELECT CAST(100000000000 AS BIGINT) AS neg, CAST(100000000000 AS BIGINT) AS c")
     assert big.selectExpr("sum(CAST(neg AS DOUBLE) * (c + c) / 2.0) AS a").head()["a"] == 1e22
+
+
+def test_checksums_are_of_all_bytes_in_order(spark, tmp_path, monkeypatch):
+    """Files larger than a part of a read, with and without a last line feed, marks and packed bytes."""
+    import gzip
+    import hashlib
+    rng = np.random.default_rng(2)
+    mark = b"\xef\xbb\xbf"
+    files = {"big": rng.integers(0, 256, 3_000_000, np.uint8).tobytes(), "fed": b"a\r\nb\n\n", "open": b"a\nb", "feed": b"\n", "mark": mark, "marked": mark + b"x\ny",
+             "marked_fed": mark + b"\nx\n", "long": b"z" * 500_000 + b"\n" + bytes(range(256)) * 9, "t.gz": gzip.compress(b"some text\n" * 99), "a b%20[c].bin": b"\r\x00\xff"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(store, "BATCH_BYTES", 4_000)
+    sizes = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(sizes, "70000")
+    try:
+        found = store.file_checksums(spark, f"{tmp_path}/*")
+        assert spark.conf.get(sizes) == "70000"
+        rows = found.collect()
+    finally:
+        spark.conf.unset(sizes)
+    assert {r["file"]: (r["length"], r["md5"]) for r in rows} == {n: (len(d), hashlib.md5(d).hexdigest()) for n, d in files.items()} and len(rows) == len(files)
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "e").write_bytes(b"")   # listed by no reader
+    assert store.file_checksums(spark, str(empty)).collect() == []
+
+
+def test_checksums_hold_no_file_whole(spark, tmp_path, monkeypatch):
+    """Python sees a file in batches that add up to it, each far smaller."""
+    (tmp_path / "big").write_bytes(np.random.default_rng(2).integers(0, 256, 3_000_000, np.uint8).tobytes())
+    monkeypatch.setattr(store, "BATCH_BYTES", 40_000)
+    most = spark.sparkContext.accumulator(0)
+    digests = store._digests
+
+    def looked(batches):
+        def each():
+            for batch in batches:
+                most.add(int(batch.column(2).nbytes > 400_000))
+                yield batch
+        return digests(each())
+    monkeypatch.setattr(store, "_digests", looked)
+    assert store.file_checksums(spark, str(tmp_path)).count() == 1 and most.value == 0
