@@ -5,14 +5,19 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, functions as F
 
+from wideloom.operators.evaluate import roc_auc_many
 from wideloom.operators.forest import ForestModel
+from wideloom.operators.logistic import MOST_FEATURES, fit_folds, margins, packed
 from wideloom.operators.models import (
     FEATURES, KEY, LABEL, PREDICTION, PROBABILITIES, SCORE, TREES, Prepared, estimator, fit_forest, metrics_of, score, train_one,
 )
@@ -47,6 +52,9 @@ def grid_search(name: str, data: Prepared, grid: Mapping[str, Sequence] | None =
         return None, spark.createDataFrame([], schema)
     if name == "forest":
         return _forest_grid(data, configs, folds)
+    if name == "logistic" and data.task == "classification" and len(data.classes) == 2 and set().union(*configs) == {"regParam"} \
+            and len(data.features) <= MOST_FEATURES and min(c["regParam"] for c in configs) > 0:
+        return _logistic_grid(data, configs, folds, rows)
     model = estimator(name, data.task, max(len(data.classes), 2), rows)
     maps = [{model.getParam(k): (v / rows if name == "logistic" and k == "regParam" else v) for k, v in c.items()} for c in configs]
     if data.task == "regression":
@@ -61,6 +69,29 @@ def grid_search(name: str, data: Prepared, grid: Mapping[str, Sequence] | None =
     return fitted, spark.createDataFrame(found, schema).orderBy(F.desc("score"))
 
 
+def _logistic_grid(data: Prepared, configs: Sequence[dict], folds: int, rows: int) -> tuple[CrossValidatorModel, DataFrame]:
+    """What ``CrossValidator`` gives on the same folds, with the fits of all folds and penalties in shared passes and exact areas."""
+    spark, penalties, width = data.train.sparkSession, [c["regParam"] for c in configs], len(data.features)
+    train = data.train.select(F.col(LABEL).cast("double").alias(LABEL), F.floor(F.rand(42) * folds).cast("int").alias("fold"), vector_to_array(FEATURES).alias("x"))
+    blocks = packed(train, width).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = fit_folds(train, blocks, width, folds, penalties)
+        areas = np.full((folds, len(configs)), np.nan)   # a fold of one class has none
+        names = [f"s{i}" for i in range(len(configs))]
+        for fold in range(folds):
+            for r in roc_auc_many(margins(blocks, width, fold, found[fold]), LABEL, names).where("roc_auc IS NOT NULL").collect():
+                areas[fold, names.index(r["column"])] = r["roc_auc"]
+    finally:
+        blocks.unpersist()
+    kept = areas[~np.isnan(areas).any(1)]
+    scores, spread = (kept.mean(0).tolist(), kept.std(0).tolist()) if len(kept) else ([None] * len(configs),) * 2
+    place = int(np.argmax(scores)) if len(kept) else 0
+    best = estimator("logistic", data.task, 2, rows, regParam=penalties[place] / rows).fit(data.train)
+    board = [("logistic", f"regParam={p}", s) for p, s in zip(penalties, scores)]
+    fitted = CrossValidatorModel(best, avgMetrics=scores, stdMetrics=spread)
+    return fitted, spark.createDataFrame(board, "model string, config string, score double").orderBy(F.desc_nulls_last("score"))
+
+
 def _forest_grid(data: Prepared, configs: Sequence[dict], folds: int) -> tuple[ForestModel, DataFrame]:
     """Scores of forest configurations: those that differ by the number of trees share one fit per fold, the largest, and
     are scored on its first trees.  A tree does not depend on how many there are, so each score is that of its own fit."""
