@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,32 @@ def test_columns_are_sorted_once_per_tree(monkeypatch, classes):
     assert nested(forest.grow(x, y, w, classes, spec, 5), max(classes, 1)) == plain(x, y, w, classes, spec, 5)
 
 
+def test_a_pass_hashes_keys_once(monkeypatch):
+    """The hash of keys and seed is that of all trees: one for a buffer of rows, and one more for each tree."""
+    class Rows:
+        def mapInArrow(self, count, schema):
+            x = pa.array([[float(i % 7), float(i % 5)] for i in range(300)], pa.list_(pa.float64()))
+            batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([float(i % 2) for i in range(300)]), pa.array([1.0] * 300), x], ["k", "y", "w", "x"])
+            self.made = pa.Table.from_batches(list(count(iter([batch]))))
+            return self
+
+        def groupBy(self, *_):
+            return self
+        applyInArrow = groupBy
+
+        def collect(self):
+            return []
+    rows, hashed, hash_ = Rows(), [], forest.mix
+    tops = [forest.Top(t + 1) for t in range(10)]
+    monkeypatch.setattr(forest, "mix", lambda h, salt: hashed.append(len(h)) or hash_(h, salt))
+    forest._split_level(rows, tops, [(t, 0) for t in range(10)], [np.arange(6.0), np.arange(4.0)], 2, 2, forest.Spec(trees=10, bins=8))
+    assert hashed == [300] * 11
+    for t, table_ in zip(rows.made["node"].to_pylist(), rows.made.to_pylist()):
+        drawn = forest.weights(np.arange(300), t, 42)
+        assert np.frombuffer(table_["table"]).reshape(9, 3)[:, 0].sum() == (drawn > 0).sum()
+        assert (table_["low"], table_["high"], table_["least"], table_["most"]) == (0.0, 6.0 if table_["f"] == 0 else 4.0, 0.0, 1.0)
+
+
 def table(spark, n=900, d=4, classes=2, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.integers(0, 60, (n, d)).astype(float)
